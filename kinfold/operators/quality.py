@@ -14,17 +14,30 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import as_vector
+from ..functions.vectors import as_vector, distance_expr
 from ..session import cut_lineage
 from .clusters import small_side
 from .kernels import distances, fast_euclidean, to_matrix
 
 MAX_BROADCAST_ROWS = 20_000
 TILE_ROWS = 4096
+# Summaries of at most this many clusters (one centre each) are finished on the driver.
+SMALL_K = 2048
+
+
+def _small(summary: DataFrame, cols: Sequence[str]) -> pa.Table | None:
+    """The one-row-per-cluster summary if it is within the bound, else None."""
+    fetched = summary.select(*cols).limit(SMALL_K + 1).toArrow()
+    return fetched if fetched.num_rows <= SMALL_K else None
+
+
+def _one(spark, name: str, value: float | None) -> DataFrame:
+    return spark.createDataFrame([(value,)], f"{name} double")
 
 
 # --- silhouette -----------------------------------------------------------
@@ -169,35 +182,45 @@ def silhouette_squared(
 # --- Calinski-Harabasz ----------------------------------------------------
 
 
-def _vector_columns(df: DataFrame, features: str | Sequence[str]) -> tuple[DataFrame, list[str]]:
-    """The features as plain double columns x0, x1, ..."""
-    if isinstance(features, str):
-        first = df.select(F.size(features).alias("d")).first()
-        cols = [F.col(features)[i] for i in range(first["d"] if first else 0)]
-    else:
-        cols = [F.col(c) for c in features]
-    names = [f"x{i}" for i in range(len(cols))]
-    return df.withColumns({n: c.cast("double") for n, c in zip(names, cols, strict=True)}), names
-
-
-def _moments(df: DataFrame, features, cluster: str) -> tuple[DataFrame, list[str]]:
-    wide, names = _vector_columns(df, features)
-    grouped = wide.groupBy(F.col(cluster).cast("long").alias("c")).agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.avg(x) for x in names]).alias("mean"),
-        F.array(*[F.var_pop(x) for x in names]).alias("var"),
+def _moments(df: DataFrame, features: str | Sequence[str], cluster: str) -> DataFrame:
+    """Size, mean vector and population-variance vector per cluster, by one vector aggregate."""
+    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col("v"))
+    grouped = (
+        df.select(
+            F.col(cluster).cast("long").alias("c"), array_to_vector(as_vector(features)).alias("v")
+        )
+        .groupBy("c")
+        .agg(summary.alias("s"))
+    )
+    unbias = F.try_divide(F.col("n") - 1, F.col("n"))
+    return grouped.select(
+        "c",
+        F.col("s.count").alias("n"),
+        vector_to_array("s.mean").alias("mean"),
+        vector_to_array("s.variance").alias("sample_var"),
+    ).select(
+        "c", "n", "mean", F.transform("sample_var", lambda x: x * unbias).alias("var")
     )
-    return grouped, names
 
 
 def calinski_harabasz(
     df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
     """One row: B (n - k) / (W (k - 1)); 1.0 when W is 0. One grouped pass over the table."""
-    return _calinski_harabasz(_moments(df, features, cluster)[0])
+    return _calinski_harabasz(_moments(df, features, cluster))
 
 
 def _calinski_harabasz(moments: DataFrame) -> DataFrame:
+    few = _small(moments, ["n", "mean", "var"])
+    if few is not None and few.num_rows:
+        n = few.column("n").to_numpy().astype(float)
+        mean, var = to_matrix(few.column("mean")), to_matrix(few.column("var"))
+        centre = (n[:, None] * mean).sum(axis=0) / n.sum()
+        between = (n[:, None] * (mean - centre) ** 2).sum()
+        within = (n[:, None] * var).sum()
+        k, total = len(n), n.sum()
+        score = 1.0 if within == 0 or k < 2 else between * (total - k) / (within * (k - 1))
+        return _one(moments.sparkSession, "calinski_harabasz", float(score))
     long = moments.select(
         "c", "n", F.posexplode(F.arrays_zip("mean", "var")).alias("j", "mv")
     ).select("c", "n", "j", "mv.mean", "mv.var")
@@ -229,28 +252,30 @@ def davies_bouldin(
     chunk: int = 20_000,
 ) -> DataFrame:
     """One row: mean over clusters of the worst (S_i + S_j) / d(c_i, c_j)."""
-    moments = _moments(df, features, cluster)[0]
+    moments = _moments(df, features, cluster)
     return _davies_bouldin(df, features, cluster, moments, chunk)
 
 
 def _davies_bouldin(df, features, cluster, moments: DataFrame, chunk: int = 20_000) -> DataFrame:
-    wide, names = _vector_columns(df, features)
     centres = moments.select("c", "mean").persist()
-    # The centre is unpacked to columns, so the distance is one flat expression.
-    flat = centres.select("c", *[F.col("mean")[i].alias(f"m{i}") for i in range(len(names))])
-    rows = wide.select(F.col(cluster).cast("long").alias("c"), *names).join(small_side(flat), "c")
-    square = sum(
-        ((F.col(x) - F.col(f"m{i}")) * (F.col(x) - F.col(f"m{i}")) for i, x in enumerate(names)),
-        F.lit(0.0),
-    )
-    spread = rows.groupBy("c").agg(F.avg(F.sqrt(square)).alias("s"))
+    rows = df.select(F.col(cluster).cast("long").alias("c"), as_vector(features).alias("v"))
+    rows = rows.join(small_side(centres), "c")
+    spread = rows.groupBy("c").agg(F.avg(distance_expr(F.col("v"), F.col("mean"))).alias("s"))
+    few = _small(spread.join(small_side(centres), "c"), ["c", "s", "mean"])
+    if few is not None and few.num_rows:
+        s, m = few.column("s").to_numpy(), to_matrix(few.column("mean"))
+        ratio, gap = _ratios(few.column("c").to_numpy(), s, m, few.column("c").to_numpy(), s, m)
+        flat = gap.max() < 1e-12 or s.max() < 1e-12
+        return _one(df.sparkSession, "davies_bouldin", 0.0 if flat else float(ratio.mean()))
     table = cut_lineage(spread.join(centres, "c"))
     parts = max(1, math.ceil(table.count() / chunk))
     worst = None
     for i in range(parts):
         # A bounded slice of the centres per round; one round unless there are many clusters.
         some = table.where(F.pmod(F.xxhash64("c"), F.lit(parts)) == i).toArrow()
-        out = table.mapInArrow(_worst_ratio(table.sparkSession, some), "c long, worst double, gap double, s double")
+        out = table.mapInArrow(
+            _worst_ratio(table.sparkSession, some), "c long, worst double, gap double, s double"
+        )
         worst = out if worst is None else worst.unionByName(out)
     per_cluster = worst.groupBy("c").agg(
         F.max("worst").alias("worst"), F.max("gap").alias("gap"), F.max("s").alias("s")
@@ -261,6 +286,16 @@ def _davies_bouldin(df, features, cluster, moments: DataFrame, chunk: int = 20_0
     )
 
 
+def _ratios(c, s, m, c2, s2, m2) -> tuple[np.ndarray, np.ndarray]:
+    """Per cluster of the first set: worst spread-to-gap ratio and widest gap to the second."""
+    if not len(c2):
+        return np.zeros(len(c)), np.zeros(len(c))
+    d = distances(m, m2)
+    r = np.divide(np.add.outer(s, s2), d, out=np.zeros_like(d), where=d > 0)
+    r[c[:, None] == c2[None, :]] = 0.0
+    return r.max(axis=1), d.max(axis=1)
+
+
 def _worst_ratio(spark, some: pa.Table):
     payload = (
         some.column("c").to_numpy(),
@@ -275,15 +310,7 @@ def _worst_ratio(spark, some: pa.Table):
             if not b.num_rows:
                 continue
             c, s, m = b.column("c").to_numpy(), b.column("s").to_numpy(), to_matrix(b.column("mean"))
-            if not len(c2):
-                ratio, gap = np.zeros(len(c)), np.zeros(len(c))
-            else:
-                d = distances(m, m2)
-                r = np.divide(
-                    np.add.outer(s, s2), d, out=np.zeros_like(d), where=d > 0
-                )
-                r[c[:, None] == c2[None, :]] = 0.0
-                ratio, gap = r.max(axis=1), d.max(axis=1)
+            ratio, gap = _ratios(c, s, m, c2, s2, m2)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int64()), pa.array(ratio), pa.array(gap), pa.array(s)],
                 names=["c", "worst", "gap", "s"],
@@ -299,7 +326,7 @@ def clustering_quality(
     df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
     """silhouette, calinski_harabasz, davies_bouldin; (-1, 0, +inf) for fewer than two labels."""
-    moments = _moments(df, features, cluster)[0].persist()
+    moments = _moments(df, features, cluster).persist()
     if moments.limit(2).count() < 2:
         return df.sparkSession.createDataFrame(
             [(-1.0, 0.0, float("inf"))],
@@ -310,6 +337,8 @@ def clustering_quality(
         _calinski_harabasz(moments),
         _davies_bouldin(df, features, cluster, moments),
     )
-    # Each score is a one-row table, so they are read as scalar subqueries of one row.
-    one = df.sparkSession.range(1)
-    return one.select(*[s.scalar().alias(s.columns[0]) for s in scores])
+    row = tuple(score.first()[0] for score in scores)
+    moments.unpersist()
+    return df.sparkSession.createDataFrame(
+        [row], "silhouette double, calinski_harabasz double, davies_bouldin double"
+    )
