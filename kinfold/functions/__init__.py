@@ -8,5 +8,6 @@ from .scalar import (  # noqa: F401
     percent_text,
     similarity,
     title_case,
+    whole_seconds,
 )
 from .vectors import as_vector, distance_expr, euclidean_to_literal  # noqa: F401

@@ -71,8 +71,23 @@ def display_label(parts: Iterable[Column], default: str = "Unknown") -> Column:
     return F.concat_ws(" - ", *[F.coalesce(p.cast("string"), F.lit(default)) for p in parts])
 
 
+def whole_seconds(milliseconds: Column) -> Column:
+    return F.floor(milliseconds / F.lit(1000)).cast("long")
+
+
 def percent_text(c: Column) -> Column:
-    return F.format_string("%.1f%%", c)
+    """One decimal, rounded by the exact binary value with ties to even.
+
+    Formatting alone would round 91.05 by its printed digits, though the stored value lies
+    just below; the lost part of c * 10 tells on which side of a tie the value is.
+    """
+    a, b = c * F.lit(8.0), c * F.lit(2.0)
+    ten = a + b
+    lost = b - (ten - a)
+    tie = (ten - F.floor(ten)) == 0.5
+    tenths = F.when(tie & (lost > 0), F.ceil(ten).cast("double"))
+    tenths = tenths.when(tie & (lost < 0), F.floor(ten).cast("double")).otherwise(F.rint(ten))
+    return F.format_string("%.1f%%", tenths / F.lit(10.0))
 
 
 def title_case(c: Column) -> Column:

@@ -7,10 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import feature_level, mood_from_vector, mood_name, percent_text, title_case
+from ..functions.vectors import as_vector
 from ..presets import MOOD_DEFAULT, MOOD_RULES
 
 NOISE_LABEL = -1
@@ -24,16 +27,50 @@ def small_side(df: DataFrame, limit: int = BROADCAST_CLUSTERS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+# Beyond this many features one vector aggregate beats a pair of aggregates per column.
+WIDE = 16
+
+
+def cluster_moments(
+    df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
+) -> DataFrame:
+    """c, n, mean and population-variance vectors per cluster, by one vector aggregate."""
+    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col("v"))
+    grouped = (
+        df.select(
+            F.col(cluster).cast("long").alias("c"), array_to_vector(as_vector(features)).alias("v")
+        )
+        .groupBy("c")
+        .agg(summary.alias("s"))
+    )
+    unbias = F.try_divide(F.col("n") - 1, F.col("n"))
+    return grouped.select(
+        "c",
+        F.col("s.count").alias("n"),
+        vector_to_array("s.mean").alias("mean"),
+        vector_to_array("s.variance").alias("sample_var"),
+    ).select("c", "n", "mean", F.transform("sample_var", lambda x: x * unbias).alias("var"))
+
+
 def cluster_stats(
-    df: DataFrame, features: Sequence[str], cluster: str = "cluster"
+    df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
     """size, percentage of all rows (noise counted), mean and population-std vectors."""
-    features = list(features)
-    grouped = df.groupBy(F.col(cluster).cast("int").alias("cluster_id")).agg(
-        F.count(F.lit(1)).alias("size"),
-        F.array(*[F.avg(F.col(c).cast("double")) for c in features]).alias("mean_features"),
-        F.array(*[F.stddev_pop(F.col(c).cast("double")) for c in features]).alias("std_features"),
-    )
+    if isinstance(features, str) or len(features) > WIDE:
+        grouped = cluster_moments(df, features, cluster).select(
+            F.col("c").cast("int").alias("cluster_id"),
+            F.col("n").alias("size"),
+            F.col("mean").alias("mean_features"),
+            F.transform("var", F.sqrt).alias("std_features"),
+        )
+    else:
+        grouped = df.groupBy(F.col(cluster).cast("int").alias("cluster_id")).agg(
+            F.count(F.lit(1)).alias("size"),
+            F.array(*[F.avg(F.col(c).cast("double")) for c in features]).alias("mean_features"),
+            F.array(*[F.stddev_pop(F.col(c).cast("double")) for c in features]).alias(
+                "std_features"
+            ),
+        )
     total = df.agg(F.count(F.lit(1))).scalar()
     return grouped.where(F.col("cluster_id") != NOISE_LABEL).select(
         "cluster_id",

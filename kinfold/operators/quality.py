@@ -14,14 +14,13 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_vector, distance_expr
 from ..session import cut_lineage
-from .clusters import small_side
+from .clusters import cluster_moments, small_side
 from .kernels import distances, fast_euclidean, to_matrix
 
 MAX_BROADCAST_ROWS = 20_000
@@ -182,32 +181,11 @@ def silhouette_squared(
 # --- Calinski-Harabasz ----------------------------------------------------
 
 
-def _moments(df: DataFrame, features: str | Sequence[str], cluster: str) -> DataFrame:
-    """Size, mean vector and population-variance vector per cluster, by one vector aggregate."""
-    summary = Summarizer.metrics("mean", "variance", "count").summary(F.col("v"))
-    grouped = (
-        df.select(
-            F.col(cluster).cast("long").alias("c"), array_to_vector(as_vector(features)).alias("v")
-        )
-        .groupBy("c")
-        .agg(summary.alias("s"))
-    )
-    unbias = F.try_divide(F.col("n") - 1, F.col("n"))
-    return grouped.select(
-        "c",
-        F.col("s.count").alias("n"),
-        vector_to_array("s.mean").alias("mean"),
-        vector_to_array("s.variance").alias("sample_var"),
-    ).select(
-        "c", "n", "mean", F.transform("sample_var", lambda x: x * unbias).alias("var")
-    )
-
-
 def calinski_harabasz(
     df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
     """One row: B (n - k) / (W (k - 1)); 1.0 when W is 0. One grouped pass over the table."""
-    return _calinski_harabasz(_moments(df, features, cluster))
+    return _calinski_harabasz(cluster_moments(df, features, cluster))
 
 
 def _calinski_harabasz(moments: DataFrame) -> DataFrame:
@@ -252,7 +230,7 @@ def davies_bouldin(
     chunk: int = 20_000,
 ) -> DataFrame:
     """One row: mean over clusters of the worst (S_i + S_j) / d(c_i, c_j)."""
-    moments = _moments(df, features, cluster)
+    moments = cluster_moments(df, features, cluster)
     return _davies_bouldin(df, features, cluster, moments, chunk)
 
 
@@ -326,7 +304,7 @@ def clustering_quality(
     df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
     """silhouette, calinski_harabasz, davies_bouldin; (-1, 0, +inf) for fewer than two labels."""
-    moments = _moments(df, features, cluster).persist()
+    moments = cluster_moments(df, features, cluster).persist()
     if moments.limit(2).count() < 2:
         return df.sparkSession.createDataFrame(
             [(-1.0, 0.0, float("inf"))],
