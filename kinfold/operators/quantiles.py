@@ -64,9 +64,12 @@ def _narrowed(df, cols, probs, by, bracket_limit, accuracy) -> DataFrame:
             ]
         )
     )
-    values = df.select(*by, feature_value.alias("fv")).select(*by, "fv.f", "fv.v")
+    # Group columns get names of their own while the work columns are around.
+    groups = [f"__by{i}" for i in range(len(by))]
+    named = [F.col(c).alias(g) for c, g in zip(by, groups, strict=True)]
+    values = df.select(*named, feature_value.alias("fv")).select(*groups, "fv.f", "fv.v")
     values = values.where("v is not null")
-    keys = [*by, "f"]
+    keys = [*groups, "f"]
     totals = values.groupBy(*keys).agg(F.count("v").alias("total")).persist()
 
     levels = F.array(
@@ -160,7 +163,8 @@ def _narrowed(df, cols, probs, by, bracket_limit, accuracy) -> DataFrame:
             (F.col("a") + (F.col("x") - F.col("low")) * (F.col("b") - F.col("a"))).alias("q"),
         )
     )
-    return each.groupBy(*by).agg(
+    back = [F.col(g).alias(c) for g, c in zip(groups, by, strict=True)]
+    return each.groupBy(*back).agg(
         *[
             F.transform(
                 F.array_sort(F.collect_list(F.when(F.col("f") == i, F.struct("p", "q")))),

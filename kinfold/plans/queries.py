@@ -856,7 +856,29 @@ def eps_neighbors(spark, d):
     return dbscan.core_points(scaled_events(spark, d), "event_id", ["value", "k"], EPS, MIN_SAMPLES)
 
 
-@query()
+def _near(a: str, b: str) -> str:
+    return f"""{b}.x BETWEEN {a}.x - {EPS} AND {a}.x + {EPS} AND {b}.y BETWEEN {a}.y - {EPS}
+      AND {a}.y + {EPS} AND pow({a}.x - {b}.x, 2) + pow({a}.y - {b}.y, 2) <= {EPS} * {EPS}"""
+
+
+@query(f"""WITH RECURSIVE {_Z_SQL},
+core AS MATERIALIZED (SELECT event_id, x, y, floor(x / ({EPS} / sqrt(2.0))) AS cx,
+    floor(y / ({EPS} / sqrt(2.0))) AS cy FROM (SELECT a.event_id, a.x, a.y, count(*) AS n
+    FROM z a JOIN z b ON {_near('a', 'b')} GROUP BY ALL) WHERE n >= {MIN_SAMPLES}),
+cell AS MATERIALIZED (SELECT cx, cy, min(event_id) AS cell FROM core GROUP BY cx, cy),
+pt AS MATERIALIZED (SELECT event_id, x, y, cell FROM core JOIN cell USING (cx, cy)),
+edge AS MATERIALIZED (SELECT DISTINCT a.cell AS s, b.cell AS t FROM pt a JOIN pt b
+  ON {_near('a', 'b')} WHERE a.cell <> b.cell),
+comp(node, root) USING KEY (node) AS (
+  SELECT cell, cell FROM cell
+  UNION
+  SELECT e.t, min(c.root) FROM comp c JOIN edge e ON e.s = c.node
+    JOIN recurring.comp r ON r.node = e.t WHERE c.root < r.root GROUP BY e.t),
+num AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM comp),
+lab AS (SELECT event_id, x, y, cluster FROM pt JOIN num ON cell = node)
+SELECT z.event_id, coalesce(own.cluster,
+  (SELECT min(b.cluster) FROM lab b WHERE {_near('z', 'b')}), -1)::INTEGER AS cluster
+FROM z LEFT JOIN lab own ON own.event_id = z.event_id""")
 def density_clusters(spark, d):
     out = dbscan.dbscan(scaled_events(spark, d), "event_id", ["value", "k"], EPS, MIN_SAMPLES)
     return out.select("event_id", "cluster")
