@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -69,19 +70,27 @@ def assign_blocks(
     out_schema = T.StructType([*schema.fields, T.StructField("block", id_type)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, filled, start = None, 0, None
+        # Carried from batch to batch: the open run's key, its length so far and its block.
+        key, length, block = None, 0, None
         for b in batches:
-            ids = b.column(b.schema.get_field_index(id_col)).to_pylist()
-            cells = b.column(b.schema.get_field_index("cell")).to_pylist()
-            groups = b.column(b.schema.get_field_index(within)).to_pylist()
-            block = []
-            for i, c, g in zip(ids, cells, groups, strict=True):
-                if (c, g) != current or filled == rows:
-                    current, filled, start = (c, g), 0, i
-                filled += 1
-                block.append(start)
-            field = b.schema.field(b.schema.get_field_index(id_col))
-            yield b.append_column("block", pa.array(block, type=field.type))
+            if not b.num_rows:
+                continue
+            ids = b.column(b.schema.get_field_index(id_col))
+            cell = b.column(b.schema.get_field_index("cell")).to_numpy()
+            group = b.column(b.schema.get_field_index(within))
+            code = group.dictionary_encode().indices.to_numpy()
+            new = np.r_[True, (cell[1:] != cell[:-1]) | (code[1:] != code[:-1])]
+            first_key = (cell[0], group[0].as_py())
+            carried = length if first_key == key else 0
+            run_start = np.maximum.accumulate(np.where(new, np.arange(len(cell)), 0))
+            at = np.arange(len(cell)) - run_start + np.where(run_start == 0, carried, 0)
+            # Row a block starts at; negative rows belong to the block left open before.
+            start = np.arange(len(cell)) - at % rows
+            blocks = ids.take(pa.array(np.maximum(start, 0)))
+            if (start < 0).any():
+                blocks = pc.if_else(pa.array(start < 0), block, blocks)
+            key, length, block = (cell[-1], group[-1].as_py()), int(at[-1]) + 1, blocks[-1]
+            yield b.append_column("block", blocks)
 
     return sorted_rows.mapInArrow(cut, out_schema)
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import NOISE, circular_pair, nan_to_null
 from ..presets import AUDIO_FEATURES, CIRCULAR_PERIODS, available
-from .quantiles import exact_quantiles
+from .quantiles import column_quantiles
 
 SCALERS = ("standard", "minmax", "robust")
 OUTLIER_METHODS = ("iqr", "zscore")
@@ -44,12 +44,12 @@ def outlier_bounds(
         raise ValueError(f"Unknown outlier detection method: {method}")
     features = list(features)
     if method == "iqr":
-        row = exact_quantiles(df, features, [0.25, 0.75]).first()
+        found = column_quantiles(df, features, [0.25, 0.75])
         out = {}
         for c in features:
-            if row is None or not row[c]:
+            if found[c] is None:
                 continue
-            q1, q3 = row[c]
+            q1, q3 = found[c]
             out[c] = (q1 - threshold * (q3 - q1), q3 + threshold * (q3 - q1))
         return out
     row = df.agg(
@@ -145,8 +145,8 @@ class ScaleParams:
 
 
 def fit_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
-    row = exact_quantiles(df, list(features), [0.5]).first()
-    return {c: (row[c][0] if row is not None and row[c] else None) for c in features}
+    found = column_quantiles(df, features, [0.5])
+    return {c: found[c][0] if found[c] else None for c in features}
 
 
 def impute_median(
@@ -167,35 +167,53 @@ def _unit_if_constant(x: float | None) -> float:
 
 
 def fit_scaler(
-    df: DataFrame,
-    features: Sequence[str],
-    kind: str = "standard",
-    medians: dict[str, float | None] | None = None,
+    df: DataFrame, features: Sequence[str], kind: str = "standard", impute: bool = False
 ) -> ScaleParams:
-    """Fit on the rows as they are after imputing with `medians` (none: nulls are ignored)."""
+    """Fit on the features, nulls being ignored, or with `impute` on the features after their
+    nulls became medians.
+
+    Filling m values with a known number changes the moments in closed form, so they are taken
+    from the unfilled rows, where the pass is plain generated code.
+    """
     if kind not in SCALERS:
         raise ValueError(f"Unknown scaler type: {kind}")
     features = list(features)
-    fill = {c: (medians or {}).get(c) for c in features}
-    filled = df.select(*[_filled(c, fill[c]).alias(c) for c in features])
-    center, scale = {}, {}
+    fill = fit_medians(df, features) if impute else dict.fromkeys(features)
+    row = df.agg(*_moments(features)).first() if kind != "robust" else None
+    center, spread = {}, {}
     if kind == "robust":
-        row = exact_quantiles(filled, features, [0.25, 0.5, 0.75]).first()
+        filled = df.select(*[_filled(c, fill[c]).alias(c) for c in features])
+        found = column_quantiles(filled, features, [0.25, 0.5, 0.75])
         for c in features:
-            q1, q2, q3 = (row[c] if row is not None and row[c] else (0.0, 0.0, 0.0))
-            center[c], scale[c] = float(q2), _unit_if_constant(q3 - q1)
-    else:
-        first, second = (F.avg, F.stddev_pop) if kind == "standard" else (F.min, F.max)
-        row = filled.agg(
-            *[first(c).alias(f"a{i}") for i, c in enumerate(features)],
-            *[second(c).alias(f"b{i}") for i, c in enumerate(features)],
-        ).first()
-        for i, c in enumerate(features):
-            a, b = row[f"a{i}"], row[f"b{i}"]
-            center[c] = float(a) if a is not None else 0.0
-            spread = b if kind == "standard" or b is None else b - a
-            scale[c] = _unit_if_constant(spread)
-    return ScaleParams(kind, features, fill, center, scale)
+            q1, q2, q3 = found[c] or (0.0, 0.0, 0.0)
+            center[c], spread[c] = q2, q3 - q1
+    for i, c in enumerate(features if kind != "robust" else ()):
+        n, mean, var, low, high, missing = (row[f"{m}{i}"] for m in _MOMENTS)
+        if not n:
+            center[c], spread[c] = 0.0, None
+        elif kind == "minmax":
+            # A median lies within the range, so filling does not move it.
+            center[c], spread[c] = low, high - low
+        else:
+            m = missing if fill[c] is not None else 0
+            value = fill[c] if m else mean
+            center[c] = (n * mean + m * value) / (n + m)
+            total = n * (var + (mean - center[c]) ** 2) + m * (value - center[c]) ** 2
+            spread[c] = (total / (n + m)) ** 0.5
+    scale = {c: _unit_if_constant(spread[c]) for c in features}
+    return ScaleParams(kind, features, fill, {c: float(center[c]) for c in features}, scale)
+
+
+_MOMENTS = ("n", "mean", "var", "low", "high", "missing")
+
+
+def _moments(features: Sequence[str]) -> list[Column]:
+    out = []
+    for i, c in enumerate(features):
+        x = F.col(c).cast("double")
+        makes = (F.count, F.avg, F.var_pop, F.min, F.max, lambda v: F.count_if(v.isNull()))
+        out += [make(x).alias(f"{m}{i}") for m, make in zip(_MOMENTS, makes, strict=True)]
+    return out
 
 
 def apply_scaler(df: DataFrame, params: ScaleParams, suffix: str = "") -> DataFrame:
@@ -257,7 +275,7 @@ class FeatureProcessor:
             df = remove_outliers(df, found, self.outlier_method, self.outlier_threshold)
         df = encode_circular_features(df, self.periods)
         names = encoded_names(found, self.periods)
-        params = fit_scaler(df, names, self.scaler, fit_medians(df, names))
+        params = fit_scaler(df, names, self.scaler, impute=True)
         return replace(self, params=params), apply_scaler(df, params)
 
     def transform(self, df: DataFrame) -> DataFrame:

@@ -18,13 +18,21 @@ from ..presets import MOOD_DEFAULT, MOOD_RULES
 
 NOISE_LABEL = -1
 
-# One row per cluster: a table this long is joined by broadcast, a longer one by shuffle.
-BROADCAST_CLUSTERS = 100_000
+# Bounds of a table that is fetched once and broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 64 << 20
 
 
-def small_side(df: DataFrame, limit: int = BROADCAST_CLUSTERS) -> DataFrame:
-    """Broadcast hint only after checking the row count; otherwise leave the join to AQE."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """The table as a broadcast side if it is within the bounds, else as it is.
+
+    A small table is evaluated here, once, so that checking its size does not mean computing
+    it twice; a large one stays lazy and AQE plans its join, splitting hot keys.
+    """
+    fetched = df.limit(limit + 1).toArrow()
+    if fetched.num_rows > limit or fetched.nbytes > BROADCAST_BYTES:
+        return df
+    return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))
 
 
 # Beyond this many features one vector aggregate beats a pair of aggregates per column.

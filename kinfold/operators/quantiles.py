@@ -1,31 +1,159 @@
 """Exact quantiles (linear interpolation) without holding a column in one task.
 
-Spark's `percentile` keeps a value -> count map of the whole column in one
-aggregation buffer. That is the fastest plan while the column is small; beyond
-`direct_limit` values per group the ranks are narrowed instead: mergeable
-sketches give two data values that bracket each rank, one pass counts the rows
-below and inside the bracket, and this repeats until the bracket holds few
-enough values to sort. Every pass is a partial aggregation with bounded state,
-so a group holding any share of the rows never meets in one task.
+Spark's `percentile` keeps a value -> count map of the whole column in one aggregation
+buffer, so it is used up to `direct_limit` values only. Beyond, the ranks are bracketed: a
+mergeable sketch gives two data values around each rank, and one more pass counts the rows
+below the bracket and gathers the few values inside it. Where a bracket would still hold too
+many values it is narrowed again. Every pass is a partial aggregation with bounded state, so a
+column, or a group with any share of the rows, never meets in one task.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_LIMIT = 1_000_000
+# Most values of a column (or of a group's column) counted in one buffer.
+DIRECT_LIMIT = 100_000
+# Most values gathered for one rank.
 BRACKET_LIMIT = 20_000
+# A sketch places a rank within n / ACCURACY of its true position.
 ACCURACY = 10_000
 
 
-def _direct(df: DataFrame, cols, probs, by) -> DataFrame:
-    levels = F.array(*[F.lit(float(p)) for p in probs])
-    return df.groupBy(*by).agg(
-        *[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in cols]
-    )
+def _slack(accuracy: int) -> float:
+    return 2.0 / accuracy
+
+
+def _most_inside(n: int, accuracy: int) -> int:
+    """Most values a first bracket can hold: the slack and the sketch error on both sides."""
+    return math.ceil(n * 2 * (_slack(accuracy) + 1.0 / accuracy)) + 2
+
+
+def _levels(probs: Sequence[float], accuracy: int) -> list[float]:
+    s = _slack(accuracy)
+    return [min(1.0, max(0.0, p + d)) for p in probs for d in (-s, s)]
+
+
+def column_quantiles(
+    df: DataFrame,
+    cols: Sequence[str],
+    probs: Sequence[float],
+    direct_limit: int = DIRECT_LIMIT,
+    bracket_limit: int = BRACKET_LIMIT,
+    accuracy: int = ACCURACY,
+) -> dict[str, list[float] | None]:
+    """Quantiles of whole columns; None for a column of nulls."""
+    cols = list(cols)
+    values = [F.col(c).cast("double") for c in cols]
+    first = df.agg(
+        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
+        *[
+            F.percentile_approx(v, _levels(probs, accuracy), accuracy).alias(f"g{i}")
+            for i, v in enumerate(values)
+        ],
+    ).first()
+    out: dict[str, list[float] | None] = dict.fromkeys(cols)
+    small = [i for i in range(len(cols)) if 0 < first[f"n{i}"] <= direct_limit]
+    if small:
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        row = df.agg(*[F.percentile(values[i], levels).alias(f"q{i}") for i in small]).first()
+        out |= {cols[i]: list(row[f"q{i}"]) for i in small}
+
+    # One target per (column, rank): the rank lies strictly between the values lo and hi
+    # (None: unbounded), with `below` values <= lo and `inside` values in between.
+    large = [i for i in range(len(cols)) if first[f"n{i}"] > direct_limit]
+    targets, answers = {}, {}
+    for i in large:
+        n = first[f"n{i}"]
+        for j, p in enumerate(probs):
+            low, high, _ = _ranks(p, n)
+            lo, hi = first[f"g{i}"][2 * j : 2 * j + 2]
+            for r in {low, high}:
+                targets[(i, r)] = {"lo": None, "hi": None, "below": 0, "inside": n, "try": (lo, hi)}
+    while targets:
+        _count_brackets(df, values, targets, answers, bracket_limit, accuracy)
+        if targets:
+            _sketch_brackets(df, values, targets, accuracy)
+    for i in large:
+        found = []
+        for p in probs:
+            low, high, weight = _ranks(p, first[f"n{i}"])
+            a, b = answers[(i, low)], answers[(i, high)]
+            found.append(a + weight * (b - a))
+        out[cols[i]] = found
+    return out
+
+
+def _ranks(p: float, n: int) -> tuple[int, int, float]:
+    """The two ranks (from 0) around quantile p, and the weight of the upper one."""
+    x = p * (n - 1)
+    low = math.floor(x)
+    return low, min(low + 1, n - 1), x - low
+
+
+def _inside(v: Column, lo: float | None, hi: float | None) -> Column:
+    above = F.lit(True) if lo is None else v > F.lit(lo)
+    under = F.lit(True) if hi is None else v < F.lit(hi)
+    return above & under
+
+
+def _count_brackets(df, values, targets, answers, bracket_limit, accuracy) -> None:
+    """One pass: place every target against its tried bracket, gathering the inside if small."""
+    aggs, gathered = [], set()
+    # Neighbouring ranks share a bracket, and then its counts.
+    tries = sorted({(i, *t["try"]) for (i, _), t in targets.items()})
+    most = {}
+    for (i, _), t in targets.items():
+        key = (i, *t["try"])
+        most[key] = max(most.get(key, 0), _most_inside(t["inside"], accuracy))
+    for b, (i, lo, hi) in enumerate(tries):
+        v = values[i]
+        aggs += [
+            F.count_if(v < lo).alias(f"lt_lo{b}"),
+            F.count_if(v <= lo).alias(f"le_lo{b}"),
+            F.count_if(v < hi).alias(f"lt_hi{b}"),
+            F.count_if(v <= hi).alias(f"le_hi{b}"),
+        ]
+        if most[(i, lo, hi)] <= bracket_limit and lo < hi:
+            gathered.add(b)
+            aggs.append(F.collect_list(F.when(_inside(v, lo, hi), v)).alias(f"v{b}"))
+    row = df.agg(*aggs).first()
+    sorted_values = {b: sorted(row[f"v{b}"]) for b in gathered}
+    index = {key: b for b, key in enumerate(tries)}
+    for (i, r), t in list(targets.items()):
+        lo, hi = t["try"]
+        b = index[(i, lo, hi)]
+        lt_lo, le_lo, lt_hi, le_hi = (row[f"{x}{b}"] for x in ("lt_lo", "le_lo", "lt_hi", "le_hi"))
+        if lt_lo <= r < le_lo:
+            answers[(i, r)] = lo
+        elif lt_hi <= r < le_hi:
+            answers[(i, r)] = hi
+        elif le_lo <= r < lt_hi and b in gathered:
+            answers[(i, r)] = sorted_values[b][r - le_lo]
+        elif r < lt_lo:
+            t.update(hi=lo, inside=lt_lo - t["below"])
+        elif r >= le_hi:
+            t.update(lo=hi, inside=t["inside"] - (le_hi - t["below"]), below=le_hi)
+        else:
+            t.update(lo=lo, hi=hi, below=le_lo, inside=lt_hi - le_lo)
+        if (i, r) in answers:
+            del targets[(i, r)]
+
+
+def _sketch_brackets(df, values, targets, accuracy) -> None:
+    """One pass: a tighter bracket for every open target, from a sketch of its inside."""
+    aggs = []
+    for b, ((i, r), t) in enumerate(targets.items()):
+        q = (r - t["below"]) / max(1, t["inside"] - 1)
+        inside = F.when(_inside(values[i], t["lo"], t["hi"]), values[i])
+        aggs.append(F.percentile_approx(inside, _levels([q], accuracy), accuracy).alias(f"g{b}"))
+    row = df.agg(*aggs).first()
+    for b, t in enumerate(targets.values()):
+        t["try"] = tuple(row[f"g{b}"])
 
 
 def exact_quantiles(
@@ -42,10 +170,21 @@ def exact_quantiles(
     Nulls are ignored; a group with no value gives a null array.
     """
     cols, by = list(cols), list(by)
-    counts = df.groupBy(*by).agg(*[F.count(c).alias(c) for c in cols])
-    largest = counts.agg(F.max(F.greatest(*[F.col(c) for c in cols], F.lit(0)))).first()[0] or 0
-    if largest <= direct_limit:
-        return _direct(df, cols, probs, by)
+    if not by:
+        found = column_quantiles(df, cols, probs, direct_limit, bracket_limit, accuracy)
+
+        def literal(xs):
+            return F.array(*[F.lit(float(x)) for x in xs]) if xs else F.lit(None).cast("array<double>")
+
+        return df.sparkSession.range(1).select(*[literal(found[c]).alias(c) for c in cols])
+    counts = df.groupBy(*by).agg(
+        F.greatest(*[F.count(c) for c in cols], F.lit(0).cast("long")).alias("__n")
+    )
+    if (counts.agg(F.max("__n")).first()[0] or 0) <= direct_limit:
+        levels = F.array(*[F.lit(float(p)) for p in probs])
+        return df.groupBy(*by).agg(
+            *[F.percentile(F.col(c).cast("double"), levels).alias(c) for c in cols]
+        )
     return _narrowed(df, cols, probs, by, bracket_limit, accuracy)
 
 

@@ -25,8 +25,14 @@ def _finish(near: DataFrame, n: int, query_col: str, id_col: str) -> DataFrame:
     )
 
 
+def _bounded(near: DataFrame) -> DataFrame:
+    """Few queries have few neighbours: broadcast those, so labels and rows of the big table are
+    looked up where they lie instead of being shuffled."""
+    return small_side(near)
+
+
 def _with_rows(recs: DataFrame, rows: DataFrame | None, id_col: str) -> DataFrame:
-    return recs if rows is None else recs.join(rows, id_col)
+    return recs if rows is None else _bounded(recs).join(rows, id_col)
 
 
 def similar(
@@ -81,7 +87,8 @@ def similar(
         label = df.select(id_col, F.col(cluster).alias("__cluster"))
         own = label.select(F.col(id_col).alias(query_col), F.col("__cluster").alias("__own"))
         near = (
-            near.join(own, query_col)
+            _bounded(near)
+            .join(own, query_col)
             .join(label, id_col)
             .where(F.col("__cluster") == F.col("__own"))
             .drop("__cluster", "__own")
@@ -129,7 +136,7 @@ def similar_to_vectors(
         own = vectors.select(F.col(vector_id).alias(query_col), F.col(wanted_cluster).alias("__own"))
         label = df.select(id_col, F.col(cluster).alias("__cluster"))
         near = (
-            near.join(small_side(own), query_col)
+            _bounded(near.join(small_side(own), query_col))
             .join(label, id_col)
             .where("__own is null or __cluster = __own")
             .drop("__cluster", "__own")

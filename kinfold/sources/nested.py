@@ -59,8 +59,12 @@ def track_columns(track: str = "track") -> list[Column]:
 
 
 def parse(df: DataFrame, json_col: str, schema: T.DataType, name: str) -> DataFrame:
-    """Add a struct parsed from JSON text; unreadable text gives null."""
-    return df.withColumn(name, F.from_json(json_col, schema))
+    """Add a struct parsed from JSON text; unreadable text gives null.
+
+    The one-element explode keeps the parse in one place: as a plain column it would be
+    repeated in every filter and join key that Catalyst derives from it.
+    """
+    return df.withColumn(name, F.explode(F.array(F.from_json(json_col, schema))))
 
 
 def enrich(tracks: DataFrame, features: DataFrame) -> DataFrame:

@@ -70,8 +70,34 @@ def test_knn_other_queries(spark, plan):
         assert [f"p{j}" for j in np.argsort(d[i])[:4]] == g.id.tolist()
 
 
-def test_tiles_skip_far_blocks(spark):
-    """Well separated groups are not compared with each other, yet nothing is missed."""
+@pytest.mark.parametrize("batch", [10000, 7])
+def test_tiles_skip_far_blocks(spark, batch):
+    """Well separated groups are not compared with each other, yet nothing is missed, also
+    when blocks span several Arrow batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        _far_blocks(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_block_sizes(spark):
+    from kinfold.operators.blocks import assign_blocks
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.range(500).select("id", F.lit(0).alias("g"), F.array(F.rand(1)).alias("v"))
+        out = assign_blocks(df, "id", "v", np.array([[0.2], [0.7]]), distances, "g", rows=20)
+        rows = out.groupBy("cell", "block").agg(F.count("id").alias("n")).collect()
+        firsts = out.where("id = block").count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    # Full blocks but for the last of each cell and partition.
+    assert sum(r.n for r in rows) == 500 and max(r.n for r in rows) == 20
+    assert firsts == len(rows) and sum(r.n < 20 for r in rows) <= 2 + 8
+
+
+def _far_blocks(spark):
     rng = np.random.RandomState(7)
     x = np.concatenate([rng.randn(50, 2) + 1000 * i for i in range(4)])
     pdf = pd.DataFrame(x, columns=["a", "b"]).assign(id=np.arange(200))
