@@ -1,15 +1,52 @@
-"""Connected components and dense numbering, both without a single-task step."""
+"""Connected components and dense numbering, at any size without a single-task step.
+
+A graph or list within a checked bound is settled on the driver, where it saves a dozen tiny
+jobs; larger ones go through the distributed plan.
+"""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import cut_lineage
 from .clusters import small_side
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+SMALL_EDGES = 200_000
+SMALL_ROWS = 100_000
+
+
+def _small_components(edges: pa.Table) -> pa.Table:
+    """The same for a fetched graph: labels sink to the smallest neighbour, then jump."""
+    u, v = edges.column("u").to_pandas(), edges.column("v").to_pandas()
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = ends[: len(u)], ends[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        # Hook the labels themselves, not only the nodes, so long chains shrink fast.
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        while (new[new] != new).any():
+            new = new[new]
+        if (new == label).all():
+            return pa.table(
+                {
+                    "node": pa.array(nodes, edges.column("u").type),
+                    "component": pa.array(nodes[label], edges.column("u").type),
+                }
+            )
+        label = new
+
+
+def connected_components(
+    edges: DataFrame, max_rounds: int = 60, small_edges: int = SMALL_EDGES
+) -> DataFrame:
     """`node`, `component` (the smallest node reachable) for edges (`a`, `b`).
 
     Alternating large-star / small-star rounds: every round is two map-side-combined minima
@@ -20,6 +57,12 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")
     )
     e = cut_lineage(e.distinct())
+    fetched = e.limit(small_edges + 1).toArrow()
+    if fetched.num_rows <= small_edges:
+        kind = e.schema["u"].dataType.simpleString()
+        return e.sparkSession.createDataFrame(
+            _small_components(fetched), f"node {kind}, component {kind}"
+        )
     seen = _signature(e)
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -53,8 +96,17 @@ def _signature(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count(F.lit(1)), F.sum(h)).first())
 
 
-def dense_number(df: DataFrame, order: str, name: str) -> DataFrame:
+def dense_number(
+    df: DataFrame, order: str, name: str, small_rows: int = SMALL_ROWS
+) -> DataFrame:
     """Number rows 0, 1, ... in the order of a unique column, partition by partition."""
+    fetched = df.limit(small_rows + 1).toArrow()
+    if fetched.num_rows <= small_rows:
+        rows = fetched.sort_by(order)
+        rows = rows.append_column(name, pa.array(np.arange(rows.num_rows), pa.int32()))
+        return df.sparkSession.createDataFrame(
+            rows, T.StructType([*df.schema.fields, T.StructField(name, T.IntegerType())])
+        )
     parts = cut_lineage(
         df.repartitionByRange(order).withColumn("__part", F.spark_partition_id())
     )

@@ -44,7 +44,7 @@ def fit_kmeans(
     n_init: int = N_INIT,
     max_iter: int = MAX_ITER,
     seed: int = 42,
-    parallel: int = 4,
+    parallel: int = 8,
 ) -> KMeansFit:
     """Best of `n_init` seeded fits by training cost; the seeds share one persisted table."""
     data = df.select(array_to_vector(as_vector(features)).alias("features"))

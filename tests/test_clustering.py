@@ -180,13 +180,14 @@ def test_dbscan_all_noise(spark):
     assert {r.cluster for r in out.collect()} == {-1} and model.n_clusters == 0
 
 
-def test_components_and_numbers(spark):
+@pytest.mark.parametrize("small", [0, 10_000])
+def test_components_and_numbers(spark, small):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101), (102, 100)] + [(7, 300 + i) for i in range(50)]
-    out = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    out = connected_components(spark.createDataFrame(edges, "a long, b long"), small_edges=small).collect()
     assert len(out) == 41 + 3 + 50
     assert all(r.component == (100 if r.node in (100, 101, 102) else 0) for r in out)
-    nums = dense_number(spark.range(0, 1000, 3, 7).withColumnRenamed("id", "v"), "v", "n").collect()
-    assert all(r.n == r.v // 3 for r in nums)
+    nums = dense_number(spark.range(0, 1000, 3, 7).withColumnRenamed("id", "v"), "v", "n", small).collect()
+    assert len(nums) == 334 and all(r.n == r.v // 3 for r in nums)
 
 
 def _ward(x, k):
