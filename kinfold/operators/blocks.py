@@ -42,32 +42,26 @@ def assign_blocks(
     """Add `cell`, `pivot_distance` and `block` (the id of the block's first row)."""
     sc = df.sparkSession.sparkContext
     shared = sc.broadcast(pivots)
-    schema = T.StructType(
-        [*df.schema.fields, T.StructField("cell", T.IntegerType()),
-         T.StructField("pivot_distance", T.DoubleType())]
-    )
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = to_matrix(b.column(b.schema.get_field_index(vector)))
-            cell = np.empty(len(x), dtype=np.int32)
-            dist = np.empty(len(x))
-            for s in range(0, len(x), 1024):
-                d = distance(x[s : s + 1024], p)
-                cell[s : s + 1024] = d.argmin(axis=1)
-                dist[s : s + 1024] = d.min(axis=1)
-            out = b.append_column("cell", pa.array(cell))
-            yield out.append_column("pivot_distance", pa.array(dist))
-
-    keys = [within, "cell", "pivot_distance", id_col]
-    sorted_rows = (
-        df.mapInArrow(nearest, schema).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    @F.arrow_udf("struct<cell:int,distance:double>")
+    def nearest(v: pa.Array) -> pa.Array:
+        x, p = to_matrix(v), shared.value
+        cell, dist = np.empty(len(x), dtype=np.int32), np.empty(len(x))
+        for s in range(0, len(x), 1024):
+            d = distance(x[s : s + 1024], p)
+            cell[s : s + 1024] = d.argmin(axis=1)
+            dist[s : s + 1024] = d.min(axis=1)
+        return pa.StructArray.from_arrays([pa.array(cell), pa.array(dist)], ["cell", "distance"])
+
+    placed = (
+        df.withColumn("__near", nearest(vector))
+        .withColumns({"cell": F.col("__near.cell"), "pivot_distance": F.col("__near.distance")})
+        .drop("__near")
     )
+    keys = [within, "cell", "pivot_distance", id_col]
+    sorted_rows = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
     id_type = df.schema[id_col].dataType
-    out_schema = T.StructType([*schema.fields, T.StructField("block", id_type)])
+    out_schema = T.StructType([*placed.schema.fields, T.StructField("block", id_type)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Carried from batch to batch: the open run's key, its length so far and its block.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -13,7 +13,6 @@ from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.vectors import as_vector
 from .kernels import to_matrix
@@ -109,19 +108,16 @@ def assign_nearest(
 def _assign_arrow(df, features, centers, cluster, distance, labels) -> DataFrame:
     payload = (np.asarray(centers, dtype=float), np.asarray(labels, dtype=np.int32))
     shared = df.sparkSession.sparkContext.broadcast(payload)
-    kept = df.drop(cluster, *([distance] if distance else []))
-    fields = [T.StructField(cluster, T.IntegerType())]
-    if distance:
-        fields.append(T.StructField(distance, T.DoubleType()))
-    schema = T.StructType([*kept.schema.fields, *fields])
 
-    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Only the vectors go to Python; the other columns wait in the JVM.
+    @F.arrow_udf("struct<label:int,distance:double>")
+    def nearest(v: pa.Array) -> pa.Array:
         c, names = shared.value
         norms = (c * c).sum(axis=1)
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = to_matrix(b.column("__v"))
+        x = to_matrix(v)
+        if not len(x):
+            label, d = np.empty(0, np.int32), np.empty(0)
+        else:
             score = norms[None, :] - 2.0 * (x @ c.T)
             # The product only shortlists; exact distances pick among near-equal centres.
             slack = 1e-12 * (1.0 + (x * x).sum(axis=1) + norms.max())
@@ -130,13 +126,16 @@ def _assign_arrow(df, features, centers, cluster, distance, labels) -> DataFrame
             order = np.lexsort((j, d, r))
             r, j, d = r[order], j[order], d[order]
             first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-            out = [b.column(i) for i in range(b.num_columns - 1)]
-            out.append(pa.array(names[j[first]], pa.int32()))
-            if distance:
-                out.append(pa.array(d[first]))
-            yield pa.RecordBatch.from_arrays(out, names=[f.name for f in schema.fields])
+            label, d = names[j[first]], d[first]
+        return pa.StructArray.from_arrays(
+            [pa.array(label, pa.int32()), pa.array(d, pa.float64())], ["label", "distance"]
+        )
 
-    return kept.withColumn("__v", as_vector(features)).mapInArrow(nearest, schema)
+    out = df.withColumn("__best", nearest(as_vector(features)))
+    values = {cluster: F.col("__best.label")}
+    if distance:
+        values[distance] = F.col("__best.distance")
+    return out.withColumns(values).drop("__best")
 
 
 def find_optimal_k(
