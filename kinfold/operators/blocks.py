@@ -2,9 +2,10 @@
 separate tasks.
 
 Rows are sent to their nearest pivot (a bounded sample of the table) and range-partitioned
-by (cell, distance to the pivot, id). The range cut points are sampled from the data, so a
+by (group, cell, distance to the pivot, id). The range cut points are sampled from the data, so a
 cell with any share of the rows is spread over as many partitions as its size asks for, and
-each block is a run of at most `rows` neighbouring rows: a thin shell around its pivot.
+each block is a run of at most `rows` neighbouring rows: a thin shell around its pivot. A
+block travels as one row, so meeting another block costs one record on either side.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,22 +30,20 @@ def choose_pivots(df: DataFrame, vector: str, count: int) -> np.ndarray:
     return np.unique(to_matrix(picked.column(vector)), axis=0)
 
 
-def assign_blocks(
-    df: DataFrame,
-    id_col: str,
-    vector: str,
-    pivots: np.ndarray,
-    distance,
-    within: str,
-    rows: int = BLOCK_ROWS,
+def pack_blocks(
+    df: DataFrame, pivots: np.ndarray, distance, rows: int = BLOCK_ROWS, measure=None
 ) -> DataFrame:
-    """Add `cell`, `pivot_distance` and `block` (the id of the block's first row)."""
-    sc = df.sparkSession.sparkContext
-    shared = sc.broadcast(pivots)
+    """One row per block: its group, cell, shell (`low`, `high`), ids, vectors and `limit`.
+
+    `df` has `id`, `g` (rows of different groups never share a block), `v` (the vector kept), `u`
+    (the vector placed among the pivots) and `first` (whether the row asks). `measure(v, ids, first)`
+    gives the block's limit from its own rows.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     @F.arrow_udf("struct<cell:int,distance:double>")
-    def nearest(v: pa.Array) -> pa.Array:
-        x, p = to_matrix(v), shared.value
+    def nearest(u: pa.Array) -> pa.Array:
+        x, p = to_matrix(u), shared.value
         cell, dist = np.empty(len(x), dtype=np.int32), np.empty(len(x))
         for s in range(0, len(x), 1024):
             d = distance(x[s : s + 1024], p)
@@ -53,46 +51,106 @@ def assign_blocks(
             dist[s : s + 1024] = d.min(axis=1)
         return pa.StructArray.from_arrays([pa.array(cell), pa.array(dist)], ["cell", "distance"])
 
-    placed = (
-        df.withColumn("__near", nearest(vector))
-        .withColumns({"cell": F.col("__near.cell"), "pivot_distance": F.col("__near.distance")})
-        .drop("__near")
+    placed = df.withColumn("near", nearest("u")).select(
+        "id", "g", "v", "first", "near.cell", F.col("near.distance").alias("far")
+    )
+    keys = ["g", "cell", "far", "id"]
+    ordered = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    id_type, g_type = df.schema["id"].dataType, df.schema["g"].dataType
+    schema = T.StructType(
+        [
+            T.StructField("g", g_type),
+            T.StructField("cell", T.IntegerType()),
+            T.StructField("block", id_type),
+            T.StructField("low", T.DoubleType()),
+            T.StructField("high", T.DoubleType()),
+            T.StructField("n", T.IntegerType()),
+            T.StructField("limit", T.DoubleType()),
+            T.StructField("ids", T.ArrayType(id_type)),
+            T.StructField("v", T.ArrayType(T.DoubleType())),
+            T.StructField("first", T.ArrayType(T.BooleanType())),
+        ]
     )
-    keys = [within, "cell", "pivot_distance", id_col]
-    sorted_rows = placed.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    id_type = df.schema[id_col].dataType
-    out_schema = T.StructType([*placed.schema.fields, T.StructField("block", id_type)])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Carried from batch to batch: the open run's key, its length so far and its block.
-        key, length, block = None, 0, None
+        arrow = None
+        key, parts = None, []
+        closed: list = []
+
+        def close(parts: list) -> list:
+            """Turn the open run's pieces into full blocks; return what is left over."""
+            ids = pa.concat_arrays([p[0] for p in parts])
+            v, far, first = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+            full = len(ids) - len(ids) % rows
+            for s in range(0, full, rows):
+                add(ids.slice(s, rows), v[s : s + rows], far[s : s + rows], first[s : s + rows])
+            if full == len(ids):
+                return []
+            return [(ids.slice(full), v[full:], far[full:], first[full:])]
+
+        def add(ids, v, far, first) -> None:
+            limit = measure(v, ids, first) if measure else float("inf")
+            closed.append((*key, ids, v, far, first, limit))
+
+        def flush(parts: list) -> None:
+            for p in close(parts) if parts else ():
+                add(*p)
+
+        def emit() -> pa.RecordBatch:
+            cols = list(zip(*closed, strict=True))
+            cell, g, ids, v, far, first, limit = cols
+            sizes = [len(i) for i in ids]
+            at = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
+            wide = pa.array(np.r_[0, np.cumsum([x.size for x in v])], pa.int32())
+            out = pa.RecordBatch.from_arrays(
+                [
+                    pa.array(g, arrow[1]),
+                    pa.array(cell, pa.int32()),
+                    pa.concat_arrays([i.slice(0, 1) for i in ids]),
+                    pa.array([f[0] for f in far]),
+                    pa.array([f[-1] for f in far]),
+                    pa.array(sizes, pa.int32()),
+                    pa.array(limit, pa.float64()),
+                    pa.ListArray.from_arrays(at, pa.concat_arrays(ids)),
+                    pa.ListArray.from_arrays(wide, pa.array(np.concatenate([x.ravel() for x in v]))),
+                    pa.ListArray.from_arrays(at, pa.array(np.concatenate(first))),
+                ],
+                names=schema.names,
+            )
+            closed.clear()
+            return out
+
         for b in batches:
             if not b.num_rows:
                 continue
-            ids = b.column(b.schema.get_field_index(id_col))
-            cell = b.column(b.schema.get_field_index("cell")).to_numpy()
-            group = b.column(b.schema.get_field_index(within))
+            arrow = (b.column("id").type, b.column("g").type)
+            cell, group = b.column("cell").to_numpy(), b.column("g")
             code = group.dictionary_encode().indices.to_numpy()
             new = np.r_[True, (cell[1:] != cell[:-1]) | (code[1:] != code[:-1])]
-            first_key = (cell[0], group[0].as_py())
-            carried = length if first_key == key else 0
-            run_start = np.maximum.accumulate(np.where(new, np.arange(len(cell)), 0))
-            at = np.arange(len(cell)) - run_start + np.where(run_start == 0, carried, 0)
-            # Row a block starts at; negative rows belong to the block left open before.
-            start = np.arange(len(cell)) - at % rows
-            blocks = ids.take(pa.array(np.maximum(start, 0)))
-            if (start < 0).any():
-                blocks = pc.if_else(pa.array(start < 0), block, blocks)
-            key, length, block = (cell[-1], group[-1].as_py()), int(at[-1]) + 1, blocks[-1]
-            yield b.append_column("block", blocks)
-
-    return sorted_rows.mapInArrow(cut, out_schema)
-
-
-def block_meta(blocks: DataFrame, within: str) -> DataFrame:
-    """One row per block: its cell, shell and size."""
-    return blocks.groupBy(within, "cell", "block").agg(
-        F.min("pivot_distance").alias("low"),
-        F.max("pivot_distance").alias("high"),
-        F.count(F.lit(1)).alias("n"),
-    )
+            edges = np.r_[np.flatnonzero(new), len(cell)]
+            v, far = to_matrix(b.column("v")), b.column("far").to_numpy()
+            first = b.column("first").to_numpy(zero_copy_only=False)
+            for s, e in zip(edges[:-1], edges[1:], strict=True):
+                run = (int(cell[s]), group[int(s)].as_py())
+                if run != key:
+                    flush(parts)
+                    key, parts = run, []
+                parts.append((b.column("id").slice(s, e - s), v[s:e], far[s:e], first[s:e]))
+                parts = close(parts)
+            if closed:
+                yield emit()
+        flush(parts)
+        if closed:
+            yield emit()
+
+    return ordered.mapInArrow(cut, schema)
+
+
+def block_ids(t: pa.Table, name: str = "ids") -> pa.Array:
+    return t.column(name)[0].values
+
+
+def block_matrix(t: pa.Table, ids: str = "ids", v: str = "v") -> np.ndarray:
+    """The vectors of a one-row block table."""
+    flat = t.column(v)[0].values.to_numpy(zero_copy_only=False)
+    return flat.reshape(len(t.column(ids)[0]), -1)

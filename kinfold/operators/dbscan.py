@@ -28,10 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .blocks import assign_blocks, block_meta, choose_pivots
+from .blocks import block_ids, block_matrix, choose_pivots, pack_blocks
 from .clusters import NOISE_LABEL, small_side
 from .components import connected_components, dense_number
-from .kernels import distances, to_matrix
+from .kernels import distances
 from .knn import _cell_windows
 
 # A cell with more points than this is dealt out to several tasks.
@@ -166,33 +166,36 @@ class _Grid:
                 F.arrays_zip("box.lo", "box.hi"), lambda s: (s["lo"] + s["hi"]) / 2
             ).alias("v"),
         )
+        reps = reps.withColumns({"u": F.col("v"), "first": F.lit(True)})
         count = int(min(1024, max(1, round(reps.count() ** 0.5 / 4))))
         pivots = choose_pivots(reps, "v", count)
-        blocks = cut_lineage(assign_blocks(reps, "id", "v", pivots, distances, "g"))
+        blocks = cut_lineage(pack_blocks(reps, pivots, distances))
         # Box centres of near cells are at most eps plus two half diagonals apart.
         limit = 2.0 * self.eps * (1 + 1e-9)
-        meta = block_meta(blocks, "g").withColumn("limit", F.lit(limit)).persist()
+        meta = blocks.select("cell", "block", "low", "high").withColumn("limit", F.lit(limit))
         windows = _cell_windows(pivots, distances(pivots, pivots), reps.sparkSession)
         reach = meta.select(
             F.col("block").alias("i"), F.explode(windows("cell", "low", "high", "limit")).alias("w")
         ).select("i", "w.*")
-        tiles = (
+        tiles = cut_lineage(
             reach.join(meta.withColumnRenamed("block", "j"), "cell")
             .where("high >= lo and low <= hi")
             .select("i", "j")
-            .persist()
         )
-        left = blocks.select(F.col("block").alias("i"), "id", "v").join(tiles, "i")
+        left = blocks.select(F.col("block").alias("i"), "ids", "v").join(tiles, "i")
         right = blocks.select(
-            F.col("block").alias("j2"), F.col("id").alias("id2"), F.col("v").alias("v2")
+            F.col("block").alias("j2"), F.col("ids").alias("ids2"), F.col("v").alias("v2")
         ).join(tiles.select(F.col("i").alias("i2"), F.col("j").alias("j2")), "j2")
 
         def near(s: pa.Table, t: pa.Table) -> pa.Table:
-            a, b = s.column("id").combine_chunks(), t.column("id2").combine_chunks()
-            r = c = np.array([], dtype=np.int64)
-            if len(a) and len(b):
-                r, c = np.nonzero(distances(to_matrix(s.column("v")), to_matrix(t.column("v2"))) <= limit)
-            return pa.table({"a": a.take(pa.array(r)), "b": b.take(pa.array(c))})
+            d = distances(block_matrix(s), block_matrix(t, "ids2", "v2"))
+            r, c = np.nonzero(d <= limit)
+            return pa.table(
+                {
+                    "a": block_ids(s).take(pa.array(r)),
+                    "b": block_ids(t, "ids2").take(pa.array(c)),
+                }
+            )
 
         kind = self.cells.schema["cell"].dataType
         schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import as_vector
 from ..session import cut_lineage
-from .blocks import BLOCK_ROWS, MAX_PIVOTS, assign_blocks, block_meta, choose_pivots
+from .blocks import BLOCK_ROWS, MAX_PIVOTS, block_ids, block_matrix, choose_pivots, pack_blocks
 from .kernels import check_metric, distances, id_array, keep_top, nearest, to_matrix
 
 MAX_BROADCAST_QUERIES = 4096
@@ -155,7 +155,7 @@ def _tiles(table, asked, self_join, k, metric, p, block_rows, max_pivots) -> Dat
 
     copies = Window.partitionBy("g", "v").orderBy("id")
     stored = table.withColumn("copy", F.row_number().over(copies)).where(F.col("copy") <= k)
-    stored = place(stored)
+    stored = place(stored).withColumn("first", F.col("copy") == 1).drop("copy")
     asked_once = asked.groupBy("g", "v").agg(F.min("id").alias("id"))
 
     n = table.count()
@@ -165,23 +165,20 @@ def _tiles(table, asked, self_join, k, metric, p, block_rows, max_pivots) -> Dat
         return distances(a, b, *_space)
 
     # Frozen: block ids must not change if a task is run again.
-    s_blocks = cut_lineage(
-        assign_blocks(stored, "id", "u", pivots, metric_fn, "g", block_rows)
-    )
-    s_meta = block_meta(s_blocks, "g").persist()
+    measure = _own_limit(k, metric, p, cosine) if self_join else None
+    s_blocks = cut_lineage(pack_blocks(stored, pivots, metric_fn, block_rows, measure))
+    meta = ["g", "cell", "block", "low", "high", "n", "limit"]
+    s_meta = s_blocks.select(*meta)
     if self_join:
-        r_blocks = s_blocks.where("copy = 1")
-        limits = _own_block_limits(s_blocks, k, metric, p, cosine)
-        r_meta = block_meta(r_blocks, "g").join(limits, "block", "left")
+        r_blocks = s_blocks.where(F.exists("first", lambda x: x))
+        r_meta = r_blocks.select(*meta)
     else:
-        r_blocks = cut_lineage(
-            assign_blocks(place(asked_once), "id", "u", pivots, metric_fn, "g", block_rows)
-        )
+        once = place(asked_once).withColumn("first", F.lit(True))
+        r_blocks = cut_lineage(pack_blocks(once, pivots, metric_fn, block_rows))
         cells = s_meta.groupBy("g", "cell").agg(F.max("high").alias("reach"), F.sum("n").alias("m"))
         full = F.when(F.col("m") >= k, F.col("high") + F.col("reach"))
-        r_meta = block_meta(r_blocks, "g").join(cells, ["g", "cell"], "left")
-        r_meta = r_meta.withColumn("limit", full)
-    r_meta = r_meta.withColumn("limit", F.coalesce("limit", F.lit(float("inf"))))
+        r_meta = r_blocks.select(*meta).join(cells, ["g", "cell"], "left")
+        r_meta = r_meta.withColumn("limit", F.coalesce(full, F.lit(float("inf"))))
 
     windows = _cell_windows(pivots, distances(pivots, pivots, *space), table.sparkSession)
     reach = r_meta.select(
@@ -190,21 +187,22 @@ def _tiles(table, asked, self_join, k, metric, p, block_rows, max_pivots) -> Dat
         "limit",
         F.explode(windows("cell", "low", "high", "limit")).alias("w"),
     ).select("g", "r_block", "limit", "w.cell", "w.lo", "w.hi")
-    tiles = (
-        reach.join(s_meta.withColumnRenamed("block", "s_block"), ["g", "cell"])
+    tiles = cut_lineage(
+        reach.join(s_meta.drop("limit").withColumnRenamed("block", "s_block"), ["g", "cell"])
         .where("high >= lo and low <= hi")
         .select("r_block", "s_block", "limit")
-        .persist()
     )
-    r_rows = r_blocks.select(F.col("block").alias("r_block"), "id", "v").join(tiles, "r_block")
+    left = r_blocks.select(F.col("block").alias("r_block"), "ids", "v", "first").join(
+        tiles, "r_block"
+    )
     # Renamed columns give the second side its own attributes, which cogroup needs.
     s_tiles = tiles.select(F.col("r_block").alias("r_key"), F.col("s_block").alias("s_key"))
-    s_rows = s_blocks.select(
-        F.col("block").alias("s_key"), F.col("id").alias("s_id"), F.col("v").alias("s_v")
+    right = s_blocks.select(
+        F.col("block").alias("s_key"), F.col("ids").alias("s_ids"), F.col("v").alias("s_v")
     ).join(s_tiles, "s_key")
     found = (
-        r_rows.groupBy("r_block", "s_block")
-        .cogroup(s_rows.groupBy("r_key", "s_key"))
+        left.groupBy("r_block", "s_block")
+        .cogroup(right.groupBy("r_key", "s_key"))
         .applyInArrow(
             _tile_search(k, metric, p, cosine),
             T.StructType(
@@ -223,26 +221,17 @@ def _tiles(table, asked, self_join, k, metric, p, block_rows, max_pivots) -> Dat
     return owners.select("q", "first_id").join(near, "first_id").drop("first_id")
 
 
-def _own_block_limits(blocks: DataFrame, k, metric, p, cosine) -> DataFrame:
-    """Per block, the largest k-th distance its rows have inside the block."""
-    id_type = blocks.schema["id"].dataType
-    schema = T.StructType(
-        [T.StructField("block", id_type), T.StructField("limit", T.DoubleType())]
-    )
+def _own_limit(k, metric, p, cosine):
+    """Largest k-th distance that a block's asking rows have inside the block."""
 
-    def limit(t: pa.Table) -> pa.Table:
-        x = to_matrix(t.column("v"))
-        bound = np.inf
-        if len(x) >= k:
-            rows, _, dist = nearest(x, x, id_array(t.column("id")), k, metric, p)
-            bound = float(dist.max())
-        if cosine:
-            bound = np.sqrt(max(0.0, 2.0 * bound))
-        return pa.table(
-            {"block": t.column("block").slice(0, 1), "limit": pa.array([bound], pa.float64())}
-        )
+    def limit(v: np.ndarray, ids: pa.Array, first: np.ndarray) -> float:
+        if len(v) < k or not first.any():
+            return float("inf")
+        dist = nearest(v[first], v, id_array(ids), k, metric, p)[2]
+        bound = float(dist.max())
+        return float(np.sqrt(max(0.0, 2.0 * bound))) if cosine else bound
 
-    return blocks.select("block", "id", "v").groupBy("block").applyInArrow(limit, schema)
+    return limit
 
 
 def _cell_windows(pivots: np.ndarray, between: np.ndarray, spark):
@@ -273,28 +262,25 @@ def _cell_windows(pivots: np.ndarray, between: np.ndarray, spark):
 
 def _tile_search(k, metric, p, cosine):
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids = left.column("id").combine_chunks()
-        id_type = right.column("s_id").type
-        if left.num_rows and right.num_rows:
-            bound = left.column("limit")[0].as_py()
-            if cosine and np.isfinite(bound):
-                bound = bound * bound / 2.0
-            bound = bound * (1 + 1e-9) + 1e-12
-            rows, ids, dist = nearest(
-                to_matrix(left.column("v")),
-                to_matrix(right.column("s_v")),
-                id_array(right.column("s_id")),
-                k,
-                metric,
-                p,
-                np.full(left.num_rows, bound),
-            )
-        else:
-            rows, ids, dist = np.array([], int), np.array([]), np.array([])
+        q_ids, s_ids = block_ids(left), block_ids(right, "s_ids")
+        asks = np.flatnonzero(block_ids(left, "first").to_numpy(zero_copy_only=False))
+        bound = left.column("limit")[0].as_py()
+        if cosine and np.isfinite(bound):
+            bound = bound * bound / 2.0
+        bound = bound * (1 + 1e-9) + 1e-12
+        rows, ids, dist = nearest(
+            block_matrix(left)[asks],
+            block_matrix(right, "s_ids", "s_v"),
+            id_array(s_ids),
+            k,
+            metric,
+            p,
+            np.full(len(asks), bound),
+        )
         return pa.table(
             {
-                "q": q_ids.take(pa.array(rows, pa.int64())),
-                "id": pa.array(ids.tolist(), type=id_type),
+                "q": q_ids.take(pa.array(asks[rows], pa.int64())),
+                "id": pa.array(ids.tolist(), type=s_ids.type),
                 "distance": pa.array(dist, pa.float64()),
             }
         )

@@ -82,19 +82,24 @@ def test_tiles_skip_far_blocks(spark, batch):
 
 
 def test_block_sizes(spark):
-    from kinfold.operators.blocks import assign_blocks
+    from kinfold.operators.blocks import pack_blocks
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
     try:
-        df = spark.range(500).select("id", F.lit(0).alias("g"), F.array(F.rand(1)).alias("v"))
-        out = assign_blocks(df, "id", "v", np.array([[0.2], [0.7]]), distances, "g", rows=20)
-        rows = out.groupBy("cell", "block").agg(F.count("id").alias("n")).collect()
-        firsts = out.where("id = block").count()
+        v = F.array(F.rand(1))
+        df = spark.range(500).select("id", F.lit(0).alias("g"), v.alias("v"), F.lit(True).alias("first"))
+        df = df.withColumn("u", F.col("v"))
+        rows = pack_blocks(df, np.array([[0.2], [0.7]]), distances, rows=20).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(i for r in rows for i in r.ids) == list(range(500))
     # Full blocks but for the last of each cell and partition.
-    assert sum(r.n for r in rows) == 500 and max(r.n for r in rows) == 20
-    assert firsts == len(rows) and sum(r.n < 20 for r in rows) <= 2 + 8
+    assert max(r.n for r in rows) == 20 and sum(r.n < 20 for r in rows) <= 2 + 8
+    for r in rows:
+        pivot = [0.2, 0.7][r.cell]
+        far = [abs(x - pivot) for x in r.v]
+        assert r.block == r.ids[0] and r.n == len(r.ids) == len(r.v)
+        assert abs(min(far) - r.low) < 1e-12 and abs(max(far) - r.high) < 1e-12
 
 
 def _far_blocks(spark):
