@@ -33,11 +33,11 @@ def choose_pivots(df: DataFrame, vector: str, count: int) -> np.ndarray:
 def pack_blocks(
     df: DataFrame, pivots: np.ndarray, distance, rows: int = BLOCK_ROWS, measure=None
 ) -> DataFrame:
-    """One row per block: its group, cell, shell (`low`, `high`), ids, vectors and `limit`.
+    """One row per block: its group, cell, shell (`low`, `high`), ids, vectors and limits.
 
     `df` has `id`, `g` (rows of different groups never share a block), `v` (the vector kept), `u`
     (the vector placed among the pivots) and `first` (whether the row asks). `measure(v, ids, first)`
-    gives the block's limit from its own rows.
+    gives each asking row a limit from the block's own rows; `limit` is the largest.
     """
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
@@ -69,6 +69,7 @@ def pack_blocks(
             T.StructField("ids", T.ArrayType(id_type)),
             T.StructField("v", T.ArrayType(T.DoubleType())),
             T.StructField("first", T.ArrayType(T.BooleanType())),
+            T.StructField("limits", T.ArrayType(T.DoubleType())),
         ]
     )
 
@@ -89,8 +90,10 @@ def pack_blocks(
             return [(ids.slice(full), v[full:], far[full:], first[full:])]
 
         def add(ids, v, far, first) -> None:
-            limit = measure(v, ids, first) if measure else float("inf")
-            closed.append((*key, ids, v, far, first, limit))
+            limits = np.full(len(ids), np.inf)
+            if measure:
+                limits[first] = measure(v, ids, first)
+            closed.append((*key, ids, v, far, first, limits))
 
         def flush(parts: list) -> None:
             for p in close(parts) if parts else ():
@@ -98,7 +101,7 @@ def pack_blocks(
 
         def emit() -> pa.RecordBatch:
             cols = list(zip(*closed, strict=True))
-            cell, g, ids, v, far, first, limit = cols
+            cell, g, ids, v, far, first, limits = cols
             sizes = [len(i) for i in ids]
             at = pa.array(np.r_[0, np.cumsum(sizes)], pa.int32())
             wide = pa.array(np.r_[0, np.cumsum([x.size for x in v])], pa.int32())
@@ -110,10 +113,11 @@ def pack_blocks(
                     pa.array([f[0] for f in far]),
                     pa.array([f[-1] for f in far]),
                     pa.array(sizes, pa.int32()),
-                    pa.array(limit, pa.float64()),
+                    pa.array([x[f].max(initial=0.0) for x, f in zip(limits, first, strict=True)]),
                     pa.ListArray.from_arrays(at, pa.concat_arrays(ids)),
                     pa.ListArray.from_arrays(wide, pa.array(np.concatenate([x.ravel() for x in v]))),
                     pa.ListArray.from_arrays(at, pa.array(np.concatenate(first))),
+                    pa.ListArray.from_arrays(at, pa.array(np.concatenate(limits))),
                 ],
                 names=schema.names,
             )
@@ -146,7 +150,7 @@ def pack_blocks(
     return ordered.mapInArrow(cut, schema)
 
 
-def block_ids(t: pa.Table, name: str = "ids") -> pa.Array:
+def block_list(t: pa.Table, name: str = "ids") -> pa.Array:
     return t.column(name)[0].values
 
 

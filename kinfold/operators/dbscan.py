@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .blocks import block_ids, block_matrix, choose_pivots, pack_blocks
+from .blocks import block_list, block_matrix, choose_pivots, pack_blocks
 from .clusters import NOISE_LABEL, small_side
 from .components import connected_components, dense_number
 from .kernels import distances
@@ -192,8 +192,8 @@ class _Grid:
             r, c = np.nonzero(d <= limit)
             return pa.table(
                 {
-                    "a": block_ids(s).take(pa.array(r)),
-                    "b": block_ids(t, "ids2").take(pa.array(c)),
+                    "a": block_list(s).take(pa.array(r)),
+                    "b": block_list(t, "ids2").take(pa.array(c)),
                 }
             )
 

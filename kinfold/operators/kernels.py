@@ -69,19 +69,19 @@ def pair_distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.nd
 
 
 def _screen(a, b, metric, p):
-    """(score, slack): scores order pairs like the distance up to `slack`, via one matrix product
-    where the metric allows it."""
+    """(score, slack, power): scores order pairs like the distance up to `slack`, via one matrix
+    product where the metric allows it; a distance t has the score t ** power."""
     if metric == "cosine":
         na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
         ua = a / np.where(na > 0, na, 1.0)[:, None]
         ub = b / np.where(nb > 0, nb, 1.0)[:, None]
-        return 1.0 - ua @ ub.T, np.full(len(a), 1e-12)
+        return 1.0 - ua @ ub.T, np.full(len(a), 1e-12), 1
     if metric == "euclidean" or (metric == "minkowski" and p == 2.0):
         sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
         score = sa[:, None] + sb[None, :] - 2.0 * (a @ b.T)
-        return score, 1e-14 * a.shape[1] * (sa + (sb.max() if len(sb) else 0.0)) * 4 + 1e-300
+        return score, 4e-14 * a.shape[1] * (sa + (sb.max() if len(sb) else 0.0)) + 1e-300, 2
     d = distances(a, b, metric, p)
-    return d, 1e-12 * (1.0 + d.max(axis=1)) if d.size else np.zeros(len(a))
+    return d, 1e-12 * (1.0 + d.max(axis=1)) if d.size else np.zeros(len(a)), 1
 
 
 def nearest(a, b, b_ids, k, metric, p, limit=None):
@@ -94,12 +94,15 @@ def nearest(a, b, b_ids, k, metric, p, limit=None):
     step = max(1, CHUNK // max(1, len(b)))
     for s in range(0, len(a), step):
         part = a[s : s + step]
-        score, slack = _screen(part, b, metric, p)
-        if len(b) > k:
+        score, slack, power = _screen(part, b, metric, p)
+        most = np.full(len(part), np.inf)
+        if limit is not None:
+            most = limit[s : s + step] ** power
+        hit = score <= (most + 2 * slack)[:, None]
+        if len(b) > k and np.count_nonzero(hit) > 8 * k * len(part):
             kth = np.partition(score, k - 1, axis=1)[:, k - 1]
-            r, c = np.nonzero(score <= (kth + 2 * slack)[:, None])
-        else:
-            r, c = (x.ravel() for x in np.indices(score.shape))
+            hit = score <= (np.minimum(kth, most) + 2 * slack)[:, None]
+        r, c = np.nonzero(hit)
         d = pair_distances(part[r], b[c], metric, p)
         if limit is not None:
             keep = d <= limit[s : s + step][r]

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import as_vector
 from ..session import cut_lineage
-from .blocks import BLOCK_ROWS, MAX_PIVOTS, block_ids, block_matrix, choose_pivots, pack_blocks
+from .blocks import BLOCK_ROWS, MAX_PIVOTS, block_list, block_matrix, choose_pivots, pack_blocks
 from .kernels import check_metric, distances, id_array, keep_top, nearest, to_matrix
 
 MAX_BROADCAST_QUERIES = 4096
@@ -192,9 +192,9 @@ def _tiles(table, asked, self_join, k, metric, p, block_rows, max_pivots) -> Dat
         .where("high >= lo and low <= hi")
         .select("r_block", "s_block", "limit")
     )
-    left = r_blocks.select(F.col("block").alias("r_block"), "ids", "v", "first").join(
-        tiles, "r_block"
-    )
+    left = r_blocks.select(
+        F.col("block").alias("r_block"), "ids", "v", "first", "limits"
+    ).join(tiles, "r_block")
     # Renamed columns give the second side its own attributes, which cogroup needs.
     s_tiles = tiles.select(F.col("r_block").alias("r_key"), F.col("s_block").alias("s_key"))
     right = s_blocks.select(
@@ -222,16 +222,15 @@ def _tiles(table, asked, self_join, k, metric, p, block_rows, max_pivots) -> Dat
 
 
 def _own_limit(k, metric, p, cosine):
-    """Largest k-th distance that a block's asking rows have inside the block."""
+    """The k-th distance each asking row has inside its block, an upper bound of the true one."""
 
-    def limit(v: np.ndarray, ids: pa.Array, first: np.ndarray) -> float:
+    def limits(v: np.ndarray, ids: pa.Array, first: np.ndarray) -> np.ndarray:
         if len(v) < k or not first.any():
-            return float("inf")
-        dist = nearest(v[first], v, id_array(ids), k, metric, p)[2]
-        bound = float(dist.max())
-        return float(np.sqrt(max(0.0, 2.0 * bound))) if cosine else bound
+            return np.full(int(first.sum()), np.inf)
+        dist = nearest(v[first], v, id_array(ids), k, metric, p)[2].reshape(-1, k)[:, -1]
+        return np.sqrt(np.maximum(0.0, 2.0 * dist)) if cosine else dist
 
-    return limit
+    return limits
 
 
 def _cell_windows(pivots: np.ndarray, between: np.ndarray, spark):
@@ -261,26 +260,44 @@ def _cell_windows(pivots: np.ndarray, between: np.ndarray, spark):
 
 
 def _tile_search(k, metric, p, cosine):
+    def space(x: np.ndarray) -> np.ndarray:
+        if not cosine:
+            return x
+        norm = np.sqrt((x * x).sum(axis=1))
+        return x / np.where(norm > 0, norm, 1.0)[:, None]
+
+    def reach(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        c = centre[None, :]
+        return (distances(x, c) if cosine else distances(x, c, metric, p))[:, 0]
+
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, s_ids = block_ids(left), block_ids(right, "s_ids")
-        asks = np.flatnonzero(block_ids(left, "first").to_numpy(zero_copy_only=False))
-        bound = left.column("limit")[0].as_py()
-        if cosine and np.isfinite(bound):
-            bound = bound * bound / 2.0
-        bound = bound * (1 + 1e-9) + 1e-12
-        rows, ids, dist = nearest(
-            block_matrix(left)[asks],
-            block_matrix(right, "s_ids", "s_v"),
-            id_array(s_ids),
-            k,
-            metric,
-            p,
-            np.full(len(asks), bound),
+        q_ids, s_ids = block_list(left), block_list(right, "s_ids")
+        asks = np.flatnonzero(block_list(left, "first").to_numpy(zero_copy_only=False))
+        limit = np.minimum(
+            block_list(left, "limits").to_numpy(zero_copy_only=False)[asks],
+            left.column("limit")[0].as_py(),
         )
+        limit = limit * (1 + 1e-9) + 1e-9
+        a, b = block_matrix(left)[asks], block_matrix(right, "s_ids", "s_v")
+        # Rows that cannot reach the other block within their limit drop out first.
+        a_at, b_at = space(a), space(b)
+        centre = b_at.mean(axis=0)
+        keep = reach(a_at, centre) - reach(b_at, centre).max() <= limit
+        asks, a, a_at, limit = asks[keep], a[keep], a_at[keep], limit[keep]
+        found = np.array([], int), np.array([], int), np.array([])
+        ids = id_array(s_ids)
+        if len(a):
+            centre = a_at.mean(axis=0)
+            keep = reach(b_at, centre) <= reach(a_at, centre).max() + limit.max()
+            b, ids = b[keep], ids[keep]
+            if len(b):
+                most = limit**2 / 2.0 if cosine else limit
+                found = nearest(a, b, ids, k, metric, p, most)
+        rows, near, dist = found
         return pa.table(
             {
                 "q": q_ids.take(pa.array(asks[rows], pa.int64())),
-                "id": pa.array(ids.tolist(), type=s_ids.type),
+                "id": pa.array(near.tolist(), type=s_ids.type),
                 "distance": pa.array(dist, pa.float64()),
             }
         )
