@@ -96,6 +96,16 @@ def similar(
     return _with_rows(_finish(near, n, query_col, id_col), rows, id_col)
 
 
+def query_status(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """Each asked id with the reason it has no recommendations: null, or `not in table` (e.g. a
+    row that outlier removal dropped after a search on the raw table found it)."""
+    asked = ids.select(id_col).distinct()
+    known = df.join(small_side(asked), id_col, "left_semi").select(id_col).distinct()
+    return asked.join(known.withColumn("__known", F.lit(True)), id_col, "left").select(
+        id_col, F.when(F.col("__known").isNull(), F.lit("not in table")).alias("reason")
+    )
+
+
 def similar_to_vectors(
     df: DataFrame,
     vectors: DataFrame,

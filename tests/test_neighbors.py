@@ -157,6 +157,9 @@ def test_prefilter_fills_up(recommender_rows):
 
 def test_unknown_id_and_mode(recommender_rows):
     assert _similar(recommender_rows, ["nope"]).count() == 0
+    asked = recommender_rows.sparkSession.createDataFrame([("nope",), ("track_1",)], "track_id string")
+    reasons = dict(recommend.query_status(recommender_rows, asked, "track_id").collect())
+    assert reasons == {"nope": "not in table", "track_1": None}
     with pytest.raises(ValueError, match="mode"):
         _similar(recommender_rows, ["track_0"], mode="nope")
 
