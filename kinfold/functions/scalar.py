@@ -15,8 +15,8 @@ NOISE = 1e-12
 
 def nan_to_null(c: Column) -> Column:
     """Missing numbers are NULL in this engine; NaN would sort as the largest value."""
-    d = c.cast("double")
-    return F.when(~F.isnan(d), d)
+    # One mention of the column, so an input computed on the fly is computed once.
+    return F.nanvl(c.cast("double"), F.lit(None).cast("double"))
 
 
 def circular_pair(c: Column, period: float) -> tuple[Column, Column]:

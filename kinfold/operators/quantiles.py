@@ -49,29 +49,31 @@ def column_quantiles(
     """Quantiles of whole columns; None for a column of nulls."""
     cols = list(cols)
     values = [F.col(c).cast("double") for c in cols]
-    first = df.agg(
-        *[F.count(v).alias(f"n{i}") for i, v in enumerate(values)],
-        *[
-            F.percentile_approx(v, _levels(probs, accuracy), accuracy).alias(f"g{i}")
-            for i, v in enumerate(values)
-        ],
-    ).first()
+    counts = df.agg(*[F.count(v) for v in values]).first()
     out: dict[str, list[float] | None] = dict.fromkeys(cols)
-    small = [i for i in range(len(cols)) if 0 < first[f"n{i}"] <= direct_limit]
+    small = [i for i in range(len(cols)) if 0 < counts[i] <= direct_limit]
     if small:
         levels = F.array(*[F.lit(float(p)) for p in probs])
         row = df.agg(*[F.percentile(values[i], levels).alias(f"q{i}") for i in small]).first()
         out |= {cols[i]: list(row[f"q{i}"]) for i in small}
+    large = [i for i in range(len(cols)) if counts[i] > direct_limit]
+    if not large:
+        return out
 
+    sketch = df.agg(
+        *[
+            F.percentile_approx(values[i], _levels(probs, accuracy), accuracy).alias(f"g{i}")
+            for i in large
+        ]
+    ).first()
     # One target per (column, rank): the rank lies strictly between the values lo and hi
     # (None: unbounded), with `below` values <= lo and `inside` values in between.
-    large = [i for i in range(len(cols)) if first[f"n{i}"] > direct_limit]
     targets, answers = {}, {}
     for i in large:
-        n = first[f"n{i}"]
+        n = counts[i]
         for j, p in enumerate(probs):
             low, high, _ = _ranks(p, n)
-            lo, hi = first[f"g{i}"][2 * j : 2 * j + 2]
+            lo, hi = sketch[f"g{i}"][2 * j : 2 * j + 2]
             for r in {low, high}:
                 targets[(i, r)] = {"lo": None, "hi": None, "below": 0, "inside": n, "try": (lo, hi)}
     while targets:
@@ -81,7 +83,7 @@ def column_quantiles(
     for i in large:
         found = []
         for p in probs:
-            low, high, weight = _ranks(p, first[f"n{i}"])
+            low, high, weight = _ranks(p, counts[i])
             a, b = answers[(i, low)], answers[(i, high)]
             found.append(a + weight * (b - a))
         out[cols[i]] = found
