@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import (
     display_label,
@@ -1029,4 +1028,4 @@ def best_similarity(spark, d):
     return best.select("query_id", r6(similarity(F.col("distance"))).alias("similarity_score"))
 
 
-__all__ = ["ORACLES", "QUERIES", "T"]
+__all__ = ["ORACLES", "QUERIES"]
