@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
@@ -62,3 +62,12 @@ def row_key(id_col: str, text_col: str) -> list:
         F.col(id_col).alias("__id"),
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("__th"),
     ]
+
+
+def let(value: Column, use) -> Column:
+    """`use(value)` with the value computed once per row.
+
+    Inside a lambda the optimiser may put a column's whole expression in place of the column, which would
+    compute it again for each element; a lambda's own variable is a value.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
