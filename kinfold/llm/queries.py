@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_quality, surrogates
+from . import decontaminate, host_quality, packing, surrogates, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -112,3 +112,9 @@ def op5_surrogates(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     out, count = surrogates.replace_entities(docs)
     return out.select("doc_id", "text", F.col(count).alias("n_entities"))
+
+
+@query()
+def op6_best_fit(spark: SparkSession, d: str) -> DataFrame:
+    path = tokens.tokenizer_path("word_bpe_49k.json")
+    return packing.pack(table(spark, d, "documents"), path)
