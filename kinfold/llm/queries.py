@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_quality, packing, surrogates, tokens
+from . import decontaminate, host_quality, ngram_jaccard, packing, surrogates, tokens
 from .common import table
 
 QUERIES: dict = {}
@@ -118,3 +118,28 @@ def op5_surrogates(spark: SparkSession, d: str) -> DataFrame:
 def op6_best_fit(spark: SparkSession, d: str) -> DataFrame:
     path = tokens.tokenizer_path("word_bpe_49k.json")
     return packing.pack(table(spark, d, "documents"), path)
+
+
+OP1_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS gram FROM (
+    SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (gram)
+      WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id
+         WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+reach(x, y) AS (SELECT x, y FROM link UNION SELECT r.x, l.y FROM reach r JOIN link l ON r.y = l.x),
+low AS (SELECT x AS doc_id, min(y) AS m FROM reach GROUP BY 1)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, least(w.doc_id, coalesce(m, w.doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
+
+@query(OP1_SQL)
+def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    out = ngram_jaccard.jaccard_components(table(spark, d, "documents"))
+    return out.select("doc_id", "n_shingles", "component_id")
