@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_quality, ngram_jaccard, packing, surrogates, tokens
+from . import decontaminate, host_quality, ngram_jaccard, packing, sharding, surrogates, tokens, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -143,3 +143,23 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
 def op1_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
     out = ngram_jaccard.jaccard_components(table(spark, d, "documents"))
     return out.select("doc_id", "n_shingles", "component_id")
+
+
+@query()
+def op10_label_propagation(spark: SparkSession, d: str) -> DataFrame:
+    out = sharding.shard_rows(table(spark, d, "documents"))
+    return out.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query()
+def op8_wavelet_matrix(spark: SparkSession, d: str) -> DataFrame:
+    path = tokens.tokenizer_path("byte_bpe_50k.json")
+    return wavelet.encode(table(spark, d, "documents"), path)[0]

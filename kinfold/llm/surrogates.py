@@ -278,7 +278,7 @@ def surrogate_table(found: DataFrame) -> DataFrame:
 def replace_entities(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
     """`docs` with surrogates in `text`, and a column (its name is returned) with the number of mentions."""
     count = free_name(docs, "n_entities")
-    row, ms = free_name(docs, "__row"), free_name(docs, "__mentions")
+    row, ms, key, news = (free_name(docs, c) for c in ("__row", "__mentions", "__key", "__news"))
     th = F.xxhash64(text)
     marked = docs.withColumn(
         ms, F.when(F.col(text).rlike(HINT), entities(F.col(text))).otherwise(F.array().cast("array<string>"))
@@ -307,15 +307,15 @@ def replace_entities(docs: DataFrame, text: str = "text") -> tuple[DataFrame, st
             "row",
             F.struct("value", render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")).alias("pair"),
         )
-        .groupBy("row")
-        .agg(F.map_from_entries(F.collect_set("pair")).alias("news"))
+        .groupBy(F.col("row").alias(key))
+        .agg(F.map_from_entries(F.collect_set("pair")).alias(news))
     )
-    done = dirty.join(per_text, dirty[row] == per_text["row"])
+    done = dirty.join(per_text, F.col(row) == F.col(key))
     parts = F.split(F.col(text), ANY, -1)
     rebuilt = F.array_join(
         F.zip_with(
             parts,
-            F.transform(F.col(ms), lambda m: F.element_at("news", m)),
+            F.transform(F.col(ms), lambda m: F.element_at(news, m)),
             lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))),
         ),
         "",
