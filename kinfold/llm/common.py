@@ -53,6 +53,22 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def release(spark: SparkSession, *tables: DataFrame) -> None:
+    """Delete scratch tables that are read no more, and let Spark drop the shuffles of finished plans.
+
+    Spark removes a shuffle's files when the driver's JVM has collected the plan that made them; a job that
+    shuffles much in little driver memory would otherwise hold them all to its end.
+    """
+    import gc
+
+    for t in tables:
+        files = t.inputFiles()
+        if files:
+            delete_folder(spark, files[0].rpartition("/")[0])
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def row_key(id_col: str, text_col: str) -> list:
     """Two columns that tell rows apart even where ids repeat: the id and a hash of the text.
 

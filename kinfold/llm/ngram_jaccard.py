@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import materialise, row_key
+from .common import materialise, release, row_key
 from .graph import components
 
 N = 5
@@ -43,9 +43,9 @@ PERCENT = 80
 HINTS, HINT_COUNT = 1 << 18, 24
 #: A task reports grams that this many different sets of it share.
 LOCAL_COUNT = 3
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
 COLUMN_BLOCKS = 4
-#: Keys of the texts to read again are broadcast up to this number (16 bytes each).
+#: Keys of the texts to read again, or of copies to leave out, are broadcast up to this number (16 bytes each).
 BROADCAST_KEYS = 2_000_000
 
 
@@ -209,12 +209,22 @@ class _Join:
             "gram-classes",
         )
 
+        repeats = self.rows.groupBy("__id", "__th").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        self.rows_repeat = not repeats.isEmpty()
+
     def shared(self) -> DataFrame:
         """The incidences of prefix grams that at least two classes have: `g`, `cls`, `n`, `pos`."""
-        stand = self.rows.join(self.classes.select("row"), "row", "left_semi")
-        inc = stand.select("cls", "n", F.posexplode("prefix").alias("pos", "g"))
+        copies = self.rows.where("n > 0").select("row").join(self.classes.select("row"), "row", "left_anti")
+        copies = materialise(copies, "gram-copies")
+        few = copies.count() <= BROADCAST_KEYS
+        stand = self.rows.join(F.broadcast(copies) if few else copies, "row", "left_anti")
+        inc = stand.select("cls", F.posexplode("prefix").alias("pos", "g"))
         many = inc.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-        return materialise(inc.join(many, "g"), "gram-incidence")
+        met = materialise(inc.join(many, "g"), "gram-met")
+        out = materialise(met.join(self.classes.select("cls", "n"), "cls"), "gram-incidence")
+        self.rows = materialise(self.rows.drop("prefix"), "gram-keys")
+        release(self.docs.sparkSession, met)
+        return out
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (`a`, `b`) whose sets reach the similarity."""
@@ -240,12 +250,14 @@ class _Join:
         key = row_key(self.id_col, self.text)
         texts = self.docs.select(*key, F.col(self.text).alias("t"))
         same = texts["__id"].eqNullSafe(need["__id"]) & (texts["__th"] == need["__th"])
-        found = texts.join(side, same).select("cls", sets("t").alias("grams")).dropDuplicates(["cls"])
-        found = materialise(found, "gram-sets")
+        found = texts.join(side, same).select("cls", sets("t").alias("grams"))
+        found = materialise(found.dropDuplicates(["cls"]) if self.rows_repeat else found, "gram-sets")
         both = pairs.join(found.withColumnsRenamed({"cls": "a", "grams": "ga"}), "a").join(
             found.withColumnsRenamed({"cls": "b", "grams": "gb"}), "b"
         )
-        return materialise(both.where(_overlap_reaches(self.percent)("ga", "gb")).select("a", "b"), "gram-links")
+        out = materialise(both.where(_overlap_reaches(self.percent)("ga", "gb")).select("a", "b"), "gram-links")
+        release(self.docs.sparkSession, found)
+        return out
 
     def _possible(self, na, ia, nb, ib):
         """The size-derived bounds for two rows whose first shared gram is at `ia` and `ib`."""
