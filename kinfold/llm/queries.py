@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_quality, ngram_jaccard, packing, sharding, surrogates, tokens, wavelet
+from . import decontaminate, host_quality, ngram_jaccard, packing, ppm, recompression, sharding, surrogates, tokens, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -163,3 +163,34 @@ def op10_label_propagation(spark: SparkSession, d: str) -> DataFrame:
 def op8_wavelet_matrix(spark: SparkSession, d: str) -> DataFrame:
     path = tokens.tokenizer_path("byte_bpe_50k.json")
     return wavelet.encode(table(spark, d, "documents"), path)[0]
+
+
+@query()
+def op3_ppm(spark: SparkSession, d: str) -> DataFrame:
+    return ppm.score(table(spark, d, "documents"))
+
+
+OP7_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s
+        FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+twice AS (SELECT doc_id, i FROM win WHERE md5(s) IN (SELECT md5(s) FROM win GROUP BY 1 HAVING count(*) > 1)),
+gone AS (SELECT doc_id, list(DISTINCT p) AS ps FROM (SELECT doc_id, unnest(range(i, i + 35)) AS p FROM twice) GROUP BY 1),
+word AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM w),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS t, count(*) AS n
+  FROM word LEFT JOIN (SELECT doc_id, unnest(ps) AS p, true AS gone FROM gone) g USING (doc_id, p)
+  WHERE gone IS NULL GROUP BY 1)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM w LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(OP7_SQL)
+def op7_recompression(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    out, c = recompression.remove_repeats(docs)
+    return out.select(
+        "doc_id", f"{c}.n_words", f"{c}.n_removed", F.sha2(f"{c}.kept", 256).alias("kept_sha256")
+    )
