@@ -11,11 +11,12 @@ from __future__ import annotations
 import functools
 import re
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_200_000
 #: A space before white space or at the end does not part words of a byte-level text.
 _JOINED = re.compile(r" (?=\s|\Z)")
 
@@ -26,8 +27,52 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class _Ids(dict):
+    """Numbers strings in the order they are first asked for, and holds the ids of each.
+
+    Asking gives the numbers; those asked for the first time are in `new` until `add` brings their ids.
+    """
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+        self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+
+    def __missing__(self, text: str) -> int:
+        self[text] = number = len(self)
+        self.new.append(text)
+        return number
+
+    def numbers(self, lists: list[list[str]], total: int) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, chain.from_iterable(lists)), np.int64, total)
+
+    def add(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        n, total = len(self) - len(self.new), len(flat)
+        while len(self) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.sizes[n : len(self)] = sizes
+        self.starts[n : len(self)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + total] = flat
+        self.used += total
+        self.new = []
+
+    def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbered strings one after the other, and where each one's begin (and the end)."""
+        length = self.sizes[at]
+        total = np.concatenate([[0], np.cumsum(length)])
+        return self.flat[np.repeat(self.starts[at] - total[:-1], length) + np.arange(total[-1])], total
+
+
 class PartEncoder:
-    """Ids of texts; `leading_space` says that a word keeps the space before it (byte-level files)."""
+    """Ids of texts; `leading_space` says that a word keeps the space before it (byte-level files).
+
+    A part not met before is cut further where the file's pattern always cuts (before a last full stop or
+    comma behind a letter, at single line feeds), so that fewer strings need the tokenizer.
+    """
 
     def __init__(self, path: str, leading_space: bool):
         import os
@@ -38,14 +83,7 @@ class PartEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.leading_space = leading_space
-        self._clear()
-
-    def _clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.starts = np.zeros(1 << 16, np.int64)
-        self.sizes = np.zeros(1 << 16, np.int64)
-        self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.parts, self.stems = _Ids(), _Ids()
 
     def _parts(self, text: str) -> list[str]:
         if not self.leading_space:
@@ -64,41 +102,47 @@ class PartEncoder:
                 parts.append(item)
         return parts if parts[0] != "\n" else parts[1:]
 
-    def _learn(self, new: list[str]) -> None:
+    def _stems(self, part: str) -> list[str]:
         if self.leading_space:
-            texts = [p[1:] if p[0] == "\n" else " " + p for p in new]
+            text = part[1:] if part[0] == "\n" else " " + part
+            lines = text.split("\n")
+            if any(not x or x[0].isspace() or x[-1].isspace() for x in lines[1:]) or lines[0][-1:].isspace():
+                return [text]
         else:
-            texts = new
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        n, total = len(self.place), int(sizes.sum())
-        while n + len(new) > len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.sizes = np.concatenate([self.sizes, np.zeros_like(self.sizes)])
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.sizes[n : n + len(new)] = sizes
-        self.starts[n : n + len(new)] = self.used + np.cumsum(sizes) - sizes
-        self.flat[self.used : self.used + total] = [i for ids in found for i in ids]
-        self.used += total
-        self.place.update(zip(new, range(n, n + len(new)), strict=True))
+            lines = [x.lower() if x.isascii() else x for x in part.split("\n")]
+        out = []
+        for i, x in enumerate(lines):
+            if i and self.leading_space:
+                out.append("\n")
+            if x[-1:] in (".", ",") and x[-2:-1].isalpha():
+                out += [x[:-1], x[-1]]
+            else:
+                out.append(x)
+        return out
+
+    def _learn(self) -> None:
+        stems = [self._stems(p) for p in self.parts.new]
+        sizes = np.fromiter(map(len, stems), np.int64, len(stems))
+        at = self.stems.numbers(stems, int(sizes.sum()))
+        if self.stems.new:
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.stems.new, add_special_tokens=False)]
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            self.stems.add(np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count)
+        flat, total = self.stems.gather(at)
+        ends = total[np.cumsum(sizes)]
+        self.parts.add(flat, np.diff(np.concatenate([[0], ends])))
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
-        if len(self.place) > CACHE_WORDS:
-            self._clear()
+        if len(self.parts) > CACHE_WORDS:
+            self.parts, self.stems = _Ids(), _Ids()
         parts = [self._parts(t) if t else [] for t in texts]
-        known = self.place
-        new = list(dict.fromkeys(p for ps in parts for p in ps if p not in known))
-        if new:
-            self._learn(new)
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        at = np.fromiter((known[p] for ps in parts for p in ps), np.int64, int(sizes.sum()))
-        length = self.sizes[at]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(self.starts[at] - total[:-1], length) + np.arange(total[-1])]
-        cuts = total[np.cumsum(sizes)]
-        return np.split(ids, cuts[:-1]) if len(texts) else []
+        at = self.parts.numbers(parts, int(sizes.sum()))
+        if self.parts.new:
+            self._learn()
+        ids, total = self.parts.gather(at)
+        return np.split(ids, total[np.cumsum(sizes)][:-1]) if len(texts) else []
 
 
 @functools.lru_cache(maxsize=2)

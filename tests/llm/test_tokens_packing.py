@@ -7,7 +7,7 @@ from kinfold.llm import packing, tokens
 
 ODD = ["a  b", "a   b ", " a", "  a", "a \nb", "a\n \nb", "a\n bar", "a  b", "x\x1c y", "", " ", "   ", "\n", "\n x",
        "it's  <|endoftext|> x<|startoftext|>y", "\t\t a \t b\n\n  c", "é́ ́a  ñ", "ΑΣ ΑΣ. ΣΑΣ",
-       "a b c　 d", "12 345 6,7 'll we'll", "́x y"]
+       "a b c　 d", "12 345 6,7 'll we'll", "́x y", "H̱. ẖ, E\u0301.", "a.\nB,\n\nc. d.\n"]
 
 
 @pytest.mark.parametrize(("name", "leading"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
