@@ -28,6 +28,15 @@ def scratch_folder(spark: SparkSession, label: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir().rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def arrow_filesystem(folder: str):
+    """Arrow's file system and path for a folder of the shared file system, for use inside tasks."""
+    from pyarrow import fs
+
+    if folder.startswith("file:/") and not folder.startswith("file://"):
+        folder = "file://" + folder[len("file:") :]
+    return fs.FileSystem.from_uri(folder)
+
+
 def write_table(df: DataFrame, label: str, partition_by: str | None = None) -> str:
     """Write `df` as Parquet into the shared folder and return the path.
 

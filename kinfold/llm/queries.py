@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_quality, ngram_jaccard, packing, ppm, recompression, sharding, surrogates, tokens, wavelet
+from . import decontaminate, host_quality, ngram_jaccard, packing, ppm, recompression, sharding, surrogates
+from . import tokens, toxicity, wavelet
 from .common import table
 
 QUERIES: dict = {}
@@ -194,3 +195,9 @@ def op7_recompression(spark: SparkSession, d: str) -> DataFrame:
     return out.select(
         "doc_id", f"{c}.n_words", f"{c}.n_removed", F.sha2(f"{c}.kept", 256).alias("kept_sha256")
     )
+
+
+@query()
+def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))

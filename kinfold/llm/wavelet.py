@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as TK
-from .common import materialise, scratch_folder
+from .common import arrow_filesystem, materialise, scratch_folder
 
 MAGIC = b"KWM1"
 BLOCK = 512
@@ -178,14 +178,6 @@ class Shard:
         )
 
 
-def _filesystem(folder: str):
-    from pyarrow import fs
-
-    if folder.startswith("file:/") and not folder.startswith("file://"):
-        folder = "file://" + folder[len("file:") :]
-    return fs.FileSystem.from_uri(folder)
-
-
 def write_shards(
     docs: DataFrame,
     tokenizer: str,
@@ -199,7 +191,7 @@ def write_shards(
     """Write the files and return a row per file: `task`, `shard`, `documents`, `tokens`, `file`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, root = _filesystem(folder)
+        system, root = arrow_filesystem(folder)
         system.create_dir(root, recursive=True)
         context = TaskContext.get()
         task, attempt = context.partitionId(), context.taskAttemptId()
@@ -256,7 +248,7 @@ def read_shards(files: DataFrame, folder: str, id_col: str = "doc_id") -> DataFr
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, _ = _filesystem(folder)
+        system, _ = arrow_filesystem(folder)
         for batch in batches:
             for task, before, name in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with system.open_input_file(name) as f:
