@@ -3,17 +3,45 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kinfold.llm import host_quality
+from kinfold.llm import decontaminate, host_quality, ngram_jaccard, packing, surrogates, tokens
 from kinfold.llm.common import materialise, table
 
 
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules or their host's verdict reject go."""
     return host_quality.keep_good(docs)
 
 
-STAGES = [("quality_rules", quality)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies stays."""
+    return ngram_jaccard.drop_near_copies(docs)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a benchmark window go."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data gets surrogates; `n_chars` follows the text."""
+    out, count = surrogates.replace_entities(docs)
+    return out.drop(count).withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece with its sequence and place."""
+    return packing.pack(docs, tokens.tokenizer_path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("ngram_jaccard_join", near_copies),
+    ("benchmark_decontamination", benchmark_passages),
+    ("pii_surrogates", personal_data),
+    ("best_fit_packing", packed),
+]
 
 #: Ids of a tokenizer file have no SQL form; tests hold run() against a brute-force version.
 ORACLE_SQL = None

@@ -13,9 +13,9 @@ blocks of it that can hold a link are computed:
 * Remaining columns: for the pairs left, the overlap is accumulated over column blocks (ranges of gram
   hashes) and the pair is dropped as soon as what is left cannot reach the bound.
 
-As the result is the components of the links, pairs inside a component already found need no product. Some
-rounds first hold every row of a gram against one of the rows that share it; these few pairs tie groups of
-near copies together; then all remaining pairs of rows in different components are computed. Every link
+As the result is the components of the links, pairs inside a component already found need no product. First
+every row of a gram is held against one of the rows that share it; these few pairs tie groups of near copies
+together; then all remaining pairs of rows in different components are computed. Every link
 between different components is therefore found, and a group of m near copies costs about m products.
 
 Grams are 64-bit hashes. Defined results: texts without words (null, empty) have an empty set and link with
@@ -43,7 +43,7 @@ PERCENT = 80
 HINTS, HINT_COUNT = 1 << 18, 24
 #: A task reports grams that this many different sets of it share.
 LOCAL_COUNT = 3
-STAR_ROUNDS = 2
+STAR_ROUNDS = 1
 COLUMN_BLOCKS = 4
 #: Keys of the texts to read again, or of copies to leave out, are broadcast up to this number (16 bytes each).
 BROADCAST_KEYS = 2_000_000
@@ -203,7 +203,7 @@ class _Join:
             .groupBy("cls")
             .agg(
                 F.min("__id").alias("least_id"),
-                F.min(F.struct("row", "__id", "__th", "n")).alias("first"),
+                F.min(F.struct(F.col("__id").isNull(), "__id", "row", "__th", "n")).alias("first"),
             )
             .select("cls", "least_id", "first.row", "first.__id", "first.__th", "first.n"),
             "gram-classes",
@@ -214,25 +214,29 @@ class _Join:
 
     def shared(self) -> DataFrame:
         """The incidences of prefix grams that at least two classes have: `g`, `cls`, `n`, `pos`."""
-        copies = self.rows.where("n > 0").select("row").join(self.classes.select("row"), "row", "left_anti")
-        copies = materialise(copies, "gram-copies")
-        few = copies.count() <= BROADCAST_KEYS
+        full = self.rows.where("n > 0").select("row")
+        copies = full.join(self.classes.select("row"), "row", "left_anti")
+        few = full.count() - self.classes.count() <= BROADCAST_KEYS
         stand = self.rows.join(F.broadcast(copies) if few else copies, "row", "left_anti")
-        inc = stand.select("cls", F.posexplode("prefix").alias("pos", "g"))
+        inc = stand.select("cls", "n", F.posexplode("prefix").alias("pos", "g")).select(
+            "g", "cls", (F.shiftleft("n", 24) + F.col("pos")).alias("np")
+        )
         many = inc.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g")
-        met = materialise(inc.join(many, "g"), "gram-met")
-        out = materialise(met.join(self.classes.select("cls", "n"), "cls"), "gram-incidence")
-        self.rows = materialise(self.rows.drop("prefix"), "gram-keys")
-        release(self.docs.sparkSession, met)
+        met = inc.join(many, "g").select(
+            "g",
+            "cls",
+            F.shiftright("np", 24).alias("n"),
+            F.col("np").bitwiseAND(F.lit((1 << 24) - 1)).cast("int").alias("pos"),
+        )
+        out = materialise(met, "gram-incidence")
+        release(self.docs.sparkSession)
         return out
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """The pairs (`a`, `b`) whose sets reach the similarity."""
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
-        need = materialise(
-            self.classes.join(ends.distinct(), "cls", "left_semi").select("cls", "__id", "__th"), "gram-need"
-        )
-        side = F.broadcast(need) if need.count() <= BROADCAST_KEYS else need
+        need = self.classes.join(ends.distinct(), "cls", "left_semi").select("cls", "__id", "__th")
+        side = F.broadcast(need) if 2 * pairs.count() <= BROADCAST_KEYS else need
         n = self.n
 
         @F.arrow_udf("array<bigint>")
@@ -249,7 +253,7 @@ class _Join:
 
         key = row_key(self.id_col, self.text)
         texts = self.docs.select(*key, F.col(self.text).alias("t"))
-        same = texts["__id"].eqNullSafe(need["__id"]) & (texts["__th"] == need["__th"])
+        same = texts["__id"].eqNullSafe(side["__id"]) & (texts["__th"] == side["__th"])
         found = texts.join(side, same).select("cls", sets("t").alias("grams"))
         found = materialise(found.dropDuplicates(["cls"]) if self.rows_repeat else found, "gram-sets")
         both = pairs.join(found.withColumnsRenamed({"cls": "a", "grams": "ga"}), "a").join(
@@ -281,7 +285,8 @@ class _Join:
                 .agg(
                     F.min("comp").alias("low"),
                     F.max("comp").alias("high"),
-                    F.min(F.struct(F.xxhash64("cls", F.lit(r)).alias("o"), "cls", "n", "pos", "comp")).alias("s"),
+                    # The row with the fewest rarer grams: the original rather than an edited copy of it.
+                    F.min(F.struct("pos", F.xxhash64("cls", F.lit(r)).alias("o"), "cls", "n", "comp")).alias("s"),
                 )
                 .where("low <> high")
             )
@@ -309,9 +314,7 @@ class _Join:
             tested = pairs if tested is None else tested.unionByName(pairs)
             new = self.links(pairs)
             links = new if links is None else links.unionByName(new)
-            labels = materialise(
-                components(links).select(F.col("node").alias("cls"), "component"), "gram-labels"
-            )
+            labels = components(links).select(F.col("node").alias("cls"), "component")
         if labels is None:
             return self.classes.select("cls", F.col("cls").alias("component")).limit(0)
         return labels
@@ -322,11 +325,35 @@ def jaccard_components(
 ) -> DataFrame:
     """Every document: id, text hash `__th`, `n_shingles`, `component_id` (the smallest id reachable by
     links) and `first` (whether it is the one document that stands for its component)."""
+    return _labelled(_Join(docs, id_col, text, n, percent))
+
+
+def drop_near_copies(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", n: int = N, percent: int = PERCENT
+) -> DataFrame:
+    """One document of each component (the one with the smallest id), with the columns they came with;
+    documents without words all stay."""
     join = _Join(docs, id_col, text, n, percent)
-    labels = join.components()
+    found = _labelled(join)
+    gone = found.where(~F.col("first")).select(F.col(id_col).alias("__id"), "__th")
+    if join.rows_repeat:
+        # Copies of a row share its key: drop the key only where no row of it stays, then keep one of them.
+        stay = found.where("first").select(F.col(id_col).alias("__id"), "__th")
+        same = gone["__id"].eqNullSafe(stay["__id"]) & (gone["__th"] == stay["__th"])
+        gone = gone.join(stay, same, "left_anti")
+    th = F.xxhash64(F.coalesce(docs[text], F.lit("")))
+    kept = docs.join(gone, docs[id_col].eqNullSafe(gone["__id"]) & (th == gone["__th"]), "left_anti")
+    if join.rows_repeat:
+        has_word = F.coalesce(F.col(text), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+        kept = kept.where(has_word).dropDuplicates([id_col, text]).unionByName(kept.where(~has_word))
+    return kept
+
+
+def _labelled(join: _Join) -> DataFrame:
+    id_col, labels = join.id_col, join.components()
     of_class = join.classes.join(labels, "cls", "left").withColumn("component", F.coalesce("component", "cls"))
     least = of_class.groupBy("component").agg(
-        F.min("least_id").alias("component_id"), F.min(F.struct("least_id", "row")).alias("f")
+        F.min("least_id").alias("component_id"), F.min(F.struct(F.col("least_id").isNull(), "least_id", "row")).alias("f")
     )
     of_class = materialise(
         of_class.join(least, "component").select("cls", "component_id", F.col("f.row").alias("f_row")),
