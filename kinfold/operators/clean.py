@@ -43,6 +43,7 @@ def outlier_bounds(
     if method not in OUTLIER_METHODS:
         raise ValueError(f"Unknown outlier detection method: {method}")
     features = list(features)
+    df = nan_as_null(df, features)
     if method == "iqr":
         found = column_quantiles(df, features, [0.25, 0.75])
         out = {}
@@ -63,10 +64,10 @@ def outlier_bounds(
 
 
 def outlier_flag(bounds: dict[str, tuple[float, float]], method: str, threshold: float) -> Column:
-    """True when any feature is out; a null value is never an outlier."""
+    """True when any feature is out; a missing value (null or NaN) is never an outlier."""
     flag = F.lit(False)
     for c, (a, b) in bounds.items():
-        x = F.col(c).cast("double")
+        x = nan_to_null(F.col(c))
         if method == "iqr":
             out = (x < F.lit(a)) | (x > F.lit(b))
         else:
@@ -231,6 +232,7 @@ def apply_scaler(df: DataFrame, params: ScaleParams, suffix: str = "") -> DataFr
 
 
 def scale(df: DataFrame, features: Sequence[str], kind: str = "standard") -> DataFrame:
+    df = nan_as_null(df, features)
     return apply_scaler(df, fit_scaler(df, features, kind))
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..presets import MOOD_DEFAULT, MOOD_RULES
 from . import clusters
 from .dbscan import dbscan
-from .hierarchy import hierarchical
-from .kmeans import N_INIT, assign_nearest, find_optimal_k, fit_kmeans
+from .hierarchy import LEAVES, cut_labels, label_leaves, ward_leaves, ward_merges
+from .kmeans import N_INIT, assign_nearest, find_optimal_k, fit_kmeans, score_labels
 
 ALGORITHMS = ("kmeans", "dbscan", "agglomerative")
 DEFAULT_K = 8
@@ -74,24 +74,25 @@ def fit_clusters(
     seed: int = 42,
     silhouette: str = "exact",
     label_on: Sequence[str] | None = None,
+    ward_method: str = "centres",
+    leaves: int = LEAVES,
     mood_rules=MOOD_RULES,
     mood_default: str = MOOD_DEFAULT,
 ) -> tuple[ClusterModel, DataFrame]:
     """The fitted model and the labelled table.
 
-    Without `k`, `auto_tune` tries `min_k`..`max_k` by silhouette, else k is 8; dbscan needs no
-    k but an `id_col`. Clusters are named from the means of `features`, or of the columns
+    Without `k`, `auto_tune` tries `min_k`..`max_k` by silhouette with the algorithm asked for
+    (one list of Ward merges gives every k), else k is 8; dbscan needs no k but an `id_col`. Clusters are named from the means of `features`, or of the columns
     given as `label_on` (e.g. the unscaled features).
     """
     if algorithm not in ALGORITHMS:
         raise ValueError(f"Unknown clustering algorithm: {algorithm}")
     features = list(features)
     scores = None
-    if algorithm != "dbscan" and k is None:
-        if auto_tune:
-            k, scores = find_optimal_k(df, features, max_k, min_k, n_init, seed, silhouette)
-        else:
-            k = DEFAULT_K
+    if algorithm != "dbscan" and k is None and not auto_tune:
+        k = DEFAULT_K
+    if algorithm == "kmeans" and k is None:
+        k, scores = find_optimal_k(df, features, max_k, min_k, n_init, seed, silhouette)
     if algorithm == "kmeans":
         fit = fit_kmeans(df, features, k, n_init=n_init, seed=seed)
         labelled = assign_nearest(df, features, fit.centers, cluster)
@@ -100,7 +101,13 @@ def fit_clusters(
             raise ValueError("dbscan needs id_col")
         labelled = dbscan(df, id_col, features, eps, min_samples, cluster)
     else:
-        labelled = hierarchical(df, features, k, cluster, seed=seed)
+        data, ids, centers, sizes = ward_leaves(df, features, ward_method, leaves, seed)
+        merges = ward_merges(centers, sizes)
+        if k is None:
+            ks = range(min_k, min(max_k, len(ids)) + 1)
+            cuts = ((i, label_leaves(data, ids, cut_labels(merges, len(ids), i), cluster)) for i in ks)
+            k, scores = score_labels(cuts, features, cluster, silhouette)
+        labelled = label_leaves(data, ids, cut_labels(merges, len(ids), k), cluster)
 
     stats = clusters.cluster_stats(labelled, features, cluster)
     named = stats if label_on is None else clusters.cluster_stats(labelled, label_on, cluster)

@@ -201,4 +201,8 @@ def align_labels(
         n, m = rows.count(), labels.count()
         if n != m:
             raise ValueError(f"Tables must have the same length: {n} rows, {m} labels")
+        for a, b, what in ((rows, labels, "rows without a label"), (labels, rows, "labels without a row")):
+            lone = a.join(b.select(id_col).distinct(), id_col, "left_anti").count()
+            if lone:
+                raise ValueError(f"Tables must have the same ids: {lone} {what}")
     return rows.join(labels, id_col)

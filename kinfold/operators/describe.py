@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .clean import nan_as_null
 from .quantiles import exact_quantiles
 
 
@@ -45,7 +46,7 @@ def feature_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
         )
         return df.sparkSession.createDataFrame([], empty)
     return _per_feature(
-        df,
+        nan_as_null(df, features),
         features,
         {
             "n_rows": lambda c: F.count(F.lit(1)),
@@ -59,8 +60,8 @@ def feature_summary(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 def missing_counts(df: DataFrame, features: Sequence[str], only_missing: bool = False) -> DataFrame:
-    """Null count per feature; `only_missing` keeps the features that have any."""
-    out = _per_feature(df, list(features), {"missing": _missing})
+    """Nulls and NaNs per feature; `only_missing` keeps the features that have any."""
+    out = _per_feature(nan_as_null(df, list(features)), list(features), {"missing": _missing})
     return out.where("missing > 0") if only_missing else out
 
 
@@ -71,6 +72,7 @@ def missing_total(df: DataFrame, features: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """count, mean, sample std, min, exact quartiles and max per feature."""
     features = list(features)
+    df = nan_as_null(df, features)
     fields = {
         "count": F.count,
         "mean": lambda c: F.avg(_d(c)),

@@ -1,7 +1,9 @@
-"""Ward clustering: exact on a table with few distinct rows, over micro-clusters beyond.
+"""Ward clustering over weighted centres, or over the distinct rows themselves.
 
-Spark reduces the table to at most `max_leaves` weighted centres; merging those is a small
-fixed-size step, so its cost does not depend on the table.
+The caller says which: `method="centres"` always reduces the table in Spark to `leaves` k-means centres
+with their sizes and merges those, a step whose cost depends on `leaves` alone; `method="exact"` merges
+the distinct rows, for small tables only, and refuses more than `MAX_EXACT` of them. The procedure never
+changes with the size of the table.
 """
 
 from __future__ import annotations
@@ -16,7 +18,9 @@ from ..functions.vectors import as_vector
 from .kernels import to_matrix
 from .kmeans import assign_nearest, fit_kmeans
 
-MAX_LEAVES = 2000
+LEAVES = 200
+MAX_EXACT = 2000
+METHODS = ("centres", "exact")
 
 
 def hierarchical(
@@ -24,30 +28,49 @@ def hierarchical(
     features: str | Sequence[str],
     k: int,
     cluster: str = "cluster",
-    max_leaves: int = MAX_LEAVES,
+    method: str = "centres",
+    leaves: int = LEAVES,
     seed: int = 42,
 ) -> DataFrame:
     """The table with a Ward label per row, labels ordered by their smallest leaf."""
+    data, ids, centers, sizes = ward_leaves(df, features, method, leaves, seed)
+    labels = cut_labels(ward_merges(centers, sizes), len(ids), k)
+    return label_leaves(data, ids, labels, cluster)
+
+
+def ward_leaves(
+    df: DataFrame,
+    features: str | Sequence[str],
+    method: str = "centres",
+    leaves: int = LEAVES,
+    seed: int = 42,
+) -> tuple[DataFrame, list[int], np.ndarray, np.ndarray]:
+    """The table with its leaf per row (`__leaf`), and the leaves' ids, centres and sizes.
+
+    At most `leaves` (or `MAX_EXACT`) rows are fetched.
+    """
+    if method not in METHODS:
+        raise ValueError(f"Unknown method: {method}")
     data = df.withColumn("__vec", as_vector(features))
-    leaves = data.groupBy(F.col("__vec").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    few = leaves.limit(max_leaves + 1).toArrow()
-    exact = few.num_rows <= max_leaves
-    if not exact:
-        fit = fit_kmeans(data, "__vec", max_leaves, n_init=1, seed=seed)
-        data = assign_nearest(data, "__vec", fit.centers, "__leaf")
-        few = data.groupBy("__leaf").agg(F.count(F.lit(1)).alias("n")).orderBy("__leaf").toArrow()
-        ids = few.column("__leaf").to_pylist()
-        centers = np.asarray(fit.centers)[ids]
-    else:
+    if method == "exact":
+        distinct = data.groupBy(F.col("__vec").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        few = distinct.limit(MAX_EXACT + 1).toArrow()
+        if few.num_rows > MAX_EXACT:
+            raise ValueError(f'More than {MAX_EXACT} distinct rows; use method="centres"')
         centers = to_matrix(few.column("v"))
         order = np.lexsort(centers.T[::-1])
-        centers = centers[order]
-        few = few.take(order)
+        centers, sizes = centers[order], few.column("n").to_numpy().astype(float)[order]
         ids = list(range(len(centers)))
-        data = assign_nearest(data, "__vec", centers.tolist(), "__leaf") if len(ids) else data
-    if k > len(ids):
-        raise ValueError(f"Cannot form {k} clusters from {len(ids)} distinct rows")
-    labels = ward_labels(centers, few.column("n").to_numpy().astype(float), k)
+        out = assign_nearest(data, "__vec", centers.tolist(), "__leaf") if ids else data
+        return out, ids, centers, sizes
+    fit = fit_kmeans(data, "__vec", leaves, n_init=1, seed=seed)
+    data = assign_nearest(data, "__vec", fit.centers, "__leaf")
+    few = data.groupBy("__leaf").agg(F.count(F.lit(1)).alias("n")).orderBy("__leaf").toArrow()
+    ids = few.column("__leaf").to_pylist()
+    return data, ids, np.asarray(fit.centers)[ids], few.column("n").to_numpy().astype(float)
+
+
+def label_leaves(data: DataFrame, ids: list[int], labels: np.ndarray, cluster: str) -> DataFrame:
     lookup = dict(zip(ids, labels.tolist(), strict=True))
     positions = F.array(*[F.lit(lookup.get(i, -1)) for i in range(max(ids) + 1)])
     out = data.withColumn(cluster, F.get(positions, F.col("__leaf")).cast("int"))
@@ -82,9 +105,11 @@ def ward_merges(centers: np.ndarray, sizes: np.ndarray) -> list[tuple[float, int
     return merges
 
 
-def ward_labels(centers: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
-    """Labels after the cheapest merges down to k groups."""
-    parent = np.arange(len(centers))
+def cut_labels(merges: list[tuple[float, int, int]], n: int, k: int) -> np.ndarray:
+    """Labels of `n` leaves after the cheapest merges down to k groups; one merge list gives every k."""
+    if k > n:
+        raise ValueError(f"Cannot form {k} clusters from {n} distinct rows")
+    parent = np.arange(n)
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -92,9 +117,7 @@ def ward_labels(centers: np.ndarray, sizes: np.ndarray, k: int) -> np.ndarray:
             i = parent[i]
         return i
 
-    merges = sorted(ward_merges(centers, sizes), key=lambda m: m[0])
-    for _, a, b in merges[: max(0, len(centers) - k)]:
+    for _, a, b in sorted(merges, key=lambda m: m[0])[: n - k]:
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
-    roots = np.array([root(i) for i in range(len(centers))])
-    return np.unique(roots, return_inverse=True)[1]
+    return np.unique(np.array([root(i) for i in range(n)]), return_inverse=True)[1]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -16,7 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_vector
 from .kernels import to_matrix
-from .quality import clustering_quality, silhouette_squared
+from .quality import (
+    ONE_LABEL,
+    calinski_harabasz,
+    clustering_quality,
+    davies_bouldin,
+    silhouette_squared,
+)
 
 N_INIT = 10
 MAX_ITER = 300
@@ -74,7 +80,10 @@ def assign_nearest(
     distance: str | None = None,
     labels: Sequence[int] | None = None,
 ) -> DataFrame:
-    """Add the label of the nearest centre (lowest position on ties) and its distance."""
+    """Add the label of the nearest centre (lowest position on ties) and its distance.
+
+    A row with a missing feature (null or NaN) gets a null label and distance.
+    """
     if not len(centers):
         raise ValueError("There are no centers; fit first")
     labels = list(range(len(centers))) if labels is None else [int(x) for x in labels]
@@ -97,7 +106,11 @@ def assign_nearest(
             ],
             F.struct(F.lit(float("inf")).alias("d"), F.lit(len(centers)).alias("i")),
         )
-        out = df.withColumn("__best", best)
+        whole = F.lit(True)
+        for c in features:
+            x = F.col(c).cast("double")
+            whole = whole & x.isNotNull() & ~F.isnan(x)
+        out = df.withColumn("__best", F.when(whole, best))
         values = {cluster: F.get(F.array(*[F.lit(x) for x in labels]), F.col("__best.i"))}
         if distance:
             values[distance] = F.sqrt("__best.d")
@@ -105,6 +118,20 @@ def assign_nearest(
     return _assign_arrow(df, features, centers, cluster, distance, labels)
 
 
+def _whole_rows(v: pa.Array) -> np.ndarray:
+    """Which vectors are present and have no missing value."""
+    if isinstance(v, pa.ChunkedArray):
+        v = v.combine_chunks()
+    present = ~v.is_null().to_numpy(zero_copy_only=False)
+    flat = v.flatten()
+    missing = np.isnan(flat.to_numpy(zero_copy_only=False).astype(float))
+    if missing.any():
+        sizes = np.zeros(len(v), np.int64)
+        sizes[present] = v.value_lengths().filter(pa.array(present)).to_numpy()
+        present[np.repeat(np.arange(len(v)), sizes)[missing]] = False
+    return present
+
+
 def _assign_arrow(df, features, centers, cluster, distance, labels) -> DataFrame:
     payload = (np.asarray(centers, dtype=float), np.asarray(labels, dtype=np.int32))
     shared = df.sparkSession.sparkContext.broadcast(payload)
@@ -114,7 +141,8 @@ def _assign_arrow(df, features, centers, cluster, distance, labels) -> DataFrame
     def nearest(v: pa.Array) -> pa.Array:
         c, names = shared.value
         norms = (c * c).sum(axis=1)
-        x = to_matrix(v)
+        whole = _whole_rows(v)
+        x = to_matrix(v.filter(pa.array(whole)))
         if not len(x):
             label, d = np.empty(0, np.int32), np.empty(0)
         else:
@@ -127,8 +155,11 @@ def _assign_arrow(df, features, centers, cluster, distance, labels) -> DataFrame
             r, j, d = r[order], j[order], d[order]
             first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             label, d = names[j[first]], d[first]
+        labels, distances = np.zeros(len(v), np.int32), np.zeros(len(v))
+        labels[whole], distances[whole] = label, d
         return pa.StructArray.from_arrays(
-            [pa.array(label, pa.int32()), pa.array(d, pa.float64())], ["label", "distance"]
+            [pa.array(labels, mask=~whole), pa.array(distances, mask=~whole)],
+            ["label", "distance"],
         )
 
     out = df.withColumn("__best", nearest(as_vector(features)))
@@ -155,29 +186,52 @@ def find_optimal_k(
     if silhouette not in ("exact", "squared"):
         raise ValueError(f"Unknown silhouette: {silhouette}")
     data = df.select(as_vector(features).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    rows = []
-    try:
+    costs = {}
+
+    def labelled():
         n = data.count()
-        for k in range(min_k, max_k + 1):
-            if k > n:
-                break
+        for k in range(min_k, min(max_k, n) + 1):
             fit = fit_kmeans(data, "v", k, n_init=n_init, seed=seed)
-            labelled = assign_nearest(data, "v", fit.centers)
-            if silhouette == "exact":
-                q = clustering_quality(labelled, "v").first()
-                scores = (q["silhouette"], q["calinski_harabasz"], q["davies_bouldin"])
-            else:
-                scores = (silhouette_squared(labelled, "v"), None, None)
-            if scores[0] == -1.0:
-                continue
-            rows.append((k, *scores, fit.cost))
+            costs[k] = fit.cost
+            yield k, assign_nearest(data, "v", fit.centers)
+
+    try:
+        best, table = score_labels(labelled(), "v", "cluster", silhouette)
     finally:
         data.unpersist()
+    cost = F.create_map(*[F.lit(x) for k, c in costs.items() for x in (k, c)])
+    return best, table.withColumn("cost", F.element_at(cost, F.col("k"))).select(
+        "k", "silhouette", "calinski_harabasz", "davies_bouldin", "cost", "is_best"
+    )
+
+
+def score_labels(
+    labelled: Iterable[tuple[int, DataFrame]],
+    features: str | Sequence[str],
+    cluster: str = "cluster",
+    silhouette: str = "exact",
+) -> tuple[int, DataFrame]:
+    """(best k, one row of scores per k) for labelled tables; those with one label are left out."""
+    if silhouette not in ("exact", "squared"):
+        raise ValueError(f"Unknown silhouette: {silhouette}")
+    rows, spark = [], None
+    for k, df in labelled:
+        spark = df.sparkSession
+        if silhouette == "exact":
+            q = clustering_quality(df, features, cluster).first()
+            scores = (q["silhouette"], q["calinski_harabasz"], q["davies_bouldin"])
+        else:
+            scores = (silhouette_squared(df, features, cluster),)
+            if scores[0] != ONE_LABEL:
+                scores += (
+                    calinski_harabasz(df, features, cluster).first()[0],
+                    davies_bouldin(df, features, cluster).first()[0],
+                )
+        if scores[0] != ONE_LABEL:
+            rows.append((k, *scores))
     if not rows:
         raise ValueError("No valid clustering results found")
     best = max(rows, key=lambda r: (r[1], -r[0]))[0]
-    schema = (
-        "k int, silhouette double, calinski_harabasz double, davies_bouldin double, cost double"
-    )
-    table = df.sparkSession.createDataFrame(rows, schema)
+    schema = "k int, silhouette double, calinski_harabasz double, davies_bouldin double"
+    table = spark.createDataFrame(rows, schema)
     return best, table.withColumn("is_best", F.col("k") == best)

@@ -23,6 +23,8 @@ from ..session import cut_lineage
 from .clusters import cluster_moments, small_side
 from .kernels import distances, fast_euclidean, to_matrix
 
+# The score of a clustering that has nothing to compare.
+ONE_LABEL = -1.0
 MAX_BROADCAST_ROWS = 20_000
 TILE_ROWS = 4096
 # Summaries of at most this many clusters (one centre each) are finished on the driver.
@@ -49,7 +51,8 @@ def silhouette(
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     tile_rows: int = TILE_ROWS,
 ) -> DataFrame:
-    """One row: the mean of (b - a) / max(a, b) over all rows; a lone member scores 0.
+    """One row: the mean of (b - a) / max(a, b) over all rows; a lone member scores 0, and a
+    table with one label -1.
 
     Equal rows of a cluster are folded into one weighted point first. The points are then
     either broadcast (checked size) or met tile by tile; both ways each task sends back sums
@@ -74,6 +77,8 @@ def _silhouette_broadcast(points: DataFrame, fetched: pa.Table) -> DataFrame:
     labels = fetched.column("c").to_numpy()
     order = np.argsort(labels, kind="stable")
     names, starts = np.unique(labels[order], return_index=True)
+    if len(names) == 1:
+        return _one(points.sparkSession, "silhouette", ONE_LABEL)
     weights = fetched.column("w").to_numpy()[order]
     matrix = to_matrix(fetched.column("v"))[order] if len(order) else np.empty((0, 0))
     sizes = np.add.reduceat(weights, starts) if len(order) else weights
@@ -112,6 +117,9 @@ def _scores(sums: np.ndarray, own: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _silhouette_tiles(points: DataFrame, tile_rows: int) -> DataFrame:
     points = cut_lineage(points.withColumn("id", F.monotonically_increasing_id()))
     sizes = points.groupBy("c").agg(F.sum("w").alias("size")).persist()
+    if sizes.count() == 1:
+        sizes.unpersist()
+        return _one(points.sparkSession, "silhouette", ONE_LABEL)
     n_blocks = max(1, math.ceil(points.count() / tile_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
@@ -170,7 +178,12 @@ def _silhouette_tiles(points: DataFrame, tile_rows: int) -> DataFrame:
 def silhouette_squared(
     df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> float:
-    """Silhouette under squared Euclidean distance: a different number, in linear time."""
+    """Silhouette under squared Euclidean distance: a different number, in linear time.
+
+    -1 for a table with fewer than two labels.
+    """
+    if df.select(cluster).distinct().limit(2).count() < 2:
+        return ONE_LABEL
     data = df.select(
         array_to_vector(as_vector(features)).alias("features"),
         F.col(cluster).cast("double").alias("prediction"),

@@ -57,14 +57,19 @@ def similar(
     rows. `mode`:
 
     * `postfilter` - take the `n_neighbors` + 1 nearest of the whole table, then keep those in
-      the query's cluster; fewer than `n` results are normal.
-    * `any` - the same without the cluster test.
+      the query's cluster; fewer than `n` results are normal, and `n` above `n_neighbors` is an
+      error, as it could never be filled.
+    * `any` - the nearest without the cluster test.
     * `prefilter` - search only the query's cluster, so `n` results come back when it has them.
 
     `rows` adds the columns of a (raw) table to each result.
     """
     if mode not in ("postfilter", "any", "prefilter"):
         raise ValueError(f"Unknown mode: {mode}")
+    if mode == "postfilter" and n > n_neighbors:
+        raise ValueError(f"n ({n}) must not exceed n_neighbors ({n_neighbors}); use prefilter or any")
+    if mode == "any":
+        n_neighbors = max(n, n_neighbors)
     queries = None
     if ids is not None:
         wanted = ids.select(id_col).distinct()
@@ -128,6 +133,10 @@ def similar_to_vectors(
     `vectors` has `vector_id` and the features; with `wanted_cluster` (a column of `vectors`)
     results are kept only when their `cluster` equals it, nulls meaning any.
     """
+    if wanted_cluster is None:
+        n_neighbors = max(n, n_neighbors)
+    elif n > n_neighbors:
+        raise ValueError(f"n ({n}) must not exceed n_neighbors ({n_neighbors})")
     queries = vectors
     if vector_id != id_col:
         queries = vectors.drop(id_col).withColumnRenamed(vector_id, id_col)

@@ -29,7 +29,7 @@ def text_search(
     if literal:
         hits = [F.contains(F.lower(c), F.lit(query.lower())) for c in columns]
     else:
-        hits = [F.col(c).rlike("(?i)" + query) for c in columns]
+        hits = [F.col(c).rlike("(?iu)" + query) for c in columns]
     match = reduce(or_, [F.coalesce(h, F.lit(False)) for h in hits])
     return head(df.where(match), row_id, n)
 

@@ -632,9 +632,9 @@ w AS (SELECT query_id, rank AS series, vec_id FROM r
       UNION ALL SELECT DISTINCT query_id, 0 AS series, query_id AS vec_id FROM r)
 SELECT query_id, series, CASE WHEN series = 0 THEN 'Query Track' ELSE w.vec_id::VARCHAR END AS series_name,
   'f' || (i - 1) AS feature, {s6('coalesce(e.v[i], 0)')} AS value
-FROM w JOIN e ON e.vec_id = w.vec_id, range(1, 10) AS t(i)""")
+FROM w JOIN e ON e.vec_id = w.vec_id, range(1, 65) AS t(i)""")
 def compare_recommendations(spark, d):
-    shown = E_FEATURES[:9]
+    shown = E_FEATURES
     raw = embeddings(spark, d).select(
         "vec_id", *[F.col("embedding")[i].alias(f) for i, f in enumerate(shown)]
     )
@@ -660,7 +660,9 @@ def cluster_members(spark, d):
 FROM documents d JOIN labels l ON d.doc_id = l.doc_id""")
 def align_labels(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "n_chars")
-    return clusters.align_labels(docs, table(spark, d, "labels"), "doc_id", strict=False)
+    labels = table(spark, d, "labels")
+    labelled = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
+    return clusters.align_labels(labelled, labels, "doc_id")
 
 
 @query(f"WITH {L_SQL}, {LM_SQL} SELECT cluster_id, danceability, energy, valence, mood FROM lm")
@@ -991,7 +993,7 @@ def kmeans_fit(spark, d):
 @query()
 def auto_k(spark, d):
     df = embeddings(spark, d)
-    table_ = kmeans.find_optimal_k(df, "embedding", max_k=4, min_k=2, n_init=2)[1]
+    table_ = kmeans.find_optimal_k(df, "embedding")[1]
     return rounded(table_, "silhouette", "calinski_harabasz", "davies_bouldin", "cost")
 
 
@@ -999,7 +1001,7 @@ def auto_k(spark, d):
 def cluster_fit(spark, d):
     fitted, prepared = _processor().fit_transform(events(spark, d))
     model, labelled = clustering.fit_clusters(
-        prepared, fitted.feature_columns, k=5, n_init=3, label_on=["value", "k", "hour_sin"]
+        prepared, fitted.feature_columns, k=5, label_on=["value", "k", "hour_sin"]
     )
     moods = spark.createDataFrame(list(model.mood_labels.items()), "cluster_id int, mood string")
     return clusters.attach_moods(labelled.select("event_id", "cluster"), moods)

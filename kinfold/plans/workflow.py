@@ -126,7 +126,8 @@ def analyse(
     if state_dir is None:
         model = make()
     else:
-        mark = state.fingerprint(prepared, features)
+        settings = {**processor.to_dict(), "params": None, "fit": fit}
+        mark = state.fingerprint(prepared, features, settings)
         state.save_processor(spark, fitted, f"{state_dir}/processor", mark)
         model = state.fit_or_load(
             spark, f"{state_dir}/clusters", mark, state.load_clusters, make, state.save_clusters

@@ -66,11 +66,12 @@ def load_recommender(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/table"), _load(spark, f"{path}/settings", "recommender")[1]
 
 
-def fingerprint(df: DataFrame, features: list[str]) -> str:
-    """Feature names, row count and an order-free checksum of the feature values."""
+def fingerprint(df: DataFrame, features: list[str], settings: dict | None = None) -> str:
+    """Feature names, row count, an order-free checksum of the feature values, and the settings of
+    the fit, so that another algorithm, k or seed is another fit."""
     h = F.xxhash64(*[F.col(c).cast("double") for c in features]).cast("decimal(38,0)")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
-    return json.dumps([list(features), row["n"], str(row["h"])])
+    return json.dumps([list(features), row["n"], str(row["h"]), settings], sort_keys=True, default=str)
 
 
 def fit_or_load(

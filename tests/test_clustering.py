@@ -207,14 +207,14 @@ def _ward(x, k):
 
 def test_ward_is_exact_on_small_tables(spark):
     pdf = shifted([slice(0, 15), slice(15, 30)], n=40)
-    out = hierarchy.hierarchical(spark.createDataFrame(pdf), FEATURES, 4).toPandas()
+    out = hierarchy.hierarchical(spark.createDataFrame(pdf), FEATURES, 4, method="exact").toPandas()
     got = {frozenset(g.id) for _, g in out.groupby("cluster")}
     assert got == _ward(pdf[FEATURES].values, 4)
 
 
 def test_ward_over_micro_clusters(spark):
     pdf = shifted([slice(0, 30), slice(30, 60), slice(60, 100)], by=15.0)
-    out = hierarchy.hierarchical(spark.createDataFrame(pdf), FEATURES, 3, max_leaves=20).toPandas()
+    out = hierarchy.hierarchical(spark.createDataFrame(pdf), FEATURES, 3, leaves=20).toPandas()
     got = {frozenset(g.id) for _, g in out.groupby("cluster")}
     assert got == {frozenset(range(30)), frozenset(range(30, 60)), frozenset(range(60, 100))}
 
