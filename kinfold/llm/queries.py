@@ -190,11 +190,8 @@ FROM w LEFT JOIN kept USING (doc_id)
 
 @query(OP7_SQL)
 def op7_recompression(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    out, c = recompression.remove_repeats(docs)
-    return out.select(
-        "doc_id", f"{c}.n_words", f"{c}.n_removed", F.sha2(f"{c}.kept", 256).alias("kept_sha256")
-    )
+    out = recompression.remove_repeats(table(spark, d, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 @query()

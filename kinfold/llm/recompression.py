@@ -22,7 +22,7 @@ never in lists or pairs; what goes back to a text is what it has alone.
 
 Defined results: null text has no words; texts shorter than a window lose nothing by it (they may still hold
 none); rows that repeat an id and text count as two places, so long ones lose all their words; an empty
-table gives an empty result; other columns pass through or are not read.
+table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import free_name, materialise, release
+from .common import materialise, release
 
 WINDOW = 35
 ROUNDS = 3
@@ -255,48 +255,46 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text: str = "text"
     return out
 
 
-def _kept(window: int):
-    @F.arrow_udf("struct<n_words:bigint,n_removed:bigint,kept:binary>")
-    def udf(text: pa.Array, runs: pa.Array) -> pa.Array:
-        words, removed, kept = [], [], []
-        for a, b in K.pieces(text):
-            w = K.Words(text[a:b])
-            part = runs[a:b]
-            for i in range(b - a):
-                first, last = int(w.first[i]), int(w.first[i + 1])
-                gone = np.zeros(last - first, dtype=bool)
-                r = part[i].as_py()
-                if r:
-                    for s, e in zip(r[::2], r[1::2], strict=True):
-                        gone[s : e + window - 1] = True
-                stay = np.flatnonzero(~gone) + first
-                size = w.end[stay] - w.start[stay] + 1
-                before = np.cumsum(size) - size
-                total = int(size.sum())
-                source = np.repeat(w.start[stay] - before, size) + np.arange(total)
-                joined = w.data[np.minimum(source, len(w.data) - 1)].copy() if total else np.zeros(0, np.uint8)
-                joined[before + size - 1] = 32
-                words.append(last - first)
-                removed.append(int(gone.sum()))
-                kept.append(joined[:-1].tobytes() if total else b"")
-        return pa.StructArray.from_arrays(
-            [pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())],
-            ["n_words", "n_removed", "kept"],
-        )
-
-    return udf
+def _without_repeats(texts: pa.Array, runs: pa.Array, window: int) -> tuple[list, list, list]:
+    """Words, words removed, and the text of the words that stay, of each text of a piece."""
+    words, removed, kept = [], [], []
+    w = K.Words(texts)
+    for i in range(w.docs):
+        first, last = int(w.first[i]), int(w.first[i + 1])
+        gone = np.zeros(last - first, dtype=bool)
+        r = runs[i].as_py() or []
+        for s, e in zip(r[::2], r[1::2], strict=True):
+            gone[s : e + window - 1] = True
+        stay = np.flatnonzero(~gone) + first
+        size = w.end[stay] - w.start[stay] + 1
+        before = np.cumsum(size) - size
+        total = int(size.sum())
+        source = np.repeat(w.start[stay] - before, size) + np.arange(total)
+        joined = w.data[np.minimum(source, len(w.data) - 1)].copy() if total else np.zeros(0, np.uint8)
+        joined[before + size - 1] = 32
+        words.append(last - first)
+        removed.append(int(gone.sum()))
+        kept.append(joined[:-1].tobytes().decode() if total else "")
+    return words, removed, kept
 
 
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW
-) -> tuple[DataFrame, str]:
-    """`docs` with a struct column (its name is returned): `n_words`, `n_removed`, and `kept`, the UTF-8
-    text of the words that stay, joined by one space."""
+) -> DataFrame:
+    """Every document: id, `n_words`, `n_removed`, and `kept`, the words that stay joined by one space."""
     found = repeated_windows(docs, id_col, text, window)
-    key, runs, out = free_name(docs, "__key"), free_name(docs, "__runs"), free_name(docs, "repeats")
-    found = found.select(F.col("key").alias(key), F.col("runs").alias(runs))
-    joined = docs.join(
-        _small(found, runs), F.xxhash64(F.col(id_col), F.col(text)) == F.col(key), "left"
-    )
-    return joined.withColumn(out, _kept(window)(F.col(text), F.col(runs))).drop(key, runs), out
+    d = docs.select(F.col(id_col).alias("id"), F.col(text).alias("t"), F.xxhash64(id_col, text).alias("key"))
+    joined = d.join(_small(found, "runs"), "key", "left").select("id", "t", "runs")
+    names = [id_col, "n_words", "n_removed", "kept"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in K.pieces(batch.column(1)):
+                words, removed, kept = _without_repeats(batch.column(1)[a:b], batch.column(2)[a:b], window)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0)[a:b], pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())],
+                    names=names,
+                )
 
+    kind = docs.schema[id_col].dataType.simpleString()
+    return joined.mapInArrow(run, f"`{id_col}` {kind}, n_words bigint, n_removed bigint, kept string")
