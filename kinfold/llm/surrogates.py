@@ -105,12 +105,12 @@ def canonical(k: Column, value: Column) -> Column:
     )
 
 
-def _stream(seed: Column, n: Column) -> Column:
+def _stream(key: str, seed: Column, n: Column) -> Column:
     """At least `n` keyed bytes as hexadecimal text."""
     return F.array_join(
         F.transform(
             F.sequence(F.lit(0), F.floor(n / 32).cast("int")),
-            lambda j: F.sha2(F.concat_ws("\x1f", F.lit(KEY), seed, j.cast("string")).cast("binary"), 256),
+            lambda j: F.sha2(F.concat_ws("\x1f", F.lit(key), seed, j.cast("string")).cast("binary"), 256),
         ),
         "",
     )
@@ -185,14 +185,14 @@ def _name(value: Column, gender: Column, stream: Column, attempt: Column) -> Col
     return out
 
 
-def propose(k: Column, value: Column, gender: Column, attempt: Column) -> Column:
+def propose(k: Column, value: Column, gender: Column, attempt: Column, key: str = KEY) -> Column:
     """The surrogate of a canonical value for one attempt."""
     seed = F.concat_ws("\x1f", k, value, attempt.cast("string"))
-    stream = _stream(seed, F.length(value) + 40)
+    stream = _stream(key, seed, F.length(value) + 40)
     extra = F.greatest(attempt - GROW, F.lit(0))
     tail = F.when(extra > 0, F.substr(stream, F.lit(1), extra)).otherwise("")
     domain = F.substring_index(value, "@", -1)
-    domain_stream = _stream(F.concat_ws("\x1f", F.lit("domain"), domain), F.lit(64))
+    domain_stream = _stream(key, F.concat_ws("\x1f", F.lit("domain"), domain), F.lit(64))
     label = _exchanged(F.substring_index(domain, ".", 1), domain_stream)
     local = F.substring_index(value, "@", 1)
     mail = F.concat(
@@ -243,7 +243,7 @@ def render(k: Column, value: Column, surrogate: Column) -> Column:
     )
 
 
-def surrogate_table(found: DataFrame) -> DataFrame:
+def surrogate_table(found: DataFrame, key: str = KEY) -> DataFrame:
     """`kind`, `form` (canonical), `surrogate` for the distinct entities `kind`, `form`, `gender`.
 
     Each round settles the proposals that clash with nothing; the few others try again.
@@ -255,7 +255,7 @@ def surrogate_table(found: DataFrame) -> DataFrame:
             "kind",
             "form",
             "gender",
-            propose(F.col("kind"), F.col("form"), F.col("gender"), F.lit(attempt)).alias("surrogate"),
+            propose(F.col("kind"), F.col("form"), F.col("gender"), F.lit(attempt), key).alias("surrogate"),
         )
         first = cand.groupBy("surrogate").agg(F.min(F.struct("kind", "form")).alias("first"))
         taken = real.select(F.col("form").alias("taken"))
@@ -275,10 +275,10 @@ def surrogate_table(found: DataFrame) -> DataFrame:
     raise RuntimeError("no distinct surrogates found")
 
 
-def replace_entities(docs: DataFrame, text: str = "text") -> tuple[DataFrame, str]:
-    """`docs` with surrogates in `text`, and a column (its name is returned) with the number of mentions."""
+def replace_entities(docs: DataFrame, text: str = "text", key: str = KEY) -> tuple[DataFrame, str]:
+    """`docs` with surrogates in `text` under a secret key of the caller's, and a column (its name is returned) with the number of mentions."""
     count = free_name(docs, "n_entities")
-    row, ms, key, news = (free_name(docs, c) for c in ("__row", "__mentions", "__key", "__news"))
+    row, ms, text_row, news = (free_name(docs, c) for c in ("__row", "__mentions", "__text", "__news"))
     th = F.xxhash64(text)
     marked = docs.withColumn(
         ms, F.when(F.col(text).rlike(HINT), entities(F.col(text))).otherwise(F.array().cast("array<string>"))
@@ -300,17 +300,17 @@ def replace_entities(docs: DataFrame, text: str = "text") -> tuple[DataFrame, st
     seen = materialise(
         seen.withColumn("form", canonical(F.col("kind"), F.col("value"))).distinct(), "mentions"
     )
-    found = surrogate_table(seen.select("kind", "form", "gender"))
+    found = surrogate_table(seen.select("kind", "form", "gender"), key)
     per_text = (
         seen.join(found, ["kind", "form"])
         .select(
             "row",
             F.struct("value", render(F.col("kind"), F.col("value"), F.col("surrogate")).alias("new")).alias("pair"),
         )
-        .groupBy(F.col("row").alias(key))
+        .groupBy(F.col("row").alias(text_row))
         .agg(F.map_from_entries(F.collect_set("pair")).alias(news))
     )
-    done = dirty.join(per_text, F.col(row) == F.col(key))
+    done = dirty.join(per_text, F.col(row) == F.col(text_row))
     parts = F.split(F.col(text), ANY, -1)
     rebuilt = F.array_join(
         F.zip_with(
