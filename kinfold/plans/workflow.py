@@ -120,8 +120,19 @@ def analyse(
     features = available(prepared.columns, wanted)
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
 
+    labels = None
+
     def make() -> ClusterModel:
-        return fit_clusters(prepared, features, id_col=id_col, **fit)[0]
+        nonlocal labels
+        model, labels = fit_clusters(prepared, features, id_col=id_col, **fit)
+        if model.algorithm == "kmeans":
+            return model
+        # Labels that no centre can give again: kept, so that nothing clusters twice.
+        if state_dir is None:
+            labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
+        else:
+            labels.select(id_col, "cluster").write.mode("overwrite").parquet(f"{state_dir}/labels")
+        return model
 
     if state_dir is None:
         model = make()
@@ -132,9 +143,12 @@ def analyse(
         model = state.fit_or_load(
             spark, f"{state_dir}/clusters", mark, state.load_clusters, make, state.save_clusters
         )
-    labelled = model.predict(prepared) if model.algorithm == "kmeans" else fit_clusters(
-        prepared, features, id_col=id_col, **{**fit, "k": model.params["k"]}
-    )[1]
+    if model.algorithm == "kmeans":
+        labelled = model.predict(prepared)
+    elif state_dir is None:
+        labelled = labels
+    else:
+        labelled = prepared.join(spark.read.parquet(f"{state_dir}/labels"), id_col)
     moods = spark.createDataFrame(
         list(model.mood_labels.items()), "cluster_id int, mood string"
     )

@@ -112,3 +112,19 @@ def test_another_fit_is_not_taken_from_the_store(tracks, tmp_path):
     first = analyse(tracks, id_col="track_id", k=4, n_init=1, state_dir=str(tmp_path))
     again = analyse(tracks, id_col="track_id", k=2, n_init=1, state_dir=str(tmp_path))
     assert (first.model.n_clusters, again.model.n_clusters) == (4, 2)
+
+
+@pytest.mark.parametrize("stored", [True, False])
+def test_density_clusters_are_fitted_once(tracks, tmp_path, monkeypatch, stored):
+    from kinfold.plans import workflow
+
+    calls = []
+    fit = workflow.fit_clusters
+    monkeypatch.setattr(workflow, "fit_clusters", lambda *a, **k: calls.append(1) or fit(*a, **k))
+    kw = {"id_col": "track_id", "algorithm": "dbscan", "eps": 3.0, "min_samples": 3}
+    where = str(tmp_path / "state") if stored else None
+    first = analyse(tracks, state_dir=where, **kw).prepared.select("track_id", "cluster").collect()
+    assert len(calls) == 1
+    if stored:
+        again = analyse(tracks, state_dir=where, **kw).prepared.select("track_id", "cluster").collect()
+        assert sorted(first) == sorted(again) and len(calls) == 1
