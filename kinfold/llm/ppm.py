@@ -37,13 +37,15 @@ from . import kernels as K
 from .common import arrow_filesystem, materialise, write_table
 
 ORDER = 5
-MAX_NODES = 3_000_000
+MAX_NODES = 2_000_000
 COMMON_WORDS = 1 << 20
 HELD_OUT = (7, 2)
 
 _END = np.uint64(0x656E64)  # the end's key among words; a word's key is a mixed hash
 _WORD, _GRAM = 0, 1
-_FLUSH = 4_000_000
+_FLUSH = 2_000_000
+#: Bytes of text worked on at a time; each takes some 60 bytes of memory on the way.
+_PIECE = 1 << 19
 
 
 def canonical(w: K.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ def count_all(docs: DataFrame, text: str, order: int) -> DataFrame:
                         )
 
         for batch in batches:
-            for a, b in K.pieces(batch.column(0)):
+            for a, b in K.pieces(batch.column(0), _PIECE):
                 w = K.Words(batch.column(0)[a:b], lower=True)
                 g, _ = grams(*canonical(w, order), order)
                 ends += b - a
@@ -294,6 +296,8 @@ def load_model(folder: str, order: int) -> Model:
         mine = j == i
         by = np.argsort(key[mine])
         levels.append((key[mine][by], count[mine][by]))
+    del t, j, key, count
+    pa.default_memory_pool().release_unused()
     return Model(levels)
 
 
@@ -328,7 +332,7 @@ def score(
         names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "word", "times"]
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for a, b in K.pieces(batch.column(2)):
+            for a, b in K.pieces(batch.column(2), _PIECE):
                 w = K.Words(batch.column(2)[a:b], lower=True)
                 g, cuts = grams(*canonical(w, order), order)
                 coded = np.concatenate([[0.0], np.cumsum(model.code(g))])
