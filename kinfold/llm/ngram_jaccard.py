@@ -10,6 +10,8 @@ blocks of it that can hold a link are computed:
   only decides how many pairs are looked at; any order gives the same links.
 * Size bounds: a pair is dropped where the smaller set is too small for the larger one, or where the grams
   left behind the shared one cannot reach the overlap that the two sizes ask for.
+* The overlaps of the first block are accumulated by pair; a pair goes where they and what is behind the
+  prefixes cannot reach the bound.
 * Remaining columns: for the pairs left, the overlap is accumulated over column blocks (ranges of gram
   hashes) and the pair is dropped as soon as what is left cannot reach the bound.
 
@@ -270,6 +272,27 @@ class _Join:
         room = 1 + F.least(na - ia, nb - ib) - 1
         return sizes & ((100 + p) * room >= p * (na + nb))
 
+    def _promising(self, pairs: DataFrame, inc: DataFrame) -> DataFrame:
+        """The pairs whose overlap in the first column block leaves the similarity possible.
+
+        Of two prefixes, the one that ends earlier in the order shares nothing with the other row behind the
+        other's prefix. So the overlap is at most the grams that the prefixes share and what one of the two
+        rows has behind its prefix.
+        """
+        p = self.percent
+
+        def behind(n):
+            return F.ceil(n * F.lit(p) / F.lit(100)) - 1
+
+        shared = (
+            pairs.join(inc.select(F.col("cls").alias("a"), F.col("n").alias("na"), "g"), "a")
+            .join(inc.select(F.col("cls").alias("b"), F.col("n").alias("nb"), "g"), ["b", "g"])
+            .groupBy("a", "b", "na", "nb")
+            .agg(F.count(F.lit(1)).alias("c"))
+        )
+        most = F.col("c") + F.greatest(behind(F.col("na")), behind(F.col("nb")))
+        return shared.where((100 + p) * most >= p * (F.col("na") + F.col("nb"))).select("a", "b")
+
     def components(self) -> DataFrame:
         """`cls`, `component` (a class) of the classes with links."""
         inc = self.shared()
@@ -312,7 +335,7 @@ class _Join:
             if pairs.isEmpty():
                 continue
             tested = pairs if tested is None else tested.unionByName(pairs)
-            new = self.links(pairs)
+            new = self.links(materialise(self._promising(pairs, inc), "gram-promising"))
             links = new if links is None else links.unionByName(new)
             labels = components(links).select(F.col("node").alias("cls"), "component")
         if labels is None:
