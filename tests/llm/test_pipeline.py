@@ -4,9 +4,9 @@ import random
 import re
 
 import pytest
-from test_native import brute as hits
-from test_quality_jaccard import brute as groups
-from test_quality_jaccard import measure
+from .test_native import brute as hits
+from .test_quality_jaccard import brute as groups
+from .test_quality_jaccard import measure
 
 import corpus_pipeline
 from kinfold.llm import ngram_jaccard, surrogates, tokens
