@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 WINDOW_WORDS = 10
 LEVEL = 19
 #: Tables much smaller than the level's own: they are cleared for each window.
@@ -166,25 +168,36 @@ def held_out(id_col: str) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic") -> Model:
     """Fit on the labelled rows that aren't held out."""
     marked = labels.where(F.col(label).isNotNull() & ~held_out(id_col)).groupBy(id_col).agg(F.max(label).alias("y"))
-    rows = docs.select(id_col, F.coalesce(F.col(text), F.lit("")).alias("t")).join(marked, id_col)
-    counts = {r["y"]: r["n"] for r in rows.groupBy((F.col("y") > 0).alias("y")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    # Chosen by key and hash; the texts themselves are fetched only for what is chosen.
+    t = F.coalesce(F.col(text), F.lit(""))
+    keys = docs.select(F.col(id_col), F.xxhash64(t).alias("h"), F.octet_length(t).alias("size"))
+    rows = materialise(keys.join(marked, id_col).select(id_col, "h", "size", (F.col("y") > 0).alias("y")), "labelled")
+    counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
         return Model(constant=float(counts.get(True, 0) > 0))
-    spot = F.pmod(F.xxhash64("t", F.lit(7)), F.lit(3))
-    sample = {}
+    train = F.pmod(F.xxhash64("h", F.lit(7)), F.lit(3)) > 0  # two thirds train the dictionaries, one third calibrates
+    chosen = None
     for y in (True, False):
-        for use in (True, False):  # two thirds train the dictionaries, one third calibrates
-            part = rows.where(((F.col("y") > 0) == y) & ((spot > 0) == use) & (F.octet_length("t") <= FIT_BYTES))
-            sample[y, use] = [r["t"] for r in part.select("t").distinct().orderBy(F.xxhash64("t"), "t").limit(FIT_TEXTS).collect()]
+        for use in (True, False):
+            part = rows.where((F.col("y") == y) & (train == use) & (F.col("size") <= FIT_BYTES))
+            part = part.groupBy("h").agg(F.min(id_col).alias("id"))
+            part = part.orderBy(F.xxhash64("h"), "h").limit(FIT_TEXTS).select("id", "h", F.lit(y).alias("y"), F.lit(use).alias("use"))
+            chosen = part if chosen is None else chosen.unionByName(part)
+    chosen = materialise(chosen, "fit-sample")  # at most 4 x FIT_TEXTS rows
+    texts = docs.select(F.col(id_col).alias("id"), F.xxhash64(t).alias("h"), t.alias("t"))
+    found = texts.join(F.broadcast(chosen), ["id", "h"]).select("t", "h", "y", "use").dropDuplicates(["h", "y", "use"])
+    sample = {(y, use): [] for y in (True, False) for use in (True, False)}
+    for r in found.orderBy("h").collect():
+        sample[r["y"], r["use"]].append(r["t"])
     ordinary, toxic = sample[False, True], sample[True, True]
-    chosen = marks(toxic, ordinary)
+    own = marks(toxic, ordinary)
     plain = _dictionary([w for t in ordinary for w in windows(words(t))], ORDINARY_BYTES)
-    runs = [w for t in toxic for w in windows([x for x in words(t) if x in chosen], 8)]
+    runs = [w for t in toxic for w in windows([x for x in words(t) if x in own], 8)]
     special = _dictionary(runs, TOXIC_BYTES)
     features = Compressors(plain, special).features
     tune = [(t, y) for y in (True, False) for t in (sample[y, False] or sample[y, True])]
-    if not tune or not chosen:
+    if not tune or not own:
         return Model(constant=counts[True] / total)
     x = np.array([features(t) for t, _ in tune])
     y = np.array([y for _, y in tune], dtype=np.float64)
