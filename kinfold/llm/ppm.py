@@ -12,10 +12,12 @@ on the context alone. The trie is therefore compiled into flat tables (pair -> c
 T', d' of the suffix after exclusion), and a whole batch of bytes is coded by table look-ups, order by order.
 
 In Spark: tasks count byte strings of ORDER + 1 bytes and words over all learning texts; the counts are summed
-by shuffle, and those of shorter contexts are sums of longer ones. Each order keeps its commonest strings, at
-most `MAX_NODES` (a bound on every worker's memory of about 20 bytes a node; what is left out of an order
-is still in the sums of the shorter ones). Workers read the trie from the shared folder. Word counts are exact:
-the commonest words (at most `COMMON_WORDS`) are broadcast, all others meet their texts by a join.
+by shuffle, and those of shorter contexts are sums of longer ones. No string is left out. A symbol's probability
+depends on its ORDER context bytes and itself alone, so texts meet their probabilities by that string: workers
+hold the commonest strings (at most `MAX_NODES`, some 60 bytes each) with probabilities from the whole counts;
+each other distinct string is coded once, by the task that has all counts of contexts with its last bytes, and
+meets its texts by a join. Word counts go the same way: the commonest words (at most `COMMON_WORDS`) are
+broadcast, all others meet their texts by a join.
 
 Defined results: null text is empty (its end alone); rows with a null id are scored and never learned from,
 and count as held out; repeated rows are scored, and learned from, once each; an empty table gives an empty
@@ -30,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -46,6 +48,8 @@ _WORD, _GRAM = 0, 1
 _FLUSH = 2_000_000
 #: Bytes of text worked on at a time; each takes some 60 bytes of memory on the way.
 _PIECE = 1 << 19
+#: Distinct strings of a task that looks up the strings no worker holds; each takes some 150 bytes.
+_TASK_STRINGS = 500_000
 
 
 def canonical(w: K.Words, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,20 +159,83 @@ def least_count(counts: DataFrame, most: int) -> int:
     return least
 
 
-def build_trie(strings: DataFrame, order: int, max_nodes: int) -> str:
-    """Write the trie of byte strings (`key`, `count` of the longest) and return its folder."""
-    levels = [strings]
-    for j in range(order - 1, -1, -1):
+def split_order(order: int) -> int:
+    """The orders below it are whole in every worker; those from it on are dealt by that many context bytes."""
+    return min(order, 3)
+
+
+def low_orders(strings: DataFrame, order: int) -> str:
+    """Write the byte strings of the orders below `split_order` (`j`, `key`, `count`; at most 256 ** 3 of an
+    order, whatever the corpus) and return the folder."""
+    out, level = None, strings
+    for j in range(split_order(order) - 1, -1, -1):
         suffix = F.col("key").bitwiseAND(F.lit((1 << 8 * (j + 1)) - 1))
-        shorter = levels[0].groupBy(suffix.alias("key")).agg(F.sum("count").alias("count"))
-        levels.insert(0, materialise(shorter, "ppm-order"))
-    trie, least = None, 1
-    for j, level in enumerate(levels):
-        # Never less than for a shorter order, so that a string's suffixes are all in the trie.
-        least = max(least, least_count(level, max_nodes))
-        part = level.where(F.col("count") >= least).select(F.lit(j).alias("j"), "key", "count")
-        trie = part if trie is None else trie.unionByName(part)
-    return write_table(trie, "ppm-trie")
+        level = materialise(level.groupBy(suffix.alias("key")).agg(F.sum("count").alias("count")), "ppm-order")
+        part = level.select(F.lit(j).alias("j"), "key", "count")
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = strings.limit(0).select(F.lit(0).alias("j"), "key", "count")
+    return write_table(out, "ppm-low")
+
+
+def common_strings(strings: DataFrame, most: int) -> str:
+    """Write the commonest longest strings (at most `most`) with their log10 probabilities and return the folder.
+
+    A string that followed its context in the learning texts is coded there at once, so T and d of the context
+    are all it takes; both are counted over all strings (a context has at most 256).
+    """
+    context = Window.partitionBy(F.shiftrightunsigned("key", 8))
+    whole = F.sum("count").over(context) + F.count(F.lit(1)).over(context)
+    least = least_count(strings, most)
+    return write_table(
+        strings.withColumn("whole", whole)
+        .where(F.col("count") >= least)
+        .select("key", (F.log10("count") - F.log10("whole")).alias("log")),
+        "ppm-common",
+    )
+
+
+def resolve(strings: DataFrame, asked: DataFrame, order: int, low: str) -> DataFrame:
+    """`key` and `log` (its log10 probability) of the distinct strings `asked`, by the counts of all strings.
+
+    Both sides are dealt by the last bytes of the context, which all contexts of the orders from `split_order`
+    on have in common: a task holds all that the trie knows there.
+    """
+    split = split_order(order)
+    rows = strings.count() + asked.count()
+    near = F.shiftrightunsigned("key", 8).bitwiseAND(F.lit((1 << 8 * split) - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column(0).to_numpy().view(np.uint64), b.column(1).to_numpy()) for b in batches]
+        if not parts:
+            return
+        keys, counts = (np.concatenate(c) for c in zip(*parts))
+        del parts
+        wanted = keys[counts == 0]
+        if not len(wanted):
+            return
+        keys, counts = keys[counts > 0], counts[counts > 0]
+        by = np.argsort(keys)
+        levels = [(keys[by], counts[by])]
+        for j in range(order - 1, split - 1, -1):
+            suffix = levels[0][0] & np.uint64((1 << 8 * (j + 1)) - 1)
+            short, at = np.unique(suffix, return_inverse=True)
+            sums = np.zeros(len(short), np.int64)
+            np.add.at(sums, at, levels[0][1])
+            levels.insert(0, (short, sums))
+        logs = Model(load_low(low, split) + levels).code(wanted)
+        for s in range(0, len(wanted), 100_000):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(wanted[s : s + 100_000].view(np.int64)), pa.array(logs[s : s + 100_000])],
+                names=["key", "log"],
+            )
+
+    return (
+        strings.select("key", "count")
+        .unionByName(asked.select("key", F.lit(0).cast("bigint").alias("count")))
+        .repartition(rows // _TASK_STRINGS + 1, near)
+        .mapInArrow(run, "key bigint, log double")
+    )
 
 
 class Table:
@@ -284,21 +351,43 @@ class Model:
 
 
 @functools.lru_cache(maxsize=1)
-def load_model(folder: str, order: int) -> Model:
-    """The model of a folder, once per worker."""
+def load_low(folder: str, split: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The orders below `split` of a folder, once per worker."""
     import pyarrow.parquet as pq
 
     system, root = arrow_filesystem(folder)
     t = pq.read_table(root, filesystem=system)
     j, key, count = t["j"].to_numpy(), t["key"].to_numpy().view(np.uint64), t["count"].to_numpy()
     levels = []
-    for i in range(order + 1):
+    for i in range(split):
         mine = j == i
         by = np.argsort(key[mine])
         levels.append((key[mine][by], count[mine][by]))
-    del t, j, key, count
+    return levels
+
+
+@functools.lru_cache(maxsize=1)
+def load_common(folder: str) -> tuple[Table, np.ndarray]:
+    """The commonest strings of a folder and their log10 probabilities, once per worker."""
+    import pyarrow.parquet as pq
+
+    system, root = arrow_filesystem(folder)
+    t = pq.read_table(root, filesystem=system)
+    key, log = t["key"].to_numpy().view(np.uint64), t["log"].to_numpy()
+    del t
+    table = Table(key)
     pa.default_memory_pool().release_unused()
-    return Model(levels)
+    return table, log
+
+
+def folded(doc: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct pairs of text and key, and how often each occurs."""
+    by = np.lexsort((key, doc))
+    doc, key = doc[by], key[by]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    return doc[first], key[first], np.diff(np.append(first, len(key)))
 
 
 def held_out(id_col: str) -> Column:
@@ -317,7 +406,8 @@ def score(
     """Every document: id, `held_out`, `n_tokens`, `n_known`, `train_tokens`, `base_score`, `score`."""
     spark = docs.sparkSession
     counts = materialise(count_all(docs.where(~held_out(id_col)), text, order), "ppm-counts")
-    folder = build_trie(counts.where(f"kind = {_GRAM}").select("key", "count"), order, max_nodes)
+    strings = counts.where(f"kind = {_GRAM}").select("key", "count")
+    folder = common_strings(strings, max_nodes)
     words = counts.where(f"kind = {_WORD}").select("key", "count")
     n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count(F.lit(1))).first()
     least = least_count(words, common_words)
@@ -328,38 +418,43 @@ def score(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, totals = shared.value
-        model = load_model(folder, order)
-        names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "word", "times"]
+        table, log = load_common(folder)
+        names = ["row", "id", "held_out", "n_tokens", "known", "logs", "score", "kind", "key", "times"]
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b in K.pieces(batch.column(2), _PIECE):
                 w = K.Words(batch.column(2)[a:b], lower=True)
                 g, cuts = grams(*canonical(w, order), order)
-                coded = np.concatenate([[0.0], np.cumsum(model.code(g))])
+                place = table.find(g)
+                unmet = np.flatnonzero(place < 0)
+                logs_of = np.zeros(len(g))
+                logs_of[place >= 0] = log[place[place >= 0]]
+                coded = np.concatenate([[0.0], np.cumsum(logs_of)])
                 h = np.concatenate([w.hashes(), np.full(b - a, _END)])
                 doc = np.concatenate([w.doc_of_word(), np.arange(b - a)])
                 at = np.minimum(np.searchsorted(keys, h), max(len(keys) - 1, 0))
                 met = keys[at] == h if len(keys) else np.zeros(len(h), bool)
                 known = np.bincount(doc[met], minlength=b - a)
                 logs = np.bincount(doc[met], np.log10(totals[at[met]] + 1.0), minlength=b - a)
-                # Words that aren't common: a row for each of them and text.
-                order_ = np.lexsort((h[~met], doc[~met]))
-                rh, rd = h[~met][order_], doc[~met][order_]
-                first = np.flatnonzero(np.concatenate([[True], (rh[1:] != rh[:-1]) | (rd[1:] != rd[:-1])])) if len(rh) else np.zeros(0, np.int64)
-                times = np.diff(np.append(first, len(rh)))
-                k, m = b - a, len(first)
+                # Words and strings that aren't common: a row for each of them and text.
+                wd, wk, wt = folded(doc[~met], h[~met])
+                gd, gk, gt = folded(np.searchsorted(cuts, unmet, side="right") - 1, g[unmet])
+                k, m = b - a, len(wk) + len(gk)
                 null = lambda kind, c: pa.nulls(c, kind)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.concatenate([row + np.arange(k), row + rd[first]])),
+                        pa.array(np.concatenate([row + np.arange(k), row + wd, row + gd])),
                         pa.concat_arrays([batch.column(0)[a:b], null(batch.column(0).type, m)]),
                         pa.concat_arrays([batch.column(1)[a:b], null(pa.bool_(), m)]),
                         pa.concat_arrays([pa.array(w.counts + 1), null(pa.int64(), m)]),
                         pa.concat_arrays([pa.array(known), null(pa.int64(), m)]),
-                        pa.concat_arrays([pa.array(logs), null(pa.float64(), m)]),
+                        pa.concat_arrays([pa.array(logs.astype(float)), null(pa.float64(), m)]),
                         pa.concat_arrays([pa.array(coded[cuts[1:]] - coded[cuts[:-1]]), null(pa.float64(), m)]),
-                        pa.concat_arrays([null(pa.int64(), k), pa.array(rh[first].view(np.int64))]),
-                        pa.concat_arrays([null(pa.int64(), k), pa.array(times)]),
+                        pa.concat_arrays(
+                            [null(pa.int8(), k), pa.array(np.repeat(np.array([_WORD, _GRAM], np.int8), [len(wk), len(gk)]))]
+                        ),
+                        pa.concat_arrays([null(pa.int64(), k), pa.array(np.concatenate([wk, gk]).view(np.int64))]),
+                        pa.concat_arrays([null(pa.int64(), k), pa.array(np.concatenate([wt, gt]))]),
                     ],
                     names=names,
                 )
@@ -369,17 +464,22 @@ def score(
     scored = docs.select(F.col(id_col).alias("id"), held_out(id_col).alias("held_out"), F.col(text).alias("t")).mapInArrow(
         run,
         f"row bigint, id {kind}, held_out boolean, n_tokens bigint, known bigint, logs double, score double, "
-        "word bigint, times bigint",
+        "kind tinyint, key bigint, times bigint",
     )
     scored = materialise(scored, "ppm-scored")
     rare = words.where(F.col("count") < least)
     late = (
-        scored.where("word IS NOT NULL")
-        .join(rare, F.col("word") == F.col("key"))
+        scored.where(f"kind = {_WORD}")
+        .select("row", "key", "times")
+        .join(rare, "key")
         .groupBy("row")
         .agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("count") + 1)).alias("more_logs"))
     )
-    out = scored.where("word IS NULL").join(late, "row", "left")
+    unmet = scored.where(f"kind = {_GRAM}").select("row", "key", "times")
+    asked = materialise(unmet.select("key").distinct(), "ppm-asked")
+    answers = materialise(resolve(strings, asked, order, low_orders(strings, order)), "ppm-answers")
+    rest = unmet.join(answers, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("log")).alias("more_score"))
+    out = scored.where("kind IS NULL").drop("kind", "key", "times").join(late, "row", "left").join(rest, "row", "left")
     return out.select(
         F.col("id").alias(id_col),
         "held_out",
@@ -391,5 +491,5 @@ def score(
             + F.coalesce("more_logs", F.lit(0.0))
             - F.col("n_tokens") * F.log10(F.lit(float(n + v + 1)))
         ).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("more_score", F.lit(0.0))).alias("score"),
     )

@@ -92,6 +92,23 @@ def test_pruned_trie_keeps_suffixes(spark):
     assert all(-10_000 < s < 0 for s in got)
 
 
+@pytest.mark.parametrize("order, max_nodes", [(0, 0), (2, 5), (3, 30), (5, 0), (5, 40)])
+def test_strings_no_worker_holds_score_alike(spark, monkeypatch, order, max_nodes):
+    """Whatever the workers hold, the scores are those of the whole counts."""
+    monkeypatch.setattr(ppm, "_TASK_STRINGS", 50, raising=False)
+    rows = corpus() + [(None, "mothers thex éé QQ other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in ppm.score(df, order=order, max_nodes=max_nodes).collect()}
+    learn = [t for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    for i, t in rows:
+        assert math.isclose(got[i].score, brute(learn, t, order), rel_tol=1e-9), t
+
+
+def test_without_learning_texts_all_bytes_are_alike(spark):
+    df = spark.createDataFrame([(None, "some text")], "doc_id long, text string")
+    assert math.isclose(ppm.score(df).first().score, -11 * math.log10(256), rel_tol=1e-9)
+
+
 def test_likes_text_of_the_kind_it_learned(spark):
     rng = random.Random(9)
     stems = ["walk", "talk", "play", "jump", "look", "cook"]
