@@ -1,8 +1,9 @@
 """Personal data replaced by keyed surrogates, in DataFrame functions only.
 
 Entities found by pattern: e-mail addresses, telephone numbers, IPv4 and IPv6 addresses, payment card numbers,
-social security numbers, IBANs, passwords, tokens and access keys after their markers, and person names after a
-title. Each becomes another value of the same type and form:
+social security numbers, IBANs, access keys, passwords and tokens after their markers (in any case, behind = or :
+with or without blanks, up to 20 a side, and quotes), and person names after a title. Every value behind such a marker
+counts as a secret, for tokens from eight characters on and if it is no call. Each becomes another value of the same type and form:
 
 * characters are exchanged within their class (digit, a-f, g-z, A-F, G-Z), so hexadecimal stays hexadecimal;
 * telephone and card numbers keep their punctuation, the country code and, for cards, a valid check digit;
@@ -38,12 +39,26 @@ MAX_ATTEMPTS = 40
 _TITLES_M = r"Mr|Herr|Señor|Monsieur|Sir|Κύριος|Господин"
 _TITLES_F = r"Mrs|Ms|Miss|Frau|Señora|Madame|Mme|Κυρία|Госпожа"
 
+_BLANK = r"[ \t\u00a0]{0,20}"
+
+
+def _marked(markers: str) -> str:
+    """Place behind a marker in any case, `=` or `:` with or without blanks, and at most one quote; the first
+    two tests are implied by the third and cheap."""
+    return (
+        rf"(?<=[=:>\"' \t\u00a0])(?<=[=:]>?{_BLANK}[\"']?)(?<=(?i:{markers})[\"']?{_BLANK}[=:]{{1,2}}>?{_BLANK}[\"']?)(?![=:>])"
+    )
+
+
+_PASSWORDS = r"password|passwd|pwd|secret"
+_TOKENS = r"token|api[_-]?key"
+
 #: Type and pattern, in order of precedence. Patterns have no capturing groups.
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "access_key": r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b",
-    "password": r"(?<=\b(?:password|passwd|pwd|secret)[=:])[^\s\"']+",
-    "token": r"(?<=\b(?:token|api_key|apikey|secret) [=:] ?\")[A-Za-z0-9_\-]{8,}(?=\")",
+    "password": rf"{_marked(_PASSWORDS)}(?:(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?=[^\s\"']*[\p{{L}}\p{{N}}])[^\s\"']*[^\s\"'.,;:!?)\]}}])",
+    "token": rf"{_marked(_TOKENS)}(?=[A-Za-z0-9_.~+/=-]{{8}})[A-Za-z0-9_~+/=-]++(?:\.[A-Za-z0-9_~+/=-]++)*+(?![A-Za-z0-9_(\[])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -72,7 +87,7 @@ SYLLABLES = {
 #: Titles in any of the patterns' languages, as one pattern for the whole search.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: Text without one of these characters or words has no entity; a cheap test before the full search.
-HINT = rf"[0-9@]|(?:password|passwd|pwd|secret|token|key)|(?:{_TITLES_M}|{_TITLES_F})"
+HINT = rf"[0-9@]|(?i:{_PASSWORDS}|{_TOKENS})|(?:{_TITLES_M}|{_TITLES_F})"
 
 
 def entities(text: Column) -> Column:

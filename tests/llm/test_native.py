@@ -117,6 +117,27 @@ def test_surrogates_by_type(spark):
     assert names[1] in surrogates.GIVEN["latin_f"] and names[2] in surrogates.GIVEN["latin_m"]
 
 
+SECRETS = [
+    ('TOKEN = "{}"', "9233A8ECF7C5B09FE5949719"), ('Token = "{}"', "0641917ea4e9feb9cda8"), ('token="{}"', "0641917ea4e9feb9cda8"),
+    ("api_key: {} ok", "abcdefgh1234"), ("'api_key={}'", "abcdefgh1234"), ("API-KEY : '{}'", "abcdefgh1234"),
+    ("password: {}", "hunter2x"), ("password = {}, then", "hunter2x"), ('password="{}"', "hunter2x"), ("PASSWORD={}", "hunter2x"),
+    ('{{"db_password" : "{}"}}', "two words 7"), ("pwd=>{}.", "hunter2x"), ("Secret :\t{}", "qwertyzu"), ("access_token: {}", "eyJhbGci.eyJzdWIi.c2ln"),
+]
+
+
+def test_surrogates_of_marked_secrets_in_any_spelling(spark):
+    rows = [(i, form.format(value)) for i, (form, value) in enumerate(SECRETS)]
+    kept = ["the token was lost", "token = get_token()", "password", "secrets", "token: short"]
+    df = spark.createDataFrame(rows + [(100 + i, t) for i, t in enumerate(kept)], "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_entities(df)[0].collect()}
+    for i, (form, value) in enumerate(SECRETS):
+        before, after = form.replace("{{", "{").replace("}}", "}").split("{}")
+        new = got[i].text
+        assert got[i].n_entities == 1 and new.startswith(before) and new.endswith(after), new
+        assert len(new) == len(rows[i][1]) and value not in new, new
+    assert [got[100 + i].text for i in range(len(kept))] == kept
+
+
 def test_surrogates_stay_distinct(spark):
     """All values of a form with few members: each gets its own, none that occurs."""
     rows = [(i, f"secret=a{i:x}") for i in range(16)] + [(100 + i, f"Mr Brown{chr(97 + i)}") for i in range(26)]
