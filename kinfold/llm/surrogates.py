@@ -7,6 +7,8 @@ counts as a secret, for tokens from eight characters on and if it is no call. Ea
 
 * characters are exchanged within their class (digit, a-f, g-z, A-F, G-Z), so hexadecimal stays hexadecimal;
 * telephone and card numbers keep their punctuation, the country code and, for cards, a valid check digit;
+* IPv6 addresses, written whole or with `::`, keep their groups of zeros and the way they are written; an IPv4 address
+  at their end is exchanged as one, without what stands before it;
 * mail domains become labels under the reserved example domains, IPv4 addresses lie in the reserved block
   240.0.0.0/4;
 * names keep title, number of parts, script (Latin, Greek, Cyrillic) and the gender that the title shows.
@@ -50,6 +52,14 @@ def _marked(markers: str) -> str:
     )
 
 
+_H = "[0-9A-Fa-f]{1,4}"
+#: Eight groups, or fewer with `::` for one or more groups of zeros; `::` alone is no address of anybody.
+_IPV6 = "|".join(
+    [f"(?:{_H}:){{7}}{_H}"]
+    + [f"(?:{_H}:){{{n}}}(?::{_H}){{1,{7 - n}}}" for n in range(6, 0, -1)]
+    + [f":(?::{_H}){{1,7}}", f"(?:{_H}:){{1,7}}:"]
+)
+
 _PASSWORDS = r"password|passwd|pwd|secret"
 _TOKENS = r"token|api[_-]?key"
 
@@ -60,7 +70,8 @@ PATTERNS = {
     "password": rf"{_marked(_PASSWORDS)}(?:(?<=\")[^\"\n]+(?=\")|(?<=')[^'\n]+(?=')|(?=[^\s\"']*[\p{{L}}\p{{N}}])[^\s\"']*[^\s\"'.,;:!?)\]}}])",
     "token": rf"{_marked(_TOKENS)}(?=[A-Za-z0-9_.~+/=-]{{8}})[A-Za-z0-9_~+/=-]++(?:\.[A-Za-z0-9_~+/=-]++)*+(?![A-Za-z0-9_(\[])",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "ipv6": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])",
+    "ipv6": rf"(?=[0-9A-Fa-f]{{0,4}}:[0-9A-Fa-f:])(?:(?<![0-9A-Fa-f:])(?:{_H}:){{7}}{_H}(?![0-9A-Fa-f:])"
+    rf"|(?<![0-9A-Za-z_])(?<!::)(?<!(?<![0-9A-Za-z_])[0-9A-Fa-f]{{1,4}}:)(?:{_IPV6})(?![0-9A-Za-z_]|:[0-9A-Fa-f:]|\.[0-9]))",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9]|\.[0-9])",
     "card": r"(?<![0-9+-])[3-6][0-9]{3}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{3,4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -86,8 +97,9 @@ SYLLABLES = {
 
 #: Titles in any of the patterns' languages, as one pattern for the whole search.
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: Text without one of these characters or words has no entity; a cheap test before the full search.
-HINT = rf"[0-9@]|(?i:{_PASSWORDS}|{_TOKENS})|(?:{_TITLES_M}|{_TITLES_F})"
+#: Text without one of these characters or words has no entity; a cheap test before the full search. Each pattern
+#: needs one of them.
+HINT = rf"[0-9@]|AKIA|ASIA|:[0-9A-Fa-f]{{0,4}}:|(?i:{_PASSWORDS}|{_TOKENS})|(?:{_TITLES_M}|{_TITLES_F})"
 
 
 def entities(text: Column) -> Column:
@@ -109,10 +121,19 @@ def kind(value: Column) -> Column:
     return out.otherwise("secret")
 
 
+def _groups(value: Column) -> Column:
+    """An IPv6 address with all eight groups of four digits."""
+    sides = F.transform(F.split(value, "::", -1), lambda side: F.filter(F.split(side, ":"), lambda g: g != ""))
+    left, right = F.get(sides, F.lit(0)), F.coalesce(F.get(sides, F.lit(1)), F.array().cast("array<string>"))
+    zeros = F.array_repeat(F.lit("0"), (8 - F.size(left) - F.size(right)).cast("int"))
+    return F.array_join(F.transform(F.concat(left, zeros, right), lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def canonical(k: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
-        F.when(k.isin("email", "ipv6"), F.lower(value))
+        F.when(k == "email", F.lower(value))
+        .when(k == "ipv6", _groups(F.lower(value)))
         .when(k == "phone", F.when(F.length(digits) > 10, F.substring(digits, -10, 10)).otherwise(digits))
         .when(k.isin("card", "ssn"), digits)
         .when(k == "iban", F.regexp_replace(value, " ", ""))
@@ -152,6 +173,21 @@ def _exchanged(value: Column, stream: Column) -> Column:
     )
 
 
+def _hexadecimal(value: Column, stream: Column) -> Column:
+    """Every hexadecimal digit by any other; 0 by none, so that no group becomes one of zeros."""
+    chars = F.split(value, "")
+    return let(
+        stream,
+        lambda st: F.array_join(
+            F.transform(
+                chars,
+                lambda c, i: F.when(c == ":", c).otherwise(F.substr(F.lit("123456789abcdef"), _byte(st, i) % 15 + 1, F.lit(1))),
+            ),
+            "",
+        ),
+    )
+
+
 def _checked(digits: Column) -> Column:
     """The digits with the last one set so that the Luhn sum is a multiple of ten."""
     body = F.substr(digits, F.lit(1), F.length(digits) - 1)
@@ -226,9 +262,19 @@ def propose(k: Column, value: Column, gender: Column, attempt: Column, key: str
     swapped = _exchanged(value, stream)
     first = (F.lit(2) + _byte(stream, at) % 8).cast("string")
     number = F.concat(first, F.substr(swapped, F.lit(2)))
+    # Groups of zeros stay, so that what was short can be; all groups change where that leaves too few addresses.
+    groups = F.array_join(
+        F.zip_with(
+            F.split(value, ":"),
+            F.split(_hexadecimal(value, stream), ":"),
+            lambda a, b: F.when((a == "0000") & (attempt < GROW), a).otherwise(b),
+        ),
+        ":",
+    )
     return (
         F.when(k == "email", mail)
         .when(k == "ipv4", address)
+        .when(k == "ipv6", groups)
         .when(k == "card", _checked(F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(swapped, F.lit(2)))))
         .when(k.isin("phone", "ssn"), number)
         .when(k == "access_key", F.concat(F.substr(value, F.lit(1), F.lit(4)), F.substr(swapped, F.lit(5))))
@@ -249,9 +295,13 @@ def render(k: Column, value: Column, surrogate: Column) -> Column:
         place = at - (digits - F.length(surrogate))
         return F.when(c.rlike("[0-9]") & (place >= 1), F.substr(surrogate, place, F.lit(1))).otherwise(c)
 
+    short = F.regexp_replace(surrogate, "(?<![0-9a-f])0{1,3}(?=[0-9a-f])", "")
+    short = F.when(value.contains("::"), F.regexp_replace(short, "^(.*?)(?:^|:)0(?::0)*(?::|$)", "$1::")).otherwise(short)
+    address = F.when(value.rlike("::|(?:^|:)[^:]{1,3}(?::|$)"), short).otherwise(surrogate)
     spaced = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), char), "")
     return (
         F.when(k.isin("phone", "card", "ssn"), spaced)
+        .when(k == "ipv6", address)
         .when((k == "email") & (value == F.upper(value)), F.upper(surrogate))
         .when((k == "iban") & value.contains(" "), F.rtrim(F.regexp_replace(surrogate, "(.{4})", "$1 ")))
         .otherwise(surrogate)
