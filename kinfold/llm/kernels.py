@@ -7,6 +7,7 @@ prefix sum of a polynomial modulo 2**64, then a bit mixer. Hashes are 64 bits wi
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -93,7 +94,10 @@ class Words:
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, self.offsets)
         self.counts = np.diff(self.first)
-        self.bytes = Prefix(self.data + np.uint64(1)) if n else Prefix(np.zeros(0, np.uint64))
+
+    @cached_property
+    def bytes(self) -> Prefix:
+        return Prefix(self.data + np.uint64(1)) if len(self.data) else Prefix(np.zeros(0, np.uint64))
 
     @property
     def docs(self) -> int:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, host_quality, ngram_jaccard, packing, ppm, recompression, sharding, surrogates
-from . import tokens, toxicity, wavelet
-from .common import table
+from . import bottom_k, decontaminate, filter_audit, host_quality, ngram_jaccard, packing, periodic_runs, ppm
+from . import recompression, sharding, surrogates, tokens, toxicity, wavelet
+from .common import let, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -198,3 +198,143 @@ def op7_recompression(spark: SparkSession, d: str) -> DataFrame:
 def op2_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, d, "labels")))
+
+
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS low FROM d),
+f AS (
+  SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT
+         + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(doc_id > low, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY 1),
+c AS (
+  SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY 1, 2),
+e AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+o AS (
+  SELECT p.l || q.l || r.l || s.l || t.l AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits
+  FROM e p, e q, e r, e s, e t WHERE p.b + q.b + r.b + s.b + t.b = 31
+    AND len(list_distinct([p.b, q.b, r.b, s.b, t.b])) = 5),
+st AS (SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before
+       FROM (SELECT *, unnest(range(1, 6)) AS step FROM o)),
+r AS (
+  SELECT part, filter_order, step, bit,
+         sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS removed,
+         sum(CASE WHEN mask & before <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS good_lost,
+         sum(CASE WHEN mask & before = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS toxic_lost
+  FROM c, st GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+       redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+       toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM r
+"""
+
+
+@query(OP11_SQL)
+def op11_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+def planted_runs(doc_id: Column, text: Column) -> Column:
+    """The text with the periodic stretch that the query asks for in a tenth of the documents."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / F.lit(10))
+
+    def replaced(ws: Column) -> Column:
+        n = F.size(ws)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+        place = lambda i: F.when(i < a, i).otherwise(a + F.pmod(i - a, p)).cast("int")
+        return F.when(
+            n > 0, F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(ws, place(i))), " ")
+        ).otherwise("")
+
+    words = F.array_remove(F.split(text, filter_audit.SPACES, -1), "")
+    return F.when((h % 10 == 0) & text.isNotNull(), let(words, replaced)).otherwise(text)
+
+
+OP12_SQL = r"""
+WITH t AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+-- CRC-32 by bytes: a table of 256 entries from the polynomial, then a fold.
+tab AS (
+  SELECT list(v ORDER BY b) AS tab FROM (
+    SELECT b, list_reduce([b::BIGINT] || [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[],
+                          lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384::BIGINT, c >> 1) ELSE c >> 1 END) AS v
+    FROM (SELECT unnest(range(256)) AS b))),
+h AS (
+  SELECT doc_id, xor(4294967295::BIGINT, list_reduce(
+           [4294967295::BIGINT] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda i: ascii((doc_id::VARCHAR)[i])::BIGINT),
+           lambda c, x: xor(tab[(xor(c, x) & 255) + 1], c >> 8))) AS h
+  FROM documents, tab WHERE doc_id IS NOT NULL),
+g AS (
+  SELECT t.doc_id, ws, len(ws) AS n, coalesce(h % 10 = 0, false) AND len(ws) > 0 AS planted, h // 10 AS g
+  FROM t LEFT JOIN h USING (doc_id)),
+p AS (SELECT *, CASE WHEN planted THEN g % n ELSE 0 END AS a,
+             CASE WHEN planted THEN 1 + (n - g % n) // (3 + g % 8) ELSE 0 END AS p FROM g),
+word AS MATERIALIZED (
+  SELECT doc_id, i, CASE WHEN planted AND i >= a THEN ws[a + (i - a) % p + 1] ELSE ws[i + 1] END AS w
+         FROM (SELECT *, unnest(range(0, n)) AS i FROM p)),
+grid AS MATERIALIZED (
+  SELECT doc_id, q, unnest(range(0, n - 3 * q, q)) AS i
+  FROM (SELECT doc_id, n, unnest(range(1, n // 4 + 1)) AS q FROM p WHERE n >= 6)),
+-- A run of period q holds three places i, i + q, i + 2 q of the grid, each with the word q further on.
+g0 AS MATERIALIZED (SELECT grid.*, w FROM grid JOIN word USING (doc_id, i)),
+g1 AS MATERIALIZED (SELECT g0.* FROM g0 JOIN word o ON o.doc_id = g0.doc_id AND o.i = g0.i + q AND o.w = g0.w),
+g2 AS MATERIALIZED (SELECT g1.* FROM g1 JOIN word o ON o.doc_id = g1.doc_id AND o.i = g1.i + 2 * q AND o.w = g1.w),
+cand AS MATERIALIZED (
+  SELECT DISTINCT g2.doc_id, q FROM g2
+  JOIN word o ON o.doc_id = g2.doc_id AND o.i = g2.i + 3 * q AND o.w = g2.w),
+ahead AS MATERIALIZED (
+  SELECT c.doc_id, c.q, x.i, x.w, x.i + c.q AS j FROM cand c JOIN word x ON x.doc_id = c.doc_id),
+same AS (
+  SELECT a.doc_id, a.q, a.i FROM ahead a JOIN word y ON y.doc_id = a.doc_id AND y.i = a.j AND y.w = a.w),
+stretch AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + q - min(i) + 1 AS len FROM (
+    SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS isle FROM same)
+  GROUP BY doc_id, q, isle HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS (SELECT doc_id, s, len, min(q) AS q FROM stretch GROUP BY 1, 2, 3),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS kept FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY 1),
+top AS (
+  SELECT doc_id, count(*) AS n_runs, arg_min([s, len, q], [-len, s, q]) AS best,
+         string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS all_runs
+  FROM run GROUP BY 1)
+SELECT t.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best[1]::BIGINT AS "start", best[2]::BIGINT AS "length",
+       best[3]::BIGINT AS "period", (1000 * best[2] // best[3])::BIGINT AS exponent_milli,
+       sha256(coalesce(all_runs, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM t LEFT JOIN top USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+@query(OP12_SQL)
+def op12_periodic_runs(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", planted_runs(F.col("doc_id"), F.col("text")).alias("text"))
+    out, _, runs, collapsed = periodic_runs.runs(docs)
+    ordered = F.transform(runs, lambda r: F.struct(r["length"], -r["start"], -r["period"], r["start"], r["period"]))
+    out = out.withColumn("top", F.array_max(ordered))
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    return out.select(
+        "doc_id",
+        F.size(runs).cast("long").alias("n_runs"),
+        F.col("top.start").alias("start"),
+        F.col("top.length").alias("length"),
+        F.col("top.period").alias("period"),
+        F.floor(1000 * F.col("top.length") / F.col("top.period")).alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(runs, line), "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col(collapsed).cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+OP13_SQL = OP1_SQL.replace("ws[i:i + 4]", "ws[i:i + 1]").replace("len(ws) - 4", "len(ws) - 1").replace(
+    "AS component_id\n", "AS component_id,\n       w.doc_id <= coalesce(m, w.doc_id) AS kept\n"
+)
+
+
+@query(OP13_SQL)
+def op13_bottom_k(spark: SparkSession, d: str) -> DataFrame:
+    return bottom_k.near_copies(table(spark, d, "documents"))
