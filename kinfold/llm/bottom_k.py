@@ -9,13 +9,17 @@ A document's set is its distinct `n`-word shingles, hashed once. Its sketch is t
   its first values only. Sets of at most threshold * k shingles are known whole with any partner of theirs:
   they are listed under their first n - threshold * n + 1 values, and nothing can be lost.
 * Sizes: a pair goes where the smaller set is too small for the larger one.
+* Signature: one bit of the smallest hash in each of 256 ranges of hashes. Two sets differ in at most as many
+  bits as in shingles, and for large sets in (1 - similarity) / 2 of the bits by chance; pairs beyond these
+  bounds never leave the list, so a list of m unlike classes gives few rows rather than m squared.
 * Union sketch: the k smallest values of two sketches together are the sketch of the union. The share of them
   that both hold estimates the similarity; pairs below `least` go.
 * Exact: the full sets of the pairs left are intersected.
 
 For sets above threshold * k the estimate is a draw of k values without replacement, of which at least 80 % are
-shared in truth. With k = 96 and least = 0.5 the chance that a linked pair falls below is at most
-exp(-96 KL(0.5 || 0.8)) = 5e-10 by Chernoff's bound, at similarity 0.8 and less above it.
+shared in truth. With k = 512 and least = 0.67 the chance that a linked pair falls below is at most
+exp(-512 KL(0.67 || 0.8)) = 5e-11 by Chernoff's bound, at similarity 0.8 and less above it; the signature's bound
+is set to lose at most 1e-11.
 
 The result is components, so pairs inside a component need no test. First each class is held against one of
 each list (the one with the fewest rarer values: an original rather than its edited copy). Then, list by list, the
@@ -30,6 +34,7 @@ there is none); repeated rows are one class; an empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +47,13 @@ from .common import materialise, release, row_key
 from .graph import components
 
 N, PERCENT = 2, 80
-SKETCH, LEAST_PERCENT = 96, 50
+SKETCH, LEAST_PERCENT = 512, 67
 PIECE_BYTES = 512 << 10
 #: Values that at least COMMON_COUNT classes of one task's share retain come last in the order; the COMMON
 #: commonest of them (16 bytes each) are sent to the tasks. The order decides what is looked at, not what is found.
 COMMON, COMMON_COUNT, COUNT_AT_ONCE = 1 << 18, 3, 1_000_000
+SIGNATURE_LONGS, SIGNATURE_LOSS = 4, 1e-11
+SIGNATURE = [f"s{i}" for i in range(SIGNATURE_LONGS)]
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,6 +77,31 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return upto[first[1:]] - upto[first[:-1]]
 
 
+def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A row of `SIGNATURE_LONGS` longs per text: a bit of the least hash of each range, 0 where it has none."""
+    size = np.diff(first)
+    doc = np.repeat(np.arange(len(size)), size)
+    ranges = 64 * SIGNATURE_LONGS
+    bucket = (values >> np.uint64(65 - ranges.bit_length())).astype(np.int64)
+    least = np.ones(len(values), dtype=bool)
+    least[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
+    values, doc, bucket = values[least], doc[least], bucket[least]
+    out = np.zeros((len(size), SIGNATURE_LONGS), dtype=np.uint64)
+    bit = (K.mix(values) & np.uint64(1)) << (bucket & 63).astype(np.uint64)
+    np.bitwise_or.at(out, (doc, bucket >> 6), bit)
+    return out
+
+
+def _most_bits(percent: int) -> int:
+    """Bits in which two large sets of at least that similarity differ, but for a chance of SIGNATURE_LOSS."""
+    bits, p = 64 * SIGNATURE_LONGS, (100 - percent) / 200
+    for d in range(int(bits * p) + 1, bits):
+        q = d / bits
+        if bits * (q * log(q / p) + (1 - q) * log((1 - q) / (1 - p))) >= -log(SIGNATURE_LOSS):
+            return d
+    return bits
+
+
 def _firsts(first: np.ndarray, take: np.ndarray) -> np.ndarray:
     """Places of the first `take` entries of each stretch."""
     ends = np.cumsum(take)
@@ -80,18 +112,36 @@ def _lists(offsets: np.ndarray, values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _sketches(docs: DataFrame, id_col: str, text: str, n: int, k: int) -> DataFrame:
-    """A row per document: its key, `n` (set size), `h1`, `h2` (set id), `row` and `sketch`."""
+def _sketch(texts: pa.Array, n: int, k: int) -> tuple:
+    """Shingles of each text, their offsets, and the places and offsets of the sketches among them."""
+    values, first = shingles(texts, n)
+    take = np.minimum(np.diff(first), k)
+    return values, first, _firsts(first, take), np.concatenate([[0], np.cumsum(take)])
+
+
+def _rows(docs: DataFrame, id_col: str, text: str, n: int, k: int, percent: int, least: int) -> DataFrame:
+    """A row per document: key, `n` (set size), `h1`, `h2` (set id), `row`, signature and `listed`: the values
+    of the sketch that it is listed under, rarest first."""
+    shared = docs.sparkSession.sparkContext.broadcast(_common(docs, text, n, k))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, weight = shared.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
             for a, b in K.pieces(batch.column(2), PIECE_BYTES):
-                values, first = shingles(batch.column(2)[a:b], n)
+                values, first, places, cuts = _sketch(batch.column(2)[a:b], n, k)
                 size = np.diff(first)
                 one = _sums(K.mix(values), first) + size.astype(np.uint64)
                 two = _sums(K.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-                take = np.minimum(size, k)
+                signature = _signatures(values, first).view(np.int64)
+                kept = values[places]
+                late = np.zeros(len(kept), dtype=np.int64)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, kept), len(common) - 1)
+                    late = np.where(common[at] == kept, weight[at], 0)
+                order = np.lexsort((kept, late, np.repeat(np.arange(b - a), np.diff(cuts))))
+                take = np.where(size > 0, _listed(size, k, percent, least), 0)
+                listed = kept[order][_firsts(cuts, take)]
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0)[a:b],
@@ -100,19 +150,22 @@ def _sketches(docs: DataFrame, id_col: str, text: str, n: int, k: int) -> DataFr
                         pa.array(K.mix(one).view(np.int64)),
                         pa.array(K.mix(two).view(np.int64)),
                         pa.array(np.arange(row, row + b - a)),
-                        _lists(np.concatenate([[0], np.cumsum(take)]), values[_firsts(first, take)]),
+                        _lists(np.concatenate([[0], np.cumsum(take)]), listed),
+                        *[pa.array(np.ascontiguousarray(c)) for c in signature.T],
                     ],
-                    names=["__id", "__th", "n", "h1", "h2", "row", "sketch"],
+                    names=["__id", "__th", "n", "h1", "h2", "row", "listed", *SIGNATURE],
                 )
                 row += b - a
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(*row_key(id_col, text), text).mapInArrow(
-        run, f"__id {kind}, __th bigint, n bigint, h1 bigint, h2 bigint, row bigint, sketch array<bigint>"
+        run,
+        f"__id {kind}, __th bigint, n bigint, h1 bigint, h2 bigint, row bigint, listed array<bigint>, "
+        + ", ".join(f"{c} bigint" for c in SIGNATURE),
     )
 
 
-def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _common(docs: DataFrame, text: str, n: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The commonest retained values, ascending, and in how many sketches they were counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,13 +175,13 @@ def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             values, counts = np.unique(np.concatenate(held), return_counts=True)
             many = counts >= COMMON_COUNT
             return pa.RecordBatch.from_arrays(
-                [pa.array(values[many]), pa.array(counts[many].astype(np.int64))], names=["g", "count"]
+                [pa.array(values[many].view(np.int64)), pa.array(counts[many].astype(np.int64))], names=["g", "count"]
             )
 
         for batch in batches:
-            values = batch.column(0).flatten().to_numpy()
-            for s in range(0, len(values), COUNT_AT_ONCE):
-                held.append(values[s : s + COUNT_AT_ONCE])
+            for a, b in K.pieces(batch.column(0), PIECE_BYTES):
+                values, _, places, _ = _sketch(batch.column(0)[a:b], n, k)
+                held.append(values[places])
                 total += len(held[-1])
                 if total >= COUNT_AT_ONCE:
                     yield flush()
@@ -137,7 +190,7 @@ def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             yield flush()
 
     top = (
-        classes.select("sketch")
+        docs.select(text)
         .mapInArrow(run, "g bigint, count bigint")
         .groupBy("g")
         .agg(F.sum("count").alias("count"))
@@ -145,7 +198,7 @@ def _common(classes: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         .limit(COMMON)
         .toArrow()
     )
-    g, count = top["g"].to_numpy(), top["count"].to_numpy()
+    g, count = top["g"].to_numpy().view(np.uint64), top["count"].to_numpy()
     order = np.argsort(g)
     return g[order], count[order]
 
@@ -158,28 +211,6 @@ def _listed(n, k: int, percent: int, least: int):
     return size - -(-size * share // 100) + 1
 
 
-def _incidence(classes: DataFrame, k: int, percent: int, least: int) -> DataFrame:
-    """`g`, `cls`, `n`, `pos`: the values that each class is listed under, rarest first."""
-    shared = classes.sparkSession.sparkContext.broadcast(_common(classes))
-
-    @F.arrow_udf("array<bigint>")
-    def firsts(sketch: pa.Array, n: pa.Array) -> pa.Array:
-        common, weight = shared.value
-        values = sketch.flatten().to_numpy()
-        size = np.diff(sketch.offsets.to_numpy())
-        late = np.zeros(len(values), dtype=np.int64)
-        if len(common):
-            at = np.minimum(np.searchsorted(common, values), len(common) - 1)
-            late = np.where(common[at] == values, weight[at], 0)
-        owner = np.repeat(np.arange(len(size)), size)
-        order = np.lexsort((values, late, owner))
-        first = np.concatenate([[0], np.cumsum(size)])
-        take = _listed(n.to_numpy(), k, percent, least)
-        return _lists(np.concatenate([[0], np.cumsum(take)]), values[order][_firsts(first, take)])
-
-    return classes.select("cls", "n", F.posexplode(firsts("sketch", "n")).alias("pos", "g"))
-
-
 def _estimate(k: int, least: int):
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -227,37 +258,33 @@ class _Search:
             raise ValueError("the least share of the estimate must be above 0 and at most the threshold")
         self.docs, self.id_col, self.text = docs, id_col, text
         self.n, self.percent, self.k, self.least = n, percent, k, least
-        self.rows = materialise(_sketches(docs, id_col, text, n, k), "sketches")
-        # One row stands for each class; its sketch is that of all of them.
+        self.rows = materialise(_rows(docs, id_col, text, n, k, percent, least), "sketch-rows")
+        # One row stands for each class; all of them are listed alike.
         self.classes = materialise(
             self.rows.where("n > 0")
             .groupBy("h1", "h2")
             .agg(
                 F.min("__id").alias("least_id"),
                 F.min(F.struct(F.col("__id").isNull(), "__id", "row", "__th", "n")).alias("f"),
-                F.any_value("sketch").alias("sketch"),
+                *[F.any_value(c).alias(c) for c in ("listed", *SIGNATURE)],
             )
-            .select("h1", "h2", "least_id", F.col("f.row").alias("cls"), "f.__id", "f.__th", "f.n", "sketch"),
+            .select("h1", "h2", "least_id", F.col("f.row").alias("cls"), "f.__id", "f.__th", "f.n", "listed", *SIGNATURE),
             "sketch-classes",
         )
 
     def lists(self) -> DataFrame:
         """The incidences of values that at least two classes are listed under."""
-        inc = materialise(_incidence(self.classes, self.k, self.percent, self.least), "sketch-lists")
+        inc = self.classes.select("cls", F.posexplode("listed").alias("pos", "g"))
         many = materialise(inc.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "sketch-values")
         # Both sides are tables, so each gets an exchange of its own and a hot value's rows can be split.
-        out = materialise(inc.join(many, "g"), "sketch-lists")
-        release(self.docs.sparkSession, inc, many)
+        met = inc.join(many, "g").join(self.classes.select("cls", "n", *SIGNATURE), "cls")
+        out = materialise(met, "sketch-lists")
+        release(self.docs.sparkSession, many)
         return out
 
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (`a`, `b`) that the union sketch and then the full sets confirm."""
-        sketch = self.classes.select("cls", "sketch")
-        met = pairs.join(sketch.withColumnsRenamed({"cls": "a", "sketch": "sa"}), "a").join(
-            sketch.withColumnsRenamed({"cls": "b", "sketch": "sb"}), "b"
-        )
-        near = materialise(met.where(_estimate(self.k, self.least)("sa", "sb")).select("a", "b"), "sketch-near")
-        ends = near.select(F.col("a").alias("cls")).unionByName(near.select(F.col("b").alias("cls"))).distinct()
+        ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
         need = materialise(self.classes.join(ends, "cls", "left_semi").select("cls", "__id", "__th"), "sketch-ends")
         n = self.n
 
@@ -273,25 +300,39 @@ class _Search:
         found = materialise(
             texts.join(need, same).select("cls", sets("t").alias("grams")).dropDuplicates(["cls"]), "sketch-sets"
         )
-        both = near.join(found.withColumnsRenamed({"cls": "a", "grams": "ga"}), "a").join(
-            found.withColumnsRenamed({"cls": "b", "grams": "gb"}), "b"
-        )
-        out = materialise(both.where(_similar(self.percent)("ga", "gb")).select("a", "b"), "sketch-links")
+
+        def both(some: DataFrame, held: DataFrame) -> DataFrame:
+            return some.join(held.withColumnsRenamed({"cls": "a", "grams": "ga"}), "a").join(
+                held.withColumnsRenamed({"cls": "b", "grams": "gb"}), "b"
+            )
+
+        # Sets are ascending, so a sketch is the head of its set.
+        sketch = found.select("cls", F.slice("grams", 1, self.k).alias("grams"))
+        near = both(pairs, sketch).where(_estimate(self.k, self.least)("ga", "gb")).select("a", "b")
+        near = materialise(near, "sketch-near")
+        out = materialise(both(near, found).where(_similar(self.percent)("ga", "gb")).select("a", "b"), "sketch-links")
         release(self.docs.sparkSession, near, need, found)
         return out
 
-    def _sizes(self, a, b):
-        return 100 * F.least(a, b) >= self.percent * F.greatest(a, b)
+    def _possible(self, n, m, s, t):
+        """The bounds by set sizes and signatures for two classes of one list."""
+        p = self.percent
+        bits = F.bit_count(s[0].bitwiseXOR(t[0]))
+        for a, b in zip(s[1:], t[1:], strict=True):
+            bits = bits + F.bit_count(a.bitwiseXOR(b))
+        sizes = 100 * F.least(n, m) >= p * F.greatest(n, m)
+        return sizes & (bits <= _most_bits(p)) & ((100 + p) * bits <= (100 - p) * (n + m))
 
     def _stars(self, now: DataFrame) -> DataFrame:
         """Each class with one class of each list it is in."""
         star = materialise(
             now.groupBy("g")
-            .agg(F.min(F.struct("pos", F.xxhash64("cls").alias("o"), "cls", "n")).alias("s"))
-            .select("g", F.col("s.cls").alias("y"), F.col("s.n").alias("m")),
+            .agg(F.min(F.struct("pos", F.xxhash64("cls").alias("o"), "cls", "n", *SIGNATURE)).alias("s"))
+            .select("g", F.col("s.cls").alias("y"), F.col("s.n").alias("m"), *[F.col(f"s.{c}").alias(f"y_{c}") for c in SIGNATURE]),
             "sketch-stars",
         )
-        met = now.join(star, "g").where("cls <> y").where(self._sizes(F.col("n"), F.col("m")))
+        sides = [F.col(c) for c in SIGNATURE], [F.col(f"y_{c}") for c in SIGNATURE]
+        met = now.join(star, "g").where("cls <> y").where(self._possible(F.col("n"), F.col("m"), *sides))
         return met.select(F.col("cls").alias("x"), "y")
 
     def _others(self, now: DataFrame) -> DataFrame:
@@ -309,7 +350,8 @@ class _Search:
         y = left.alias("y")
         once = (F.col("y.comp") == F.col("y.big")) | (F.col("x.cls") < F.col("y.cls"))
         met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & once)
-        met = met.where(self._sizes(F.col("x.n"), F.col("y.n")))
+        sides = [F.col(f"x.{c}") for c in SIGNATURE], [F.col(f"y.{c}") for c in SIGNATURE]
+        met = met.where(self._possible(F.col("x.n"), F.col("y.n"), *sides))
         return met.select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y"))
 
     def components(self) -> DataFrame:
