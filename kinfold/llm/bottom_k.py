@@ -9,17 +9,17 @@ A document's set is its distinct `n`-word shingles, hashed once. Its sketch is t
   its first values only. Sets of at most threshold * k shingles are known whole with any partner of theirs:
   they are listed under their first n - threshold * n + 1 values, and nothing can be lost.
 * Sizes: a pair goes where the smaller set is too small for the larger one.
-* Signature: one bit of the smallest hash in each of 256 ranges of hashes. Two sets differ in at most as many
-  bits as in shingles, and for large sets in (1 - similarity) / 2 of the bits by chance; pairs beyond these
-  bounds never leave the list, so a list of m unlike classes gives few rows rather than m squared.
+* Signature: the parities of 512 counts, one for each remainder of the hashes. Two sets differ in at most as many
+  bits as in shingles, of which the threshold allows (1 - t) / (1 + t) of both sizes; pairs beyond that never
+  leave the list, so a list of m unlike classes gives few rows rather than m squared. Nothing is lost by it.
 * Union sketch: the k smallest values of two sketches together are the sketch of the union. The share of them
-  that both hold estimates the similarity; pairs below `least` go.
+  that both hold estimates the similarity; pairs below `least` go. A union of fewer than k is known whole, and
+  pairs of it go below the threshold itself.
 * Exact: the full sets of the pairs left are intersected.
 
 For sets above threshold * k the estimate is a draw of k values without replacement, of which at least 80 % are
 shared in truth. With k = 512 and least = 0.67 the chance that a linked pair falls below is at most
-exp(-512 KL(0.67 || 0.8)) = 5e-11 by Chernoff's bound, at similarity 0.8 and less above it; the signature's bound
-is set to lose at most 1e-11.
+exp(-512 KL(0.67 || 0.8)) = 5e-11 by Chernoff's bound, at similarity 0.8 and less above it.
 
 The result is components, so pairs inside a component need no test. First each class is held against one of
 each list (the one with the fewest rarer values: an original rather than its edited copy). Then, list by list, the
@@ -34,7 +34,6 @@ there is none); repeated rows are one class; an empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -52,7 +51,7 @@ PIECE_BYTES = 512 << 10
 #: Values that at least COMMON_COUNT classes of one task's share retain come last in the order; the COMMON
 #: commonest of them (16 bytes each) are sent to the tasks. The order decides what is looked at, not what is found.
 COMMON, COMMON_COUNT, COUNT_AT_ONCE = 1 << 18, 3, 1_000_000
-SIGNATURE_LONGS, SIGNATURE_LOSS = 4, 1e-11
+SIGNATURE_LONGS = 8
 SIGNATURE = [f"s{i}" for i in range(SIGNATURE_LONGS)]
 
 
@@ -78,30 +77,15 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of `SIGNATURE_LONGS` longs per text: a bit of the least hash of each range, 0 where it has none."""
+    """A row of `SIGNATURE_LONGS` longs per text: how often, modulo 2, its hashes fall on each bit."""
     size = np.diff(first)
-    doc = np.repeat(np.arange(len(size)), size)
-    ranges = 64 * SIGNATURE_LONGS
-    bucket = (values >> np.uint64(65 - ranges.bit_length())).astype(np.int64)
-    least = np.ones(len(values), dtype=bool)
-    least[1:] = (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1])
-    values, doc, bucket = values[least], doc[least], bucket[least]
     out = np.zeros((len(size), SIGNATURE_LONGS), dtype=np.uint64)
-    bit = (K.mix(values) & np.uint64(1)) << (bucket & 63).astype(np.uint64)
-    np.bitwise_or.at(out, (doc, bucket >> 6), bit)
+    at = K.mix(values) % np.uint64(64 * SIGNATURE_LONGS)
+    long = (at >> np.uint64(6)).astype(np.int64)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(size)), size), long), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
-def _most_bits(percent: int) -> int:
-    """Bits in which two large sets of at least that similarity differ, but for a chance of SIGNATURE_LOSS."""
-    bits, p = 64 * SIGNATURE_LONGS, (100 - percent) / 200
-    for d in range(int(bits * p) + 1, bits):
-        q = d / bits
-        if bits * (q * log(q / p) + (1 - q) * log((1 - q) / (1 - p))) >= -log(SIGNATURE_LOSS):
-            return d
-    return bits
-
-
 def _firsts(first: np.ndarray, take: np.ndarray) -> np.ndarray:
     """Places of the first `take` entries of each stretch."""
     ends = np.cumsum(take)
@@ -211,10 +195,10 @@ def _listed(n, k: int, percent: int, least: int):
     return size - -(-size * share // 100) + 1
 
 
-def _estimate(k: int, least: int):
+def _estimate(k: int, percent: int, least: int):
     @F.arrow_udf("boolean")
     def near(x: pa.Array, y: pa.Array) -> pa.Array:
-        """Whether both sketches hold at least `least` % of the k smallest values of their union."""
+        """Whether both sketches hold enough of the k smallest values of their union."""
         parts = []
         for side in (x, y):
             parts.append((side.flatten().to_numpy(), np.repeat(np.arange(len(side)), np.diff(side.offsets.to_numpy()))))
@@ -232,7 +216,7 @@ def _estimate(k: int, least: int):
         kept = rank < k
         shared = np.bincount(pair[kept & both], minlength=len(x))
         total = np.bincount(pair[kept], minlength=len(x))
-        return pa.array(100 * shared >= least * total)
+        return pa.array(100 * shared >= np.where(total < k, percent, least) * total)
 
     return near
 
@@ -308,7 +292,7 @@ class _Search:
 
         # Sets are ascending, so a sketch is the head of its set.
         sketch = found.select("cls", F.slice("grams", 1, self.k).alias("grams"))
-        near = both(pairs, sketch).where(_estimate(self.k, self.least)("ga", "gb")).select("a", "b")
+        near = both(pairs, sketch).where(_estimate(self.k, self.percent, self.least)("ga", "gb")).select("a", "b")
         near = materialise(near, "sketch-near")
         out = materialise(both(near, found).where(_similar(self.percent)("ga", "gb")).select("a", "b"), "sketch-links")
         release(self.docs.sparkSession, near, need, found)
@@ -321,7 +305,7 @@ class _Search:
         for a, b in zip(s[1:], t[1:], strict=True):
             bits = bits + F.bit_count(a.bitwiseXOR(b))
         sizes = 100 * F.least(n, m) >= p * F.greatest(n, m)
-        return sizes & (bits <= _most_bits(p)) & ((100 + p) * bits <= (100 - p) * (n + m))
+        return sizes & ((100 + p) * bits <= (100 - p) * (n + m))
 
     def _stars(self, now: DataFrame) -> DataFrame:
         """Each class with one class of each list it is in."""
