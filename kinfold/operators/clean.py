@@ -146,13 +146,14 @@ class ScaleParams:
 
 
 def fit_medians(df: DataFrame, features: Sequence[str]) -> dict[str, float | None]:
-    found = column_quantiles(df, features, [0.5])
+    found = column_quantiles(nan_as_null(df, list(features)), features, [0.5])
     return {c: found[c][0] if found[c] else None for c in features}
 
 
 def impute_median(
     df: DataFrame, features: Sequence[str], medians: dict[str, float | None] | None = None
 ) -> DataFrame:
+    df = nan_as_null(df, list(features))
     if medians is None:
         medians = fit_medians(df, features)
     return df.withColumns({c: _filled(c, medians.get(c)) for c in features})

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import feature_level, mood_from_vector, mood_name, percent_text, title_case
 from ..functions.vectors import as_vector
 from ..presets import MOOD_DEFAULT, MOOD_RULES
+from .clean import nan_as_null
 
 NOISE_LABEL = -1
 
@@ -35,10 +36,6 @@ def small_side(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))
 
 
-# Beyond this many features one vector aggregate beats a pair of aggregates per column.
-WIDE = 16
-
-
 def cluster_moments(
     df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
@@ -63,8 +60,13 @@ def cluster_moments(
 def cluster_stats(
     df: DataFrame, features: str | Sequence[str], cluster: str = "cluster"
 ) -> DataFrame:
-    """size, percentage of all rows (noise counted), mean and population-std vectors."""
-    if isinstance(features, str) or len(features) > WIDE:
+    """size, percentage of all rows (noise counted), mean and population-std vectors.
+
+    Feature columns may miss values (null or NaN), which count for no mean; a vector column must be whole.
+    """
+    if not isinstance(features, str):
+        df = nan_as_null(df, list(features))
+    if isinstance(features, str):
         grouped = cluster_moments(df, features, cluster).select(
             F.col("c").cast("int").alias("cluster_id"),
             F.col("n").alias("size"),
@@ -130,12 +132,21 @@ def default_mood(cluster: Column) -> Column:
 
 
 def attach_moods(
-    df: DataFrame, moods: DataFrame, cluster: str = "cluster", default: str | None = None
+    df: DataFrame,
+    moods: DataFrame,
+    cluster: str = "cluster",
+    default: str | None = None,
+    limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
-    """Left lookup of the mood name; unmatched rows get `Cluster <id>` or `default`."""
-    side = small_side(moods.select(F.col("cluster_id").alias(cluster), "mood"))
+    """Left lookup of the mood name; unmatched rows get `Cluster <id>` or `default`.
+
+    More than `limit` names are joined by shuffle, with the rows of hot clusters dealt over several tasks.
+    """
+    from .skew import lookup
+
     fallback = default_mood(F.col(cluster)) if default is None else F.lit(default)
-    return df.join(side, cluster, "left").withColumn("mood", F.coalesce("mood", fallback))
+    named = lookup(df, moods.select(F.col("cluster_id").alias(cluster), "mood"), cluster, "left", limit)
+    return named.withColumn("mood", F.coalesce("mood", fallback))
 
 
 def cluster_info(stats: DataFrame, moods: DataFrame, cluster_id: int) -> DataFrame:
@@ -196,13 +207,26 @@ def cluster_members(df: DataFrame, cluster_id: int, cluster: str = "cluster") ->
 def align_labels(
     rows: DataFrame, labels: DataFrame, id_col: str, strict: bool = True
 ) -> DataFrame:
-    """Attach labels kept in a second table; `strict` demands a label for every row and back."""
+    """Attach labels kept in a second table; `strict` demands one label for every row and back.
+
+    The check is one count of both tables by id: ids that one side lacks or that either repeats are errors.
+    """
     if strict:
-        n, m = rows.count(), labels.count()
-        if n != m:
-            raise ValueError(f"Tables must have the same length: {n} rows, {m} labels")
-        for a, b, what in ((rows, labels, "rows without a label"), (labels, rows, "labels without a row")):
-            lone = a.join(b.select(id_col).distinct(), id_col, "left_anti").count()
-            if lone:
-                raise ValueError(f"Tables must have the same ids: {lone} {what}")
+        sides = [t.select(F.col(id_col).alias("id"), F.lit(i).alias("side")) for i, t in enumerate((rows, labels))]
+        both = sides[0].unionByName(sides[1])
+        by_id = both.groupBy("id").agg(F.count_if(F.expr("side = 0")).alias("r"), F.count_if(F.expr("side = 1")).alias("l"))
+        c = by_id.agg(
+            F.coalesce(F.sum("r"), F.lit(0)).alias("rows"),
+            F.coalesce(F.sum("l"), F.lit(0)).alias("labels"),
+            F.count_if(F.expr("l = 0 or id is null and r > 0")).alias("unlabelled"),
+            F.count_if(F.expr("r = 0 or id is null and l > 0")).alias("unused"),
+            F.count_if(F.expr("r > 1 or l > 1")).alias("repeated"),
+        ).first()
+        if c["rows"] != c["labels"]:
+            raise ValueError(f"Tables must have the same length: {c['rows']} rows, {c['labels']} labels")
+        for n, what in ((c["unlabelled"], "rows without a label"), (c["unused"], "labels without a row")):
+            if n:
+                raise ValueError(f"Tables must have the same ids: {n} {what}")
+        if c["repeated"]:
+            raise ValueError(f"Tables must have each id once: {c['repeated']} ids are repeated")
     return rows.join(labels, id_col)

@@ -95,6 +95,7 @@ def table_info(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, non-null count and row count."""
     names = df.columns
     types = dict(df.dtypes)
+    df = nan_as_null(df, [c for c in names if types[c] in ("double", "float")])
     wide = df.agg(
         *[F.count(F.col(c)).alias(f"{i}_non_null") for i, c in enumerate(names)],
         F.count(F.lit(1)).alias("n_rows"),
@@ -154,6 +155,7 @@ def correlation_matrix(df: DataFrame, features: Sequence[str]) -> DataFrame:
     d(d+1)/2 aggregates in one pass over the table, mirrored afterwards on d*d rows.
     """
     features = list(features)
+    df = nan_as_null(df, features)
     aggs = []
     for i, a in enumerate(features):
         for j, b in enumerate(features[i:], start=i):
@@ -181,6 +183,7 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 50) -> DataFra
     range centred on its value.
     """
     features = list(features)
+    df = nan_as_null(df, features)
     lo_hi = df.agg(
         *[F.min(_d(c)).alias(f"lo{i}") for i, c in enumerate(features)],
         *[F.max(_d(c)).alias(f"hi{i}") for i, c in enumerate(features)],
@@ -195,7 +198,8 @@ def histogram(df: DataFrame, features: Sequence[str], bins: int = 50) -> DataFra
     def bin_of(c: str) -> Column:
         lo, hi = bounds[c]
         position = F.floor((_d(c) - F.lit(lo)) / F.lit((hi - lo) / bins)) + 1
-        return F.least(position, F.lit(bins)).cast("int")
+        # `least` skips nulls, which belong in no bin.
+        return F.when(position.isNotNull(), F.least(position, F.lit(bins))).cast("int")
 
     rows = [F.struct(F.lit(c).alias("feature"), bin_of(c).alias("bin")) for c in bounds]
     counts = (

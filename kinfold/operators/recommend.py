@@ -31,6 +31,24 @@ def _bounded(near: DataFrame) -> DataFrame:
     return small_side(near)
 
 
+def _first_rows(df: DataFrame | None, id_col: str, row_order: str | None) -> DataFrame | None:
+    if df is None or row_order is None or row_order not in df.columns:
+        return df
+    # The rank is cut before the shuffle too, so an id that many rows share stays small.
+    w = Window.partitionBy(id_col).orderBy(row_order)
+    return df.withColumn("__nth", F.row_number().over(w)).where("__nth = 1").drop("__nth")
+
+
+def one_row_per_id(df: DataFrame, id_col: str, row_order: str | None = None) -> DataFrame:
+    """The first row of each id by `row_order`; without an order, the table itself if no id repeats."""
+    if row_order is not None:
+        return _first_rows(df, id_col, row_order)
+    repeated = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(id_col).first()
+    if repeated is not None:
+        raise ValueError(f"id {repeated[0]!r} is repeated; give row_order to choose one row per id")
+    return df
+
+
 def _with_rows(recs: DataFrame, rows: DataFrame | None, id_col: str) -> DataFrame:
     return recs if rows is None else _bounded(recs).join(rows, id_col)
 
@@ -49,6 +67,7 @@ def similar(
     p: float = 2.0,
     rows: DataFrame | None = None,
     query_col: str = "query_id",
+    row_order: str | None = None,
     **plan,
 ) -> DataFrame:
     """Rows similar to known rows, the row itself left out.
@@ -62,6 +81,9 @@ def similar(
     * `any` - the nearest without the cluster test.
     * `prefilter` - search only the query's cluster, so `n` results come back when it has them.
 
+    An id stands for one row. Where ids repeat, `row_order` names the column whose smallest value marks the
+    row that counts (also in `rows`, if it has that column); without it repeated ids are an error.
+
     `rows` adds the columns of a (raw) table to each result.
     """
     if mode not in ("postfilter", "any", "prefilter"):
@@ -70,6 +92,7 @@ def similar(
         raise ValueError(f"n ({n}) must not exceed n_neighbors ({n_neighbors}); use prefilter or any")
     if mode == "any":
         n_neighbors = max(n, n_neighbors)
+    df, rows = one_row_per_id(df, id_col, row_order), _first_rows(rows, id_col, row_order)
     queries = None
     if ids is not None:
         wanted = ids.select(id_col).distinct()

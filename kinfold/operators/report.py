@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import display_label, domain_scale
 from ..presets import FEATURE_DOMAINS
-from .clusters import NOISE_LABEL, attach_moods, small_side
+from .clean import nan_as_null
+from .clusters import NOISE_LABEL, attach_moods
 from .quantiles import exact_quantiles
+from .skew import lookup
 
 
 def unpivot(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
@@ -26,7 +28,8 @@ def cluster_heatmap(
     """Mean of each feature per cluster id, noise left out, in long form with the mood name."""
     features = list(features)
     wide = (
-        df.where(F.col(cluster) != NOISE_LABEL)
+        nan_as_null(df, features)
+        .where(F.col(cluster) != NOISE_LABEL)
         .groupBy(cluster)
         .agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in features])
     )
@@ -38,11 +41,12 @@ def cluster_heatmap(
 def boxplot_stats(df: DataFrame, features: Sequence[str], group: str = "mood") -> DataFrame:
     """Quartiles, 1.5-IQR fences, whiskers and outlier counts per (group, feature)."""
     features = list(features)
+    df = nan_as_null(df, features)
     boxes = _boxes(df, features, group)
     long = unpivot(df, [group], features).where("value is not null")
     inside = F.col("value").between(F.col("low_fence"), F.col("high_fence"))
     return (
-        long.join(small_side(boxes), [group, "feature"])
+        lookup(long, boxes, [group, "feature"])
         .groupBy(group, "feature", "q1", "median", "q3")
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -58,10 +62,9 @@ def boxplot_outliers(
 ) -> DataFrame:
     """The points beyond the fences."""
     features = list(features)
-    boxes = small_side(_boxes(df, features, group))
+    df = nan_as_null(df, features)
     return (
-        unpivot(df, [id_col, group], features)
-        .join(boxes, [group, "feature"])
+        lookup(unpivot(df, [id_col, group], features), _boxes(df, features, group), [group, "feature"])
         .where((F.col("value") < F.col("low_fence")) | (F.col("value") > F.col("high_fence")))
         .select(id_col, group, "feature", "value")
     )

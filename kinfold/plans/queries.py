@@ -33,6 +33,7 @@ from ..operators import (
     sample,
     search,
 )
+from ..operators.inverted import build_inverted, knn_inverted as look_up
 from ..operators.knn import knn
 from ..sources import nested
 
@@ -500,6 +501,33 @@ def knn_minkowski_p3(spark, d):
     return _knn(spark, d, "minkowski", 3.0)
 
 
+@query(_knn_sql("list_distance(a.v, b.v)"))
+def knn_tiles(spark, d):
+    """The plan for any number of queries, whatever the table's size."""
+    out = knn(
+        embeddings(spark, d), id_col="vec_id", features="embedding", max_broadcast_queries=0, block_rows=256
+    )
+    return rounded(out, "distance")
+
+
+@query(_knn_sql("list_distance(a.v, b.v)"))
+def knn_inverted_full(spark, d):
+    """The inverted file with every cell probed, which is exact."""
+    rows = embeddings(spark, d)
+    index = build_inverted(rows, id_col="vec_id", features="embedding")
+    out = look_up(index, rows, id_col="vec_id", features="embedding", probes=index.cells)
+    return rounded(out, "distance")
+
+
+@query()
+def knn_inverted(spark, d):
+    """Every 50th row asks all rows through eight cells; tests measure the recall."""
+    rows = embeddings(spark, d)
+    index = build_inverted(rows, id_col="vec_id", features="embedding")
+    out = look_up(index, rows.where("vec_id % 50 = 0"), id_col="vec_id", features="embedding")
+    return rounded(out, "distance")
+
+
 _REC_COLS = ["query_id", "vec_id", "rank", "distance", "similarity_score"]
 
 
@@ -528,6 +556,15 @@ def similar_postfilter(spark, d):
     return _recs(_similar(spark, d, "postfilter"))
 
 
+@query(f"WITH e0 AS (SELECT vec_id // 2 AS vec_id, CAST(embedding AS DOUBLE[]) AS v, label AS cluster, "
+       f"row_number() OVER (PARTITION BY vec_id // 2 ORDER BY vec_id) AS nth FROM embeddings), "
+       f"e AS (SELECT * FROM e0 WHERE nth = 1), {_pairs().removeprefix(E_SQL + ', ')} {_rec_sql(_POST, 10)}")
+def similar_repeated_ids(spark, d):
+    """Two rows under each id, of which the first counts."""
+    rows = embeddings(spark, d).withColumn("nth", F.col("vec_id")).withColumn("vec_id", F.expr("vec_id div 2"))
+    return _recs(recommend.similar(rows, id_col="vec_id", features="embedding", row_order="nth"))
+
+
 @query(f"WITH {_pairs()} {_rec_sql('n WHERE rk <= 21 AND query_id <> vec_id', 10)}")
 def similar_any_cluster(spark, d):
     return _recs(_similar(spark, d, "any"))
@@ -677,6 +714,50 @@ def mood_lookup(spark, d):
     return clusters.attach_moods(rows, line_moods(spark, d), "l_orderkey")
 
 
+@query("""WITH h AS (SELECT l_orderkey, l_linenumber,
+    CASE WHEN l_orderkey % 10 < 8 THEN 0 ELSE l_orderkey END AS cluster FROM lineitem)
+SELECT l_orderkey, l_linenumber, cluster, CASE WHEN cluster % 3 = 0 AND o_orderkey IS NOT NULL
+  THEN 'name ' || cluster ELSE 'Cluster ' || cluster END AS mood
+FROM h LEFT JOIN (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey <> 0 UNION ALL SELECT 0)
+  ON cluster = o_orderkey""")
+def mood_lookup_hot(spark, d):
+    """Four rows of five in one cluster, and names joined by shuffle."""
+    hot = F.when(F.col("l_orderkey") % 10 < 8, F.lit(0).cast("long")).otherwise(F.col("l_orderkey"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", hot.alias("cluster"))
+    ids = table(spark, d, "orders").select(F.col("o_orderkey").alias("cluster_id"))
+    ids = ids.unionByName(spark.range(1).select(F.col("id").alias("cluster_id"))).distinct()
+    moods = ids.where("cluster_id % 3 = 0").withColumn("mood", F.concat(F.lit("name "), F.col("cluster_id")))
+    return clusters.attach_moods(rows, moods, limit=0)
+
+
+_NAN_SQL = """v AS (SELECT CASE WHEN event_id % 17 <> 0 AND event_id % 11 <> 0 THEN value END AS value,
+    CASE WHEN event_id % 13 <> 5 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) END AS k,
+    hour(ts)::DOUBLE AS hour FROM events)"""
+
+
+def _with_nan(spark, d) -> DataFrame:
+    """Events whose values are missing as null (ids by 17) or as NaN (ids by 11)."""
+    nan = F.when(F.col("event_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("value"))
+    return events(spark, d).withColumn("value", F.when(F.col("event_id") % 17 != 0, nan))
+
+
+@query(f"WITH {_NAN_SQL} " + " UNION ALL ".join(
+    f"SELECT '{a}' AS feature_a, '{b}' AS feature_b, {s6(f'corr({a}, {b})')} AS correlation FROM v"
+    for a in V_FEATURES for b in V_FEATURES))
+def correlation_missing(spark, d):
+    return rounded(describe.correlation_matrix(_with_nan(spark, d), V_FEATURES), "correlation")
+
+
+@query(f"""WITH {_NAN_SQL}, b AS (SELECT min(value) AS lo, max(value) AS hi FROM v),
+c AS (SELECT least(floor((value - lo) / ((hi - lo) / 20)) + 1, 20)::INTEGER AS bin, count(*) AS n
+      FROM v, b WHERE value IS NOT NULL GROUP BY 1)
+SELECT 'value' AS feature, i::INTEGER AS bin, {s6('lo + (i - 1) * (hi - lo) / 20')} AS bin_low,
+  {s6('lo + i * (hi - lo) / 20')} AS bin_high, coalesce(n, 0)::BIGINT AS n
+FROM range(1, 21) AS r(i) CROSS JOIN b LEFT JOIN c ON bin = i""")
+def histogram_missing(spark, d):
+    return rounded(describe.histogram(_with_nan(spark, d), ["value"], 20), "bin_low", "bin_high")
+
+
 @query(f"""WITH {V_SQL}, {VM_SQL}
 SELECT cluster AS cluster_id, coalesce(any_value(mood), 'Unknown') AS mood, count(*) AS songs,
   printf('%.1f%%', count(*) * 100.0::DOUBLE / (SELECT count(*) FROM v)) AS percentage

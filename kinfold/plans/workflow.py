@@ -120,7 +120,12 @@ def analyse(
     features = available(prepared.columns, wanted)
     prepared = prepared.persist(StorageLevel.MEMORY_AND_DISK)
 
-    labels = None
+    labels, mark, kept = None, "", ""
+    if state_dir is not None:
+        settings = {**processor.to_dict(), "params": None, "fit": fit}
+        mark = state.fingerprint(prepared, features, settings, id_col)
+        # Under the mark, so that an earlier analysis keeps the labels that it reads.
+        kept = f"{state_dir}/labels/{state.folder_of(mark)}"
 
     def make() -> ClusterModel:
         nonlocal labels
@@ -131,14 +136,12 @@ def analyse(
         if state_dir is None:
             labels = labels.persist(StorageLevel.MEMORY_AND_DISK)
         else:
-            labels.select(id_col, "cluster").write.mode("overwrite").parquet(f"{state_dir}/labels")
+            labels.select(id_col, "cluster").write.mode("overwrite").parquet(kept)
         return model
 
     if state_dir is None:
         model = make()
     else:
-        settings = {**processor.to_dict(), "params": None, "fit": fit}
-        mark = state.fingerprint(prepared, features, settings)
         state.save_processor(spark, fitted, f"{state_dir}/processor", mark)
         model = state.fit_or_load(
             spark, f"{state_dir}/clusters", mark, state.load_clusters, make, state.save_clusters
@@ -148,7 +151,7 @@ def analyse(
     elif state_dir is None:
         labelled = labels
     else:
-        labelled = prepared.join(spark.read.parquet(f"{state_dir}/labels"), id_col)
+        labelled = prepared.join(spark.read.parquet(kept), id_col)
     moods = spark.createDataFrame(
         list(model.mood_labels.items()), "cluster_id int, mood string"
     )

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable
 from dataclasses import asdict
+from hashlib import sha256
 
 from pyspark.errors import AnalysisException
 from pyspark.ml.clustering import KMeansModel
@@ -66,14 +67,23 @@ def load_recommender(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
     return spark.read.parquet(f"{path}/table"), _load(spark, f"{path}/settings", "recommender")[1]
 
 
-def fingerprint(df: DataFrame, features: list[str], settings: dict | None = None) -> str:
-    """Feature names, row count, an order-free checksum of the feature values, and the settings of
-    the fit, so that another algorithm, k or seed is another fit."""
-    h = F.xxhash64(*[F.col(c).cast("double") for c in features]).cast("decimal(38,0)")
+def fingerprint(
+    df: DataFrame, features: list[str], settings: dict | None = None, id_col: str | None = None
+) -> str:
+    """Feature names, row count, an order-free checksum of the rows' ids and feature values, and the
+    settings of the fit, so that another algorithm, k or seed, or the same features under other ids, is
+    another fit."""
+    ids = [] if id_col is None else [F.col(id_col)]
+    h = F.xxhash64(*ids, *[F.col(c).cast("double") for c in features]).cast("decimal(38,0)")
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(h).alias("h")).first()
     return json.dumps([list(features), row["n"], str(row["h"]), settings], sort_keys=True, default=str)
 
 
+def folder_of(mark: str) -> str:
+    """A folder name for what belongs to one fingerprint."""
+    return sha256(mark.encode()).hexdigest()[:32]
+
+
 def fit_or_load(
     spark: SparkSession,
     path: str,

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from conftest import shifted
 
-from kinfold.operators import clean, clustering, clusters, describe, hierarchy, kmeans, quality, recommend, search
+from kinfold.operators import clean, clustering, clusters, describe, hierarchy, kmeans, quality, recommend, report, search
 from kinfold.plans.workflow import analyse
 from kinfold.sources import files
 
@@ -128,3 +128,46 @@ def test_density_clusters_are_fitted_once(tracks, tmp_path, monkeypatch, stored)
     if stored:
         again = analyse(tracks, state_dir=where, **kw).prepared.select("track_id", "cluster").collect()
         assert sorted(first) == sorted(again) and len(calls) == 1
+
+
+def test_nan_is_missing_in_reports(spark):
+    values = [(float(i), float(i % 7), i % 2) for i in range(20)]
+    kind = "a double, b double, cluster int"
+    null = spark.createDataFrame([*values, (None, 3.0, 0), (500.0, None, 1)], kind)
+    nan = spark.createDataFrame([*values, (math.nan, 3.0, 0), (500.0, math.nan, 1)], kind)
+    f = ["a", "b"]
+    moods = spark.createDataFrame([(0, "m")], "cluster_id int, mood string")
+    named = lambda d: d.withColumn("mood", d["cluster"].cast("string"))
+    for make in (
+        lambda d: describe.table_info(d),
+        lambda d: describe.correlation_matrix(d, f),
+        lambda d: describe.histogram(d, f, 5),
+        lambda d: clusters.cluster_stats(d, f),
+        lambda d: report.cluster_heatmap(d, f, moods),
+        lambda d: report.boxplot_stats(named(d), f),
+        lambda d: report.boxplot_outliers(named(d).withColumn("id", d["cluster"]), "id", f),
+        lambda d: clean.impute_median(d, f),
+    ):
+        assert sorted(make(null).collect(), key=str) == sorted(make(nan).collect(), key=str)
+    bins = describe.histogram(null, ["b"], 7).collect()
+    assert sum(r.n for r in bins) == 21
+    assert clean.impute_median(nan, f).where("isnan(a) or isnan(b) or a is null or b is null").count() == 0
+
+
+def test_repeated_ids_do_not_align(spark):
+    rows = spark.createDataFrame([(1, "x"), (1, "y")], "id int, name string")
+    labels = spark.createDataFrame([(1, 5), (1, 6)], "id int, cluster int")
+    with pytest.raises(ValueError, match="repeated"):
+        clusters.align_labels(rows, labels, "id")
+
+
+def test_other_ids_are_another_fit(tracks, tmp_path):
+    from pyspark.sql import functions as F
+
+    kw = {"id_col": "track_id", "algorithm": "dbscan", "eps": 3.0, "min_samples": 3, "state_dir": str(tmp_path)}
+    first = analyse(tracks, **kw)
+    renamed = tracks.withColumn("track_id", F.concat(F.lit("x"), "track_id"))
+    again = analyse(renamed, **kw)
+    n = tracks.count()
+    assert again.prepared.count() == n
+    assert first.prepared.count() == n  # its labels are still there
