@@ -25,6 +25,7 @@ from . import kernels as K
 from .common import free_name
 
 WINDOW = 5
+PIECE_BYTES = 512 << 10
 #: Fewer words than this, or a larger share of words in repeated windows, fails a document.
 MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 #: Shrunk failure rates above which a host is rejected.
@@ -71,7 +72,7 @@ def measures(text: Column) -> Column:
 
     @F.arrow_udf(f"struct<{','.join(f'{f}:bigint' for f in FIELDS)}>")
     def udf(t: pa.Array) -> pa.Array:
-        parts = [_measure(t[a:b]) for a, b in K.pieces(t)]
+        parts = [_measure(t[a:b]) for a, b in K.pieces(t, PIECE_BYTES)]
         cols = [
             np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64)
             for i in range(len(FIELDS))
@@ -137,9 +138,10 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> tuple[Da
     """`docs` with the measures, `failed` and `kept` columns (their names are returned, as they avoid
     names that `docs` has)."""
     m, failed, kept = (free_name(docs, c) for c in ("measures", "base_failed", "kept"))
+    gone = free_name(docs, "rejected_host")
     narrow = docs.select(F.col(host).alias("__host"), measures(F.col(text)).alias("__m"))
     rejected = (
-        host_rates(narrow, "__host", "__m").where("rejected").select(F.col("host").alias("__rejected"))
+        host_rates(narrow, "__host", "__m").where("rejected").select(F.col("host").alias(gone))
     )
     few = rejected.limit(BROADCAST_HOSTS + 1).toArrow()
     out = docs.withColumn(m, measures(F.col(text))).withColumn(failed, base_failed(m))
@@ -149,9 +151,9 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> tuple[Da
         side = F.broadcast(docs.sparkSession.createDataFrame(few))
     else:
         side = rejected
-    out = out.join(side, out[host] == F.col("__rejected"), "left")
+    out = out.join(side, out[host] == F.col(gone), "left")
     return (
-        out.withColumn(kept, ~F.col(failed) & F.col("__rejected").isNull()).drop("__rejected"),
+        out.withColumn(kept, ~F.col(failed) & F.col(gone).isNull()).drop(gone),
         m,
         failed,
         kept,

@@ -45,6 +45,8 @@ PERCENT = 80
 HINTS, HINT_COUNT = 1 << 18, 24
 #: A task reports grams that this many different sets of it share.
 LOCAL_COUNT = 3
+#: Texts hashed, and grams counted, at once by a task.
+PIECE_BYTES, GRAMS_AT_ONCE = 512 << 10, 1_000_000
 STAR_ROUNDS = 1
 COLUMN_BLOCKS = 4
 #: Keys of the texts to read again, or of copies to leave out, are broadcast up to this number (16 bytes each).
@@ -101,14 +103,14 @@ def common_grams(docs: DataFrame, text: str, n: int) -> DataFrame:
             )
 
         for batch in batches:
-            for a, b in K.pieces(batch.column(0)):
+            for a, b in K.pieces(batch.column(0), PIECE_BYTES):
                 grams, first = gram_sets(batch.column(0)[a:b], n)
                 for i, s in enumerate(_set_ids(grams, first).tolist()):
                     if s not in seen:
                         seen.add(s)
                         held.append(grams[first[i] : first[i + 1]])
                         total += len(held[-1])
-                if total > 6_000_000:
+                if total > GRAMS_AT_ONCE:
                     yield flush()
                     held, total, seen = [], 0, set()
         if held:
@@ -129,7 +131,7 @@ def _rows(docs: DataFrame, id_col: str, text: str, n: int, percent: int, hints)
         common, weight = hints.value
         row = TaskContext.get().partitionId() << 36
         for batch in batches:
-            for a, b in K.pieces(batch.column(2)):
+            for a, b in K.pieces(batch.column(2), PIECE_BYTES):
                 grams, first = gram_sets(batch.column(2)[a:b], n)
                 sizes = np.diff(first)
                 at = np.minimum(np.searchsorted(common, grams), max(len(common) - 1, 0))
@@ -244,7 +246,7 @@ class _Join:
         @F.arrow_udf("array<bigint>")
         def sets(t: pa.Array) -> pa.Array:
             grams, first = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
-            for a, b in K.pieces(t):
+            for a, b in K.pieces(t, PIECE_BYTES):
                 g, f = gram_sets(t[a:b], n)
                 first.append(f[1:] + first[-1][-1])
                 grams.append(g)

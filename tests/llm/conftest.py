@@ -39,7 +39,7 @@ def clashing():
         from pyspark.sql import functions as F
 
         for c in ("measures", "kept", "base_failed", "n", "size", "shard", "slot", "g", "start", "length", "item",
-                  "n_words", "n_hit", "n_entities", "cls", "row", "__row", "__mentions", "news", "piece"):
+                  "n_words", "n_hit", "n_entities", "cls", "row", "__row", "__mentions", "news", "piece", "__rejected", "rejected_host"):
             df = df.withColumn(c, F.lit("mine"))
         return df
 
