@@ -9,7 +9,7 @@ A document's set is its distinct `n`-word shingles, hashed once. Its sketch is t
   its first values only. Sets of at most threshold * k shingles are known whole with any partner of theirs:
   they are listed under their first n - threshold * n + 1 values, and nothing can be lost.
 * Sizes: a pair goes where the smaller set is too small for the larger one.
-* Signature: the parities of 512 counts, one for each remainder of the hashes. Two sets differ in at most as many
+* Signature: the parities of 256 counts, one for each remainder of the hashes. Two sets differ in at most as many
   bits as in shingles, of which the threshold allows (1 - t) / (1 + t) of both sizes; pairs beyond that never
   leave the list, so a list of m unlike classes gives few rows rather than m squared. Nothing is lost by it.
 * Union sketch: the k smallest values of two sketches together are the sketch of the union. The share of them
@@ -51,7 +51,7 @@ PIECE_BYTES = 512 << 10
 #: Values that at least COMMON_COUNT classes of one task's share retain come last in the order; the COMMON
 #: commonest of them (16 bytes each) are sent to the tasks. The order decides what is looked at, not what is found.
 COMMON, COMMON_COUNT, COUNT_AT_ONCE = 1 << 18, 3, 1_000_000
-SIGNATURE_LONGS = 8
+SIGNATURE_LONGS = 4
 SIGNATURE = [f"s{i}" for i in range(SIGNATURE_LONGS)]
 
 
@@ -258,11 +258,10 @@ class _Search:
 
     def lists(self) -> DataFrame:
         """The incidences of values that at least two classes are listed under."""
-        inc = self.classes.select("cls", F.posexplode("listed").alias("pos", "g"))
+        inc = self.classes.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("listed").alias("pos", "g"))
         many = materialise(inc.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "sketch-values")
         # Both sides are tables, so each gets an exchange of its own and a hot value's rows can be split.
-        met = inc.join(many, "g").join(self.classes.select("cls", "n", *SIGNATURE), "cls")
-        out = materialise(met, "sketch-lists")
+        out = materialise(inc.join(many, "g"), "sketch-lists")
         release(self.docs.sparkSession, many)
         return out
 
@@ -298,26 +297,35 @@ class _Search:
         release(self.docs.sparkSession, near, need, found)
         return out
 
+    def _sizes(self, n, m):
+        return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
+
     def _possible(self, n, m, s, t):
         """The bounds by set sizes and signatures for two classes of one list."""
         p = self.percent
         bits = F.bit_count(s[0].bitwiseXOR(t[0]))
         for a, b in zip(s[1:], t[1:], strict=True):
             bits = bits + F.bit_count(a.bitwiseXOR(b))
-        sizes = 100 * F.least(n, m) >= p * F.greatest(n, m)
-        return sizes & ((100 + p) * bits <= (100 - p) * (n + m))
+        return self._sizes(n, m) & ((100 + p) * bits <= (100 - p) * (n + m))
 
     def _stars(self, now: DataFrame) -> DataFrame:
         """Each class with one class of each list it is in."""
         star = materialise(
             now.groupBy("g")
-            .agg(F.min(F.struct("pos", F.xxhash64("cls").alias("o"), "cls", "n", *SIGNATURE)).alias("s"))
-            .select("g", F.col("s.cls").alias("y"), F.col("s.n").alias("m"), *[F.col(f"s.{c}").alias(f"y_{c}") for c in SIGNATURE]),
+            .agg(F.min(F.struct("pos", F.xxhash64("cls").alias("o"), "cls", "n")).alias("s"))
+            .select("g", F.col("s.cls").alias("y"), F.col("s.n").alias("m")),
             "sketch-stars",
         )
-        sides = [F.col(c) for c in SIGNATURE], [F.col(f"y_{c}") for c in SIGNATURE]
-        met = now.join(star, "g").where("cls <> y").where(self._possible(F.col("n"), F.col("m"), *sides))
-        return met.select(F.col("cls").alias("x"), "y")
+        met = now.join(star, "g").where("cls <> y").where(self._sizes(F.col("n"), F.col("m")))
+        pairs = self._distinct(met.select(F.col("cls").alias("x"), "y"))
+        release(self.docs.sparkSession, star)
+        signed = self.classes.select("cls", "n", *SIGNATURE)
+        for end in ("a", "b"):
+            pairs = pairs.join(signed.withColumnsRenamed({c: f"{end}_{c}" for c in ("n", *SIGNATURE)}).withColumnRenamed("cls", end), end)
+        sides = [F.col(f"a_{c}") for c in SIGNATURE], [F.col(f"b_{c}") for c in SIGNATURE]
+        out = materialise(pairs.where(self._possible(F.col("a_n"), F.col("b_n"), *sides)).select("a", "b"), "sketch-pairs")
+        release(self.docs.sparkSession)
+        return out
 
     def _others(self, now: DataFrame) -> DataFrame:
         """List by list, the classes outside the largest component with all of another component."""
@@ -329,23 +337,28 @@ class _Search:
             .select("g", F.col("top.comp").alias("big")),
             "sketch-open",
         )
-        left = materialise(now.join(open_, "g"), "sketch-open-lists")
-        x = left.where("comp <> big").alias("x")
-        y = left.alias("y")
-        once = (F.col("y.comp") == F.col("y.big")) | (F.col("x.cls") < F.col("y.cls"))
+        left = now.drop("pos", "n").join(open_, "g").join(self.classes.select("cls", "n", *SIGNATURE), "cls")
+        left = materialise(left, "sketch-open-lists")
+        release(self.docs.sparkSession, now, open_)
+        # Both sides are the same rows, so they are shuffled once.
+        x, y = left.alias("x"), left.alias("y")
+        once = (F.col("x.comp") != F.col("x.big")) & ( (F.col("y.comp") == F.col("y.big")) | (F.col("x.cls") < F.col("y.cls")))
         met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & once)
         sides = [F.col(f"x.{c}") for c in SIGNATURE], [F.col(f"y.{c}") for c in SIGNATURE]
         met = met.where(self._possible(F.col("x.n"), F.col("y.n"), *sides))
-        return met.select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y"))
+        pairs = self._distinct(met.select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y")))
+        release(self.docs.sparkSession, left)
+        return pairs
 
     def components(self) -> DataFrame:
         """`cls`, `component` (a class) of the classes with links."""
         inc = self.lists()
-        pairs = self._distinct(self._stars(inc))
+        pairs = self._stars(inc)
         links = self.linked(pairs)
         labels = components(links).select(F.col("node").alias("cls"), "component")
         now = inc.join(labels, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        rest = self._distinct(self._others(materialise(now, "sketch-now")))
+        rest = self._others(materialise(now, "sketch-now"))
+        release(self.docs.sparkSession, inc)
         rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "sketch-pairs")
         if rest.isEmpty():
             return labels

@@ -334,10 +334,13 @@ class _Join:
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
             pairs = materialise(pairs, "gram-pairs")
+            release(self.docs.sparkSession)
             if pairs.isEmpty():
                 continue
             tested = pairs if tested is None else tested.unionByName(pairs)
-            new = self.links(materialise(self._promising(pairs, inc), "gram-promising"))
+            promising = materialise(self._promising(pairs, inc), "gram-promising")
+            release(self.docs.sparkSession)
+            new = self.links(promising)
             links = new if links is None else links.unionByName(new)
             labels = components(links).select(F.col("node").alias("cls"), "component")
         if labels is None:
