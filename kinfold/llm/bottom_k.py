@@ -9,7 +9,7 @@ A document's set is its distinct `n`-word shingles, hashed once. Its sketch is t
   its first values only. Sets of at most threshold * k shingles are known whole with any partner of theirs:
   they are listed under their first n - threshold * n + 1 values, and nothing can be lost.
 * Sizes: a pair goes where the smaller set is too small for the larger one.
-* Signature: the parities of 256 counts, one for each remainder of the hashes. Two sets differ in at most as many
+* Signature: the parities of 512 counts, one for each remainder of the hashes. Two sets differ in at most as many
   bits as in shingles, of which the threshold allows (1 - t) / (1 + t) of both sizes; pairs beyond that never
   leave the list, so a list of m unlike classes gives few rows rather than m squared. Nothing is lost by it.
 * Union sketch: the k smallest values of two sketches together are the sketch of the union. The share of them
@@ -51,7 +51,7 @@ PIECE_BYTES = 512 << 10
 #: Values that at least COMMON_COUNT classes of one task's share retain come last in the order; the COMMON
 #: commonest of them (16 bytes each) are sent to the tasks. The order decides what is looked at, not what is found.
 COMMON, COMMON_COUNT, COUNT_AT_ONCE = 1 << 18, 3, 1_000_000
-SIGNATURE_LONGS = 4
+SIGNATURE_LONGS = 8
 SIGNATURE = [f"s{i}" for i in range(SIGNATURE_LONGS)]
 
 
@@ -342,7 +342,7 @@ class _Search:
         release(self.docs.sparkSession, now, open_)
         # Both sides are the same rows, so they are shuffled once.
         x, y = left.alias("x"), left.alias("y")
-        once = (F.col("x.comp") != F.col("x.big")) & ( (F.col("y.comp") == F.col("y.big")) | (F.col("x.cls") < F.col("y.cls")))
+        once = (F.col("x.comp") != F.col("x.big")) & ((F.col("y.comp") == F.col("y.big")) | (F.col("x.cls") < F.col("y.cls")))
         met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & once)
         sides = [F.col(f"x.{c}") for c in SIGNATURE], [F.col(f"y.{c}") for c in SIGNATURE]
         met = met.where(self._possible(F.col("x.n"), F.col("y.n"), *sides))
