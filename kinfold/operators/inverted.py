@@ -28,6 +28,7 @@ from ..functions.vectors import as_vector
 from ..session import cut_lineage
 from .kernels import check_metric, distances, id_array, nearest, to_matrix
 from .kmeans import fit_kmeans
+from .knn import knn
 from .skew import salted_join
 
 SAMPLE_ROWS = 65_536
@@ -212,3 +213,32 @@ def knn_inverted(
     return salted_join(owners, cut_lineage(near), "first_id").select(
         F.col("q").alias(query_col), F.col("id").alias(id_col), "distance", "rank"
     )
+
+
+def choose_probes(
+    index: InvertedFile,
+    points: DataFrame,
+    *,
+    id_col: str,
+    features: str | Sequence[str],
+    k: int = 21,
+    recall: float = 0.95,
+    sample: int = 64,
+) -> int:
+    """The fewest probes with which `sample` rows (in hash order) find `recall` of their exact k neighbours.
+
+    The rows' neighbours come from the exact search; a neighbour is found if its cell is among the cells probed.
+    At most `sample` * k pairs of vectors are fetched.
+    """
+    table = points.select(F.col(id_col).alias("id"), as_vector(features).alias("v"))
+    asked = cut_lineage(table.orderBy(F.xxhash64("id"), "id").limit(sample))
+    near = knn(table, asked, id_col="id", features="v", k=k, metric=index.metric, p=index.p)
+    ends = near.select("query_id", "id").join(table, "id").withColumn("u", _direction(F.col("v"), index.metric))
+    own = asked.select(F.col("id").alias("query_id"), _direction(F.col("v"), index.metric).alias("q"))
+    pairs = ends.join(F.broadcast(own), "query_id").select("q", "u").toArrow()
+    if not pairs.num_rows:
+        return 1
+    from_q = distances(to_matrix(pairs.column("q")), index.centres)
+    cell = distances(to_matrix(pairs.column("u")), index.centres).argmin(axis=1)
+    place = np.argsort(np.argsort(from_q, axis=1, kind="stable"), axis=1)[np.arange(len(cell)), cell]
+    return int(np.sort(place)[min(len(place) - 1, int(np.ceil(recall * len(place))) - 1)]) + 1

@@ -33,7 +33,7 @@ from ..operators import (
     sample,
     search,
 )
-from ..operators.inverted import build_inverted, knn_inverted as look_up
+from ..operators.inverted import build_inverted, choose_probes, knn_inverted as look_up
 from ..operators.knn import knn
 from ..sources import nested
 
@@ -521,10 +521,11 @@ def knn_inverted_full(spark, d):
 
 @query()
 def knn_inverted(spark, d):
-    """Every 50th row asks all rows through eight cells; tests measure the recall."""
+    """Every 50th row asks all rows, through as many cells as a sample needs; tests measure the recall."""
     rows = embeddings(spark, d)
     index = build_inverted(rows, id_col="vec_id", features="embedding")
-    out = look_up(index, rows.where("vec_id % 50 = 0"), id_col="vec_id", features="embedding")
+    probes = choose_probes(index, rows, id_col="vec_id", features="embedding")
+    out = look_up(index, rows.where("vec_id % 50 = 0"), id_col="vec_id", features="embedding", probes=probes)
     return rounded(out, "distance")
 
 

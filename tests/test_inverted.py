@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinfold.operators import clusters, recommend, skew
-from kinfold.operators.inverted import InvertedFile, build_inverted, knn_inverted
+from kinfold.operators.inverted import InvertedFile, build_inverted, choose_probes, knn_inverted
 from kinfold.operators.knn import knn
 
 
@@ -43,6 +43,19 @@ def test_recall_and_probes(spark):
     assert recall[0] <= recall[1] and recall[1] >= 0.9
 
 
+def test_probes_are_chosen_by_recall(spark):
+    # Vectors without structure need many cells.
+    rng = np.random.RandomState(8)
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rng.randn(1200, 16))], "id long, v array<double>")
+    asked = df.where("id % 50 = 0")
+    index = build_inverted(df, id_col="id", features="v")
+    probes = choose_probes(index, df, id_col="id", features="v", k=10)
+    assert 1 < probes <= index.cells
+    exact = {(r.query_id, r.id) for r in knn(df, asked, id_col="id", features="v", k=10).collect()}
+    got = {(r.query_id, r.id) for r in knn_inverted(index, asked, id_col="id", features="v", k=10, probes=probes).collect()}
+    assert len(got & exact) / len(exact) >= 0.9
+
+
 def test_hot_vector_and_store(spark, tmp_path):
     df = vectors(spark, 300)
     same = spark.range(1000, 2000).select("id", F.array(*[F.lit(0.5)] * 12).alias("v"))
