@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import functools
 import re
+import string
 import zlib
 from itertools import chain
 
@@ -19,6 +20,12 @@ import pyarrow as pa
 CACHE_WORDS = 1_200_000
 #: A space before white space or at the end does not part words of a byte-level text.
 _JOINED = re.compile(r" (?=\s|\Z)")
+#: Marks that a byte-level pattern keeps together and apart from the letters before them (an apostrophe it may not).
+_MARKS = string.punctuation.replace("'", "")
+#: One word with at most one space before it.
+_PLAIN = re.compile(r" ?\S+")
+#: Words encoded as the lines of one text.
+LINES = 256
 
 
 def tokenizer_path(name: str) -> str:
@@ -84,6 +91,8 @@ class PartEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.leading_space = leading_space
         self.parts, self.stems = _Ids(), _Ids()
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_feed = feed[0] if leading_space and len(feed) == 1 else None
 
     def _parts(self, text: str) -> list[str]:
         if not self.leading_space:
@@ -102,7 +111,15 @@ class PartEncoder:
                 parts.append(item)
         return parts if parts[0] != "\n" else parts[1:]
 
+    @staticmethod
+    def _cut(text: str) -> list[str]:
+        """A byte-level word and the marks at its end."""
+        word = text.rstrip(_MARKS)
+        return [word, text[len(word) :]] if len(word) < len(text) and word[-1:].isalpha() else [text]
+
     def _stems(self, part: str) -> list[str]:
+        if self.leading_space and "\n" not in part:
+            return self._cut(" " + part)
         if self.leading_space:
             text = part[1:] if part[0] == "\n" else " " + part
             lines = text.split("\n")
@@ -112,22 +129,48 @@ class PartEncoder:
             lines = [x.lower() if x.isascii() else x for x in part.split("\n")]
         out = []
         for i, x in enumerate(lines):
-            if i and self.leading_space:
-                out.append("\n")
-            if x[-1:] in (".", ",") and x[-2:-1].isalpha():
+            if self.leading_space:
+                out += ["\n", *self._cut(x)] if i else self._cut(x)
+            elif x[-1:] in (".", ",") and x[-2:-1].isalpha():
                 out += [x[:-1], x[-1]]
             else:
                 out.append(x)
         return out
 
+    def _encode_new(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all stems one after the other, and how many each has."""
+        found = self.tokenizer.encode_batch_fast(stems, add_special_tokens=False)
+        lists = [e.ids for e in found]
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum())), count
+
+    def _encode_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if self.line_feed is None:
+            return self._encode_new(stems)
+        plain = np.fromiter((_PLAIN.fullmatch(s) is not None for s in stems), bool, len(stems))
+        lined, sizes = self._encode_lines([s for s, p in zip(stems, plain, strict=True) if p])
+        alone, others = self._encode_new([s for s, p in zip(stems, plain, strict=True) if not p])
+        count = np.empty(len(stems), np.int64)
+        count[plain], count[~plain] = sizes, others
+        owner = np.repeat(plain, count)
+        flat = np.empty(len(owner), np.uint32)
+        flat[owner], flat[~owner] = lined, alone
+        return flat, count
+
+    def _encode_lines(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same with many stems as the lines of one text: a line feed between two others is a token of its own."""
+        lines = ["\n".join(stems[i : i + LINES]) + "\n" for i in range(0, len(stems), LINES)]
+        flat, _ = self._encode_new(lines)
+        ends = flat == self.line_feed
+        at = np.flatnonzero(ends)
+        return flat[~ends], np.diff(np.concatenate([[-1], at])) - 1
+
     def _learn(self) -> None:
         stems = [self._stems(p) for p in self.parts.new]
         sizes = np.fromiter(map(len, stems), np.int64, len(stems))
         at = self.stems.numbers(stems, int(sizes.sum()))
         if self.stems.new:
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(self.stems.new, add_special_tokens=False)]
-            count = np.fromiter(map(len, found), np.int64, len(found))
-            self.stems.add(np.fromiter(chain.from_iterable(found), np.uint32, int(count.sum())), count)
+            self.stems.add(*self._encode_stems(self.stems.new))
         flat, total = self.stems.gather(at)
         ends = total[np.cumsum(sizes)]
         self.parts.add(flat, np.diff(np.concatenate([[0], ends])))
