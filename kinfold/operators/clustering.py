@@ -12,7 +12,7 @@ from ..presets import MOOD_DEFAULT, MOOD_RULES
 from . import clusters
 from .dbscan import dbscan
 from .hierarchy import LEAVES, cut_labels, label_leaves, ward_leaves, ward_merges
-from .kmeans import N_INIT, assign_nearest, find_optimal_k, fit_kmeans, score_labels
+from .kmeans import N_INIT, assign_nearest, fit_kmeans, score_labels, tune_k
 
 ALGORITHMS = ("kmeans", "dbscan", "agglomerative")
 DEFAULT_K = 8
@@ -92,9 +92,12 @@ def fit_clusters(
     if algorithm != "dbscan" and k is None and not auto_tune:
         k = DEFAULT_K
     if algorithm == "kmeans" and k is None:
-        k, scores = find_optimal_k(df, features, max_k, min_k, n_init, seed, silhouette)
-    if algorithm == "kmeans":
+        # The labels are those that were scored.
+        fit, scores = tune_k(df, features, max_k, min_k, n_init, seed, silhouette)
+        k = fit.k
+    elif algorithm == "kmeans":
         fit = fit_kmeans(df, features, k, n_init=n_init, seed=seed)
+    if algorithm == "kmeans":
         labelled = assign_nearest(df, features, fit.centers, cluster)
     elif algorithm == "dbscan":
         if id_col is None:

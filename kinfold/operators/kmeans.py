@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_vector
 from .kernels import to_matrix
+from .lloyd import LloydFit, fit_many
 from .quality import (
     ONE_LABEL,
     calinski_harabasz,
@@ -183,24 +184,33 @@ def find_optimal_k(
     `silhouette="exact"` is Euclidean over all rows; "squared" is the linear-time variant for
     very large tables.
     """
+    fit, table = tune_k(df, features, max_k, min_k, n_init, seed, silhouette)
+    return fit.k, table
+
+
+def tune_k(
+    df: DataFrame,
+    features: str | Sequence[str],
+    max_k: int = 20,
+    min_k: int = 2,
+    n_init: int = N_INIT,
+    seed: int = 42,
+    silhouette: str = "exact",
+) -> tuple[LloydFit, DataFrame]:
+    """The fit of the best k, and the scores; all fits of all k advance together, pass by pass."""
     if silhouette not in ("exact", "squared"):
         raise ValueError(f"Unknown silhouette: {silhouette}")
     data = df.select(as_vector(features).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
-    costs = {}
-
-    def labelled():
-        n = data.count()
-        for k in range(min_k, min(max_k, n) + 1):
-            fit = fit_kmeans(data, "v", k, n_init=n_init, seed=seed)
-            costs[k] = fit.cost
-            yield k, assign_nearest(data, "v", fit.centers)
-
     try:
-        best, table = score_labels(labelled(), "v", "cluster", silhouette)
+        ks = range(min_k, min(max_k, data.count()) + 1)
+        tried = fit_many(data, "v", [(k, seed + i) for k in ks for i in range(n_init)])
+        fits = {k: min((f for f in tried if f.k == k), key=lambda f: f.cost) for k in ks}
+        labelled = ((k, assign_nearest(data, "v", f.centers)) for k, f in fits.items())
+        best, table = score_labels(labelled, "v", "cluster", silhouette)
     finally:
         data.unpersist()
-    cost = F.create_map(*[F.lit(x) for k, c in costs.items() for x in (k, c)])
-    return best, table.withColumn("cost", F.element_at(cost, F.col("k"))).select(
+    cost = F.create_map(*[F.lit(x) for k, f in fits.items() for x in (k, f.cost)])
+    return fits[best], table.withColumn("cost", F.element_at(cost, F.col("k"))).select(
         "k", "silhouette", "calinski_harabasz", "davies_bouldin", "cost", "is_best"
     )
 
