@@ -7,14 +7,15 @@ from kinfold.llm import packing, tokens
 
 ODD = ["a  b", "a   b ", " a", "  a", "a \nb", "a\n \nb", "a\n bar", "a  b", "x\x1c y", "", " ", "   ", "\n", "\n x",
        "it's  <|endoftext|> x<|startoftext|>y", "\t\t a \t b\n\n  c", "é́ ́a  ñ", "ΑΣ ΑΣ. ΣΑΣ",
-       "a b c　 d", "12 345 6,7 'll we'll", "́x y", "H̱. ẖ, E\u0301.", "a.\nB,\n\nc. d.\n"]
+       "a b c　 d", "12 345 6,7 'll we'll", "́x y", "H̱. ẖ, E\u0301.", "a.\nB,\n\nc. d.\n",
+       "a!! b%%% c.*** d?!' e'!! don't!! 's. é...\nñ;: 5!! x_\u00a0y, \u2028z.", "a.\u00a0 b!\u0085c"]
 
 
 @pytest.mark.parametrize(("name", "leading"), [("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)])
 def test_parts_give_the_ids_of_whole_texts(name, leading):
     enc = tokens.PartEncoder(tokens.tokenizer_path(name), leading)
     rng = np.random.default_rng(3)
-    pool = list("ab é\n\t '.,1ñ") + ["  ", " the", " "]
+    pool = list("ab é\n\t '.,!%_1ñ\u00a0") + ["  ", " the", " "]
     texts = ODD + ["".join(rng.choice(pool, 40)) for _ in range(300)]
     want = [e.ids for e in enc.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
     for _ in range(2):  # the second time from the cache
