@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from . import tokens as TK
 from .common import free_name
 
 WINDOW = 5
@@ -72,6 +73,7 @@ def measures(text: Column) -> Column:
 
     @F.arrow_udf(f"struct<{','.join(f'{f}:bigint' for f in FIELDS)}>")
     def udf(t: pa.Array) -> pa.Array:
+        TK.forget()
         parts = [_measure(t[a:b]) for a, b in K.pieces(t, PIECE_BYTES)]
         cols = [
             np.concatenate([p[i] for p in parts] or [np.zeros(0, np.int64)]).astype(np.int64)

@@ -194,6 +194,11 @@ def encoder(path: str, leading_space: bool) -> PartEncoder:
     return PartEncoder(path, leading_space)
 
 
+def forget() -> None:
+    """Drop this worker's encoders. A worker outlives the stage that filled them, and other work needs their memory."""
+    encoder.cache_clear()
+
+
 def crc32(ids: np.ndarray) -> int:
     """Unsigned crc32 of ids as little-endian unsigned 32-bit integers."""
     return zlib.crc32(np.ascontiguousarray(ids, dtype="<u4").tobytes())
