@@ -11,6 +11,8 @@ The grid cell has side eps / sqrt(d), so rows of one cell are always neighbours:
 
 Components of touching core cells are the clusters, numbered by their first core row; border
 rows take the lowest cluster in reach; the rest is noise (-1).
+
+Above `GRID_DIMS` dimensions the neighbouring cells are too many to list, and `halo` does the work.
 """
 
 from __future__ import annotations
@@ -21,18 +23,13 @@ from collections.abc import Sequence
 from functools import reduce
 from operator import add
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .blocks import block_list, block_matrix, choose_pivots, pack_blocks
 from .clusters import NOISE_LABEL, small_side
 from .components import connected_components, dense_number
-from .kernels import distances
-from .knn import _cell_windows
+from .halo import halo_core_points, halo_dbscan
 
 # A cell with more points than this is dealt out to several tasks.
 SALT_ROWS = 20_000
@@ -132,75 +129,23 @@ class _Grid:
             F.col("box").alias("box_b"),
             F.col("weight").alias("weight_b"),
         )
-        if self.d <= GRID_DIMS:
-            # Cells o steps apart in a dimension are at least (|o| - 1) sides apart.
-            reach = range(-math.floor(1 + math.sqrt(self.d)), math.floor(1 + math.sqrt(self.d)) + 1)
-            offsets = [
-                o
-                for o in itertools.product(reach, repeat=self.d)
-                if any(o) and sum(max(0, abs(i) - 1) ** 2 for i in o) <= self.d * (1 + 1e-6)
-            ]
-            near = F.explode(
-                F.array(
-                    *[
-                        F.array(*[F.col("key")[i] + F.lit(s) for i, s in enumerate(o)])
-                        for o in offsets
-                    ]
-                )
+        # Cells o steps apart in a dimension are at least (|o| - 1) sides apart.
+        reach = range(-math.floor(1 + math.sqrt(self.d)), math.floor(1 + math.sqrt(self.d)) + 1)
+        offsets = [
+            o
+            for o in itertools.product(reach, repeat=self.d)
+            if any(o) and sum(max(0, abs(i) - 1) ** 2 for i in o) <= self.d * (1 + 1e-6)
+        ]
+        near = F.explode(
+            F.array(
+                *[F.array(*[F.col("key")[i] + F.lit(s) for i, s in enumerate(o)]) for o in offsets]
             )
-            joined = own.withColumn("near_key", near).join(other, "near_key")
-        else:
-            ids = self._near_cells_by_pivots()
-            joined = ids.join(own, "a").join(other, "b").where("a <> b")
+        )
+        joined = own.withColumn("near_key", near).join(other, "near_key")
         return joined.where(_box_gap("box_a", "box_b", self.d) <= self.eps2).select(
             "a", "b", "weight_b", (_box_span("box_a", "box_b", self.d) <= self.eps2).alias("full")
         )
 
-    # In many dimensions the neighbouring keys cannot be listed; cells are met block by block,
-    # blocks being ruled out by their distance to pivots.
-    def _near_cells_by_pivots(self) -> DataFrame:
-        reps = self.cells.select(
-            F.col("cell").alias("id"),
-            F.lit(0).alias("g"),
-            F.transform(
-                F.arrays_zip("box.lo", "box.hi"), lambda s: (s["lo"] + s["hi"]) / 2
-            ).alias("v"),
-        )
-        reps = reps.withColumns({"u": F.col("v"), "first": F.lit(True)})
-        count = int(min(1024, max(1, round(reps.count() ** 0.5 / 4))))
-        pivots = choose_pivots(reps, "v", count)
-        blocks = cut_lineage(pack_blocks(reps, pivots, distances))
-        # Box centres of near cells are at most eps plus two half diagonals apart.
-        limit = 2.0 * self.eps * (1 + 1e-9)
-        meta = blocks.select("cell", "block", "low", "high").withColumn("limit", F.lit(limit))
-        windows = _cell_windows(pivots, distances(pivots, pivots), reps.sparkSession)
-        reach = meta.select(
-            F.col("block").alias("i"), F.explode(windows("cell", "low", "high", "limit")).alias("w")
-        ).select("i", "w.*")
-        tiles = cut_lineage(
-            reach.join(meta.withColumnRenamed("block", "j"), "cell")
-            .where("high >= lo and low <= hi")
-            .select("i", "j")
-        )
-        left = blocks.select(F.col("block").alias("i"), "ids", "v").join(tiles, "i")
-        right = blocks.select(
-            F.col("block").alias("j2"), F.col("ids").alias("ids2"), F.col("v").alias("v2")
-        ).join(tiles.select(F.col("i").alias("i2"), F.col("j").alias("j2")), "j2")
-
-        def near(s: pa.Table, t: pa.Table) -> pa.Table:
-            d = distances(block_matrix(s), block_matrix(t, "ids2", "v2"))
-            r, c = np.nonzero(d <= limit)
-            return pa.table(
-                {
-                    "a": block_list(s).take(pa.array(r)),
-                    "b": block_list(t, "ids2").take(pa.array(c)),
-                }
-            )
-
-        kind = self.cells.schema["cell"].dataType
-        schema = T.StructType([T.StructField("a", kind), T.StructField("b", kind)])
-        return left.groupBy("i", "j").cogroup(right.groupBy("i2", "j2")).applyInArrow(near, schema)
-
     # Points of cell b for given (a, b) pairs; a big cell b arrives in several salted shares.
     def _with_points_of_b(self, asked: DataFrame, members: DataFrame) -> DataFrame:
         sizes = self.cells.where(F.col("n") > self.salt_rows).select(
@@ -370,6 +315,8 @@ def core_points(
     salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
     """`id_col`, `is_core`: whether at least `min_samples` rows (itself included) are within eps."""
+    if len(features) > GRID_DIMS:
+        return halo_core_points(df, id_col, features, eps, min_samples)
     grid = _Grid(df, id_col, features, eps, min_samples, salt_rows, DIRECT_PAIRS)
     core = grid.core().withColumn("is_core", F.lit(True))
     rows = grid.back_to_rows(core, ["is_core"])
@@ -389,6 +336,8 @@ def dbscan(
     direct_pairs: int = DIRECT_PAIRS,
 ) -> DataFrame:
     """The table with a cluster label per row, -1 for noise."""
+    if len(features) > GRID_DIMS:
+        return halo_dbscan(df, id_col, features, eps, min_samples, cluster)
     grid = _Grid(df, id_col, features, eps, min_samples, salt_rows, direct_pairs)
     core = grid.core()
     linked = connected_components(grid.touching(core).select("a", "b"))

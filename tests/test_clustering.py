@@ -151,7 +151,7 @@ def _dbscan(x, eps, m):
     [
         (2, 0.15, 5, {}),
         (2, 0.15, 5, {"salt_rows": 4, "direct_pairs": 10}),
-        (5, 0.6, 5, {"direct_pairs": 10}),
+        (5, 0.6, 5, {}),
     ],
 )
 def test_dbscan_matches_brute_force(spark, d, eps, m, plan):
