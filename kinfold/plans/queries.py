@@ -967,6 +967,60 @@ def density_clusters(spark, d):
     return out.select("event_id", "cluster")
 
 
+def _dense_sql(points: str, d: int, eps: float, m: int) -> str:
+    """DBSCAN over `points` (CTEs ending in p(id, v, c0, c1)), with all neighbour pairs written out."""
+    squares = " + ".join(f"(a.v[{i}] - b.v[{i}]) * (a.v[{i}] - b.v[{i}])" for i in range(1, d + 1))
+    return f"""WITH RECURSIVE {points},
+near AS MATERIALIZED (SELECT a.id AS s, b.id AS t FROM p a JOIN p b
+  ON b.c0 BETWEEN a.c0 - {eps} AND a.c0 + {eps} AND b.c1 BETWEEN a.c1 - {eps} AND a.c1 + {eps}
+ AND {squares} <= {eps} * {eps}),
+core AS MATERIALIZED (SELECT s AS id FROM near GROUP BY s HAVING count(*) >= {m}),
+edge AS MATERIALIZED (SELECT s, t FROM near WHERE s IN (FROM core) AND t IN (FROM core)),
+comp(node, root) USING KEY (node) AS (
+  SELECT id, id FROM core
+  UNION
+  SELECT e.t, min(c.root) FROM comp c JOIN edge e ON e.s = c.node
+    JOIN recurring.comp r ON r.node = e.t WHERE c.root < r.root GROUP BY e.t),
+lab AS (SELECT node, dense_rank() OVER (ORDER BY root) - 1 AS cluster FROM comp),
+edge_of AS (SELECT near.s, min(lab.cluster) AS cluster FROM near JOIN lab ON lab.node = near.t GROUP BY near.s)
+SELECT p.id, coalesce(lab.cluster, edge_of.cluster, -1)::INTEGER AS cluster
+FROM p LEFT JOIN lab ON lab.node = p.id LEFT JOIN edge_of ON edge_of.s = p.id"""
+
+
+ORDER_EPS, ORDER_SAMPLES = 0.08, 20
+VECTOR_EPS, VECTOR_SAMPLES = 0.2, 4
+
+
+@query(_dense_sql("""p AS (SELECT id, v, v[1] AS c0, v[2] AS c1 FROM (SELECT l_orderkey AS id,
+  [max(l_quantity) / 50, max(l_extendedprice) / 100000, max(l_discount) * 10, max(l_tax) * 10] AS v
+  FROM lineitem GROUP BY l_orderkey))""", 4, ORDER_EPS, ORDER_SAMPLES))
+def density_clusters_orders(spark, d):
+    """Orders by four features of their lines."""
+    rows = (
+        table(spark, d, "lineitem")
+        .groupBy(F.col("l_orderkey").alias("id"))
+        .agg(
+            (F.max("l_quantity") / 50).alias("quantity"),
+            (F.max("l_extendedprice") / 100000).alias("price"),
+            (F.max("l_discount") * 10).alias("discount"),
+            (F.max("l_tax") * 10).alias("tax"),
+        )
+    )
+    features = ["quantity", "price", "discount", "tax"]
+    return dbscan.dbscan(rows, "id", features, ORDER_EPS, ORDER_SAMPLES).select("id", "cluster")
+
+
+@query(_dense_sql("""p AS (SELECT vec_id AS id, v, v[1] AS c0, v[2] AS c1 FROM
+  (SELECT vec_id, CAST(embedding[1:9] AS DOUBLE[]) AS v FROM embeddings))""", 9, VECTOR_EPS, VECTOR_SAMPLES))
+def density_clusters_vectors(spark, d):
+    """Vectors by their first nine dimensions."""
+    rows = embeddings(spark, d).select(
+        F.col("vec_id").alias("id"), *[F.get("embedding", F.lit(i)).alias(f"x{i}") for i in range(9)]
+    )
+    out = dbscan.dbscan(rows, "id", [f"x{i}" for i in range(9)], VECTOR_EPS, VECTOR_SAMPLES)
+    return out.select("id", "cluster")
+
+
 # --- payload flattening --------------------------------------------------------------------
 
 
