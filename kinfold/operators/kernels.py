@@ -68,49 +68,206 @@ def pair_distances(a: np.ndarray, b: np.ndarray, metric: str, p: float) -> np.nd
     return (t**p).sum(axis=1) ** (1.0 / p)
 
 
-def _screen(a, b, metric, p):
-    """(score, slack, power): scores order pairs like the distance up to `slack`, via one matrix
-    product where the metric allows it; a distance t has the score t ** power."""
+class _Screen:
+    """Cheap scores of tiles of (a, b) pairs: `tile` gives them, every pair within a distance `t` of row i has a score
+    of at most `threshold(t)[i]`, and a pair with score x is no farther apart than `bound(x)`."""
+
+    rows, cols = 256, 1024
+
+    def tile(self, s: int, e: int, t: int, u: int) -> np.ndarray:
+        return self.a[s:e] @ self.b[t:u].T
+
+
+class _Products(_Screen):
+    """Euclidean and cosine: one matrix product, the squared length of b being one more feature."""
+
+    def __init__(self, a, b, cosine):
+        self.cosine = cosine
+        if cosine:
+            na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
+            self.a = -a / np.where(na > 0, na, 1.0)[:, None]
+            self.b = b / np.where(nb > 0, nb, 1.0)[:, None]
+            self.own, self.slack = np.full(len(a), 1.0), np.full(len(a), 1e-12)
+        else:
+            sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+            self.a = np.concatenate([-2.0 * a, np.ones((len(a), 1))], axis=1)
+            self.b = np.concatenate([b, sb[:, None]], axis=1)
+            self.own = sa
+            self.slack = 8e-14 * a.shape[1] * (sa + sb.max(initial=0.0)) + 1e-300
+
+    def threshold(self, s, e, limit):
+        return (limit if self.cosine else limit * limit) - self.own[s:e] + self.slack[s:e]
+
+    def bound(self, s, e, score):
+        most = np.maximum(0.0, score + self.own[s:e] + self.slack[s:e])
+        return most if self.cosine else np.sqrt(most)
+
+
+class _Steps(_Screen):
+    """Manhattan on whole numbers of steps: |x - y| = 2 max(x, y) - x - y, with sums that fit 16 bits. What rounding to
+    steps takes from a row bounds the error of its distances."""
+
+    rows, cols = 64, 4096
+
+    def __init__(self, a, b):
+        d = a.shape[1]
+        low = np.minimum(a.min(axis=0), b.min(axis=0))
+        span = float((np.maximum(a.max(axis=0), b.max(axis=0)) - low).max())
+        self.step = max(span / (65535 // d), 1e-300)
+
+        def cut(x):
+            x = x - low
+            q = np.minimum(np.rint(x / self.step), 65535 // d)
+            return q.astype(np.uint16).T.copy(), q.sum(axis=1), np.abs(x - q * self.step).sum(axis=1) + 1e-12 * d * span
+
+        (self.a, self.own, lost), (self.b, other, lost_b) = cut(a), cut(b)
+        self.other = (other / 2).astype(np.float32)
+        # A 32-bit float holds the half steps counted here to less than a tenth.
+        self.lost = lost + lost_b.max(initial=0.0) + 0.2 * self.step
+
+    def tile(self, s, e, t, u):
+        out, top = np.zeros((e - s, u - t), np.uint16), np.empty((e - s, u - t), np.uint16)
+        for x, y in zip(self.a[:, s:e], self.b[:, t:u], strict=True):
+            out += np.maximum.outer(x, y, out=top)
+        return out - self.other[t:u]
+
+    def threshold(self, s, e, limit):
+        return (limit + self.lost[s:e]) / (2 * self.step) + self.own[s:e] / 2
+
+    def bound(self, s, e, score):
+        return (score - self.own[s:e] / 2) * (2 * self.step) + self.lost[s:e]
+
+
+class _Powers(_Screen):
+    """Minkowski in 32 bits around the mean; what the rounding takes from a row bounds the error of its distances."""
+
+    rows, cols = 32, 2048
+
+    def __init__(self, a, b, p):
+        self.p, middle = p, b.mean(axis=0) if len(b) else 0.0
+        a, b = a - middle, b - middle
+        self.scale = max(np.abs(a).max(initial=0.0), np.abs(b).max(initial=0.0), 1e-300)
+
+        def cut(x):
+            x = x / self.scale
+            y = x.astype(np.float32)
+            return y.T.copy(), (np.abs(x - y) ** p).sum(axis=1) ** (1.0 / p)
+
+        (self.a, lost), (self.b, lost_b) = cut(a), cut(b)
+        self.lost = lost + lost_b.max(initial=0.0) + 1e-10
+        self.part = 1.0 + 2e-7 * (len(self.a) + 16) * max(1.0, p)
+
+    def tile(self, s, e, t, u):
+        shape = (e - s, u - t)
+        out, gap, square = np.zeros(shape, np.float32), np.empty(shape, np.float32), np.empty(shape, np.float32)
+        for x, y in zip(self.a[:, s:e], self.b[:, t:u], strict=True):
+            np.subtract.outer(x, y, out=gap)
+            np.abs(gap, out=gap)
+            if self.p == 3.0:
+                np.multiply(gap, gap, out=square)
+                out += np.multiply(gap, square, out=gap)
+            else:
+                out += np.power(gap, np.float32(self.p), out=gap)
+        return out
+
+    def threshold(self, s, e, limit):
+        return (((limit / self.scale) + self.lost[s:e]) * self.part) ** self.p
+
+    def bound(self, s, e, score):
+        return (score.astype(float) ** (1.0 / self.p) * self.part + self.lost[s:e]) * self.scale
+
+
+class _Exact(_Screen):
+    """Distances as they are, for what the other screens do not take."""
+
+    rows = 64
+
+    def __init__(self, a, b, metric, p):
+        self.a, self.b, self.metric, self.p = a, b, metric, p
+
+    def tile(self, s, e, t, u):
+        return distances(self.a[s:e], self.b[t:u], self.metric, self.p)
+
+    def threshold(self, s, e, limit):
+        return limit * (1 + 1e-12) + 1e-300
+
+    def bound(self, s, e, score):
+        return score * (1 + 1e-12)
+
+
+def _screen(a, b, metric, p) -> _Screen:
     if metric == "cosine":
-        na, nb = np.sqrt((a * a).sum(axis=1)), np.sqrt((b * b).sum(axis=1))
-        ua = a / np.where(na > 0, na, 1.0)[:, None]
-        ub = b / np.where(nb > 0, nb, 1.0)[:, None]
-        return 1.0 - ua @ ub.T, np.full(len(a), 1e-12), 1
+        return _Products(a, b, True)
     if metric == "euclidean" or (metric == "minkowski" and p == 2.0):
-        sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
-        score = sa[:, None] + sb[None, :] - 2.0 * (a @ b.T)
-        return score, 4e-14 * a.shape[1] * (sa + (sb.max() if len(sb) else 0.0)) + 1e-300, 2
-    d = distances(a, b, metric, p)
-    return d, 1e-12 * (1.0 + d.max(axis=1)) if d.size else np.zeros(len(a)), 1
+        return _Products(a, b, False)
+    if not (len(a) and len(b)) or not (np.isfinite(a).all() and np.isfinite(b).all()):
+        return _Exact(a, b, metric, p)
+    if metric == "manhattan" or p == 1.0:
+        return _Steps(a, b) if a.shape[1] <= 4096 else _Exact(a, b, metric, p)
+    return _Powers(a, b, p) if p <= 8.0 else _Exact(a, b, metric, p)
 
 
 def nearest(a, b, b_ids, k, metric, p, limit=None):
     """Flat (row of a, id, distance) of the k nearest b-rows of each a-row, ties by id.
 
     `limit` (per a-row) drops b-rows that are farther than an already known k-th distance.
-    A cheap screen keeps a superset, exact distances decide.
+    A cheap screen keeps a superset, exact distances decide. Pairs are screened in tiles that fit a
+    processor's cache; the k-th scores met so far narrow what later tiles keep.
     """
-    rows, ids, dist = [], [], []
-    step = max(1, CHUNK // max(1, len(b)))
-    for s in range(0, len(a), step):
-        part = a[s : s + step]
-        score, slack, power = _screen(part, b, metric, p)
-        most = np.full(len(part), np.inf)
+    screen = _screen(a, b, metric, p)
+    rows, cols, dist = [np.empty(0, int)], [np.empty(0, int)], [np.empty(0)]
+    for s in range(0, len(a), screen.rows):
+        e = min(len(a), s + screen.rows)
+        most = np.full(e - s, np.inf) if limit is None else limit[s:e].astype(float)
+        held, size, full = [], 0, 6 * k * (e - s)
+        for t in range(0, len(b), screen.cols):
+            score = screen.tile(s, e, t, min(len(b), t + screen.cols))
+            hit = score <= screen.threshold(s, e, most)[:, None]
+            if score.shape[1] > k and np.count_nonzero(hit) > 8 * k * (e - s):
+                kth = np.partition(score, k - 1, axis=1)[:, k - 1]
+                most = np.minimum(most, screen.bound(s, e, kth))
+                hit = score <= screen.threshold(s, e, most)[:, None]
+            at = np.flatnonzero(hit)
+            if not len(at):
+                continue
+            r, c = np.divmod(at, score.shape[1])
+            held.append((r, c + t, score.ravel()[at]))
+            size += len(at)
+            if size > full:
+                most, held, size = _narrow(screen, s, e, most, held, k)
+                full = max(full, 2 * size)
+        if not held:
+            continue
+        r, c = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+        step = max(1, CHUNK // max(1, a.shape[1]))
+        d = [pair_distances(a[s + r[i : i + step]], b[c[i : i + step]], metric, p) for i in range(0, len(r), step)]
+        d = np.concatenate(d)
         if limit is not None:
-            most = limit[s : s + step] ** power
-        hit = score <= (most + 2 * slack)[:, None]
-        if len(b) > k and np.count_nonzero(hit) > 8 * k * len(part):
-            kth = np.partition(score, k - 1, axis=1)[:, k - 1]
-            hit = score <= (np.minimum(kth, most) + 2 * slack)[:, None]
-        r, c = np.nonzero(hit)
-        d = pair_distances(part[r], b[c], metric, p)
-        if limit is not None:
-            keep = d <= limit[s : s + step][r]
+            keep = d <= limit[s:e][r]
             r, c, d = r[keep], c[keep], d[keep]
+        r, c, d = keep_top(r, c, d, k) if _in_order(b_ids) else (r, c, d)
         rows.append(r + s)
-        ids.append(b_ids[c])
+        cols.append(c)
         dist.append(d)
-    return keep_top(np.concatenate(rows), np.concatenate(ids), np.concatenate(dist), k)
+    return keep_top(np.concatenate(rows), b_ids[np.concatenate(cols)], np.concatenate(dist), k)
+
+
+def _in_order(ids) -> bool:
+    return len(ids) < 2 or bool((ids[:-1] <= ids[1:]).all())
+
+
+def _narrow(screen, s, e, most, held, k):
+    """Tighter limits by the k-th scores of the pairs held, and the pairs that remain within them."""
+    r, c, score = (np.concatenate(x) for x in zip(*held, strict=True))
+    order = np.lexsort((score, r))
+    r, c, score = r[order], c[order], score[order]
+    ends = np.searchsorted(r, np.arange(e - s + 1))
+    kth = np.full(e - s, np.inf)
+    some = np.flatnonzero(np.diff(ends) >= k)
+    kth[some] = score[ends[some] + k - 1]
+    most = np.minimum(most, screen.bound(s, e, kth))
+    keep = score <= screen.threshold(s, e, most)[r]
+    return most, [(r[keep], c[keep], score[keep])], int(keep.sum())
 
 
 def keep_top(rows, ids, dist, k):
