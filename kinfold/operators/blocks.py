@@ -5,7 +5,11 @@ Rows are sent to their nearest pivot (a bounded sample of the table) and range-p
 by (group, cell, distance to the pivot, id). The range cut points are sampled from the data, so a
 cell with any share of the rows is spread over as many partitions as its size asks for, and
 each block is a run of at most `rows` neighbouring rows: a thin shell around its pivot. A
-block travels as one row, so meeting another block costs one record on either side.
+block travels as one row.
+
+Blocks meet in groups: each side is dealt into a few groups of about `GROUP_BYTES` of vectors, and one
+task takes a pair of groups. A block is copied once for each group it has to meet, not for each block, so
+what is moved is the table times the number of groups.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from .kernels import to_matrix
 
 BLOCK_ROWS = 2048
 MAX_PIVOTS = 1024
+#: Vectors of one side that a task holds, and the least number of groups on a side (so that there are tasks enough).
+GROUP_BYTES = 32 << 20
+MIN_GROUPS = 8
 
 
 def choose_pivots(df: DataFrame, vector: str, count: int) -> np.ndarray:
@@ -150,11 +157,16 @@ def pack_blocks(
     return ordered.mapInArrow(cut, schema)
 
 
-def block_list(t: pa.Table, name: str = "ids") -> pa.Array:
-    return t.column(name)[0].values
+def group_count(rows: int, width: int, group_bytes: int = GROUP_BYTES) -> int:
+    """How many groups a side of `rows` vectors of `width` numbers is dealt into."""
+    return max(MIN_GROUPS, -(-rows * 8 * max(1, width) // group_bytes))
+
+
+def block_list(t: pa.Table, i: int, name: str = "ids") -> pa.Array:
+    return t.column(name)[i].values
 
 
-def block_matrix(t: pa.Table, ids: str = "ids", v: str = "v") -> np.ndarray:
-    """The vectors of a one-row block table."""
-    flat = t.column(v)[0].values.to_numpy(zero_copy_only=False)
-    return flat.reshape(len(t.column(ids)[0]), -1)
+def block_matrix(t: pa.Table, i: int, ids: str = "ids", v: str = "v") -> np.ndarray:
+    """The vectors of the i-th block of a table."""
+    flat = t.column(v)[i].values.to_numpy(zero_copy_only=False)
+    return flat.reshape(len(t.column(ids)[i]), -1)

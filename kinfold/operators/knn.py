@@ -6,9 +6,9 @@ Two plans give the same answer:
   once. Each task keeps k candidates per query; only those are shuffled.
 * `tiles` - any number of queries. Rows are cut into bounded blocks around pivots (see
   `blocks`). A block's own rows give an upper bound for its k-th distances; the triangle
-  inequality then rules out most other blocks, and each remaining pair of blocks is one
-  task-sized unit that sends back k candidates per query row. Copies of a vector are searched
-  once and at most k of them can be neighbours, so a vector shared by many rows stays cheap.
+  inequality then rules out most other blocks. The pairs of blocks left are worked on by pairs of
+  groups of blocks, one task each, which sends back k candidates per query row. Copies of a vector are
+  searched once and at most k of them can be neighbours, so a vector shared by many rows stays cheap.
 
 Ties in distance are ordered by id.
 """
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from ..functions.vectors import as_vector
 from ..session import cut_lineage
-from .blocks import BLOCK_ROWS, MAX_PIVOTS, block_list, block_matrix, choose_pivots, pack_blocks
+from .blocks import BLOCK_ROWS, MAX_PIVOTS, block_list, block_matrix, choose_pivots, group_count, pack_blocks
 from .kernels import check_metric, distances, id_array, keep_top, nearest, to_matrix
 
 MAX_BROADCAST_QUERIES = 4096
@@ -164,47 +164,63 @@ def _tiles(table, asked, self_join, k, metric, p, block_rows, max_pivots) -> Dat
     def metric_fn(a, b, _space=space):
         return distances(a, b, *_space)
 
-    # Frozen: block ids must not change if a task is run again.
+    # Frozen: block numbers must not change if a task is run again.
     measure = _own_limit(k, metric, p, cosine) if self_join else None
-    s_blocks = cut_lineage(pack_blocks(stored, pivots, metric_fn, block_rows, measure))
-    meta = ["g", "cell", "block", "low", "high", "n", "limit"]
-    s_meta = s_blocks.select(*meta)
+    groups = group_count(n, pivots.shape[1])
+
+    def packed(df, measure=None) -> DataFrame:
+        blocks = cut_lineage(pack_blocks(df, pivots, metric_fn, block_rows, measure)).drop("block")
+        # Blocks of a small cell share a group, those of a big one are spread.
+        big = F.sum("n").over(Window.partitionBy("g", "cell")) > F.lit(n / groups / 4)
+        block = F.monotonically_increasing_id()
+        group = F.pmod(F.xxhash64("g", "cell", F.when(big, F.col("block"))), F.lit(groups))
+        numbered = blocks.withColumn("block", block)
+        meta = numbered.select("block", "g", "cell", "low", "high", "n", "limit")
+        return numbered, cut_lineage(meta.withColumn("group", group))
+
+    s_blocks, s_meta = packed(stored, measure)
     if self_join:
-        r_blocks = s_blocks.where(F.exists("first", lambda x: x))
-        r_meta = r_blocks.select(*meta)
+        r_blocks, r_meta = s_blocks.where(F.exists("first", lambda x: x)), s_meta
     else:
-        once = place(asked_once).withColumn("first", F.lit(True))
-        r_blocks = cut_lineage(pack_blocks(once, pivots, metric_fn, block_rows))
+        r_blocks, r_meta = packed(place(asked_once).withColumn("first", F.lit(True)))
         cells = s_meta.groupBy("g", "cell").agg(F.max("high").alias("reach"), F.sum("n").alias("m"))
         full = F.when(F.col("m") >= k, F.col("high") + F.col("reach"))
-        r_meta = r_blocks.select(*meta).join(cells, ["g", "cell"], "left")
+        r_meta = r_meta.join(cells, ["g", "cell"], "left")
         r_meta = r_meta.withColumn("limit", F.coalesce(full, F.lit(float("inf"))))
 
     windows = _cell_windows(pivots, distances(pivots, pivots, *space), table.sparkSession)
     reach = r_meta.select(
         "g",
         F.col("block").alias("r_block"),
+        F.col("group").alias("r_group"),
         "limit",
         F.explode(windows("cell", "low", "high", "limit")).alias("w"),
-    ).select("g", "r_block", "limit", "w.cell", "w.lo", "w.hi")
+    ).select("g", "r_block", "r_group", "limit", "w.cell", "w.lo", "w.hi")
+    s_side = s_meta.select(
+        "g", "cell", "low", "high", F.col("block").alias("s_block"), F.col("group").alias("s_group")
+    )
+    # Per block and group to meet, the blocks to meet there.
     tiles = cut_lineage(
-        reach.join(s_meta.drop("limit").withColumnRenamed("block", "s_block"), ["g", "cell"])
+        reach.join(s_side, ["g", "cell"])
         .where("high >= lo and low <= hi")
-        .select("r_block", "s_block", "limit")
+        .groupBy("r_block", "r_group", "s_group", "limit")
+        .agg(F.collect_list("s_block").alias("s_blocks"))
     )
     left = r_blocks.select(
         F.col("block").alias("r_block"), "ids", "v", "first", "limits"
     ).join(tiles, "r_block")
     # Renamed columns give the second side its own attributes, which cogroup needs.
-    s_tiles = tiles.select(F.col("r_block").alias("r_key"), F.col("s_block").alias("s_key"))
+    s_tiles = tiles.select(
+        F.col("r_group").alias("r_key"), F.col("s_group").alias("s_key"), F.explode("s_blocks").alias("s_block")
+    ).distinct()
     right = s_blocks.select(
-        F.col("block").alias("s_key"), F.col("ids").alias("s_ids"), F.col("v").alias("s_v")
-    ).join(s_tiles, "s_key")
+        F.col("block").alias("s_block"), F.col("ids").alias("s_ids"), F.col("v").alias("s_v")
+    ).join(s_tiles, "s_block")
     found = (
-        left.groupBy("r_block", "s_block")
+        left.groupBy("r_group", "s_group")
         .cogroup(right.groupBy("r_key", "s_key"))
         .applyInArrow(
-            _tile_search(k, metric, p, cosine),
+            _group_search(k, metric, p, cosine),
             T.StructType(
                 [
                     T.StructField("q", asked.schema["id"].dataType),
@@ -259,46 +275,57 @@ def _cell_windows(pivots: np.ndarray, between: np.ndarray, spark):
     return windows
 
 
-def _tile_search(k, metric, p, cosine):
+def _group_search(k, metric, p, cosine):
     def space(x: np.ndarray) -> np.ndarray:
         if not cosine:
             return x
         norm = np.sqrt((x * x).sum(axis=1))
         return x / np.where(norm > 0, norm, 1.0)[:, None]
 
-    def reach(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
-        c = centre[None, :]
-        return (distances(x, c) if cosine else distances(x, c, metric, p))[:, 0]
+    def reach(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return distances(x, c) if cosine else distances(x, c, metric, p)
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        q_ids, s_ids = block_list(left), block_list(right, "s_ids")
-        asks = np.flatnonzero(block_list(left, "first").to_numpy(zero_copy_only=False))
-        limit = np.minimum(
-            block_list(left, "limits").to_numpy(zero_copy_only=False)[asks],
-            left.column("limit")[0].as_py(),
-        )
-        limit = limit * (1 + 1e-9) + 1e-9
-        a, b = block_matrix(left)[asks], block_matrix(right, "s_ids", "s_v")
-        # Rows that cannot reach the other block within their limit drop out first.
-        a_at, b_at = space(a), space(b)
-        centre = b_at.mean(axis=0)
-        keep = reach(a_at, centre) - reach(b_at, centre).max() <= limit
-        asks, a, a_at, limit = asks[keep], a[keep], a_at[keep], limit[keep]
-        found = np.array([], int), np.array([], int), np.array([])
-        ids = id_array(s_ids)
-        if len(a):
-            centre = a_at.mean(axis=0)
-            keep = reach(b_at, centre) <= reach(a_at, centre).max() + limit.max()
-            b, ids = b[keep], ids[keep]
-            if len(b):
-                most = limit**2 / 2.0 if cosine else limit
-                found = nearest(a, b, ids, k, metric, p, most)
-        rows, near, dist = found
+        out = []
+        others, centres, radius = [], [], []
+        number = {int(b): i for i, b in enumerate(right.column("s_block").to_pylist())}
+        for i in range(right.num_rows):
+            b = block_matrix(right, i, "s_ids", "s_v")
+            at = space(b)
+            centre = at.mean(axis=0)[None, :]
+            others.append((id_array(block_list(right, i, "s_ids")), b))
+            centres.append(centre)
+            radius.append(reach(at, centre).max())
+        for i in range(left.num_rows):
+            q_ids = block_list(left, i)
+            asks = np.flatnonzero(block_list(left, i, "first").to_numpy(zero_copy_only=False))
+            limit = np.minimum(
+                block_list(left, i, "limits").to_numpy(zero_copy_only=False)[asks],
+                left.column("limit")[i].as_py(),
+            )
+            limit = limit * (1 + 1e-9) + 1e-9
+            meets = [number[int(b)] for b in left.column("s_blocks")[i].as_py()]
+            if not meets or not len(asks):
+                continue
+            a = block_matrix(left, i)[asks]
+            # Rows that cannot reach another block within their limit are not compared with it.
+            gap = reach(space(a), np.concatenate([centres[j] for j in meets])) - np.array([radius[j] for j in meets])
+            near = gap <= limit[:, None]
+            wanted = np.flatnonzero(near.any(axis=0))
+            rows = np.flatnonzero(near.any(axis=1))
+            if not len(wanted) or not len(rows):
+                continue
+            ids = np.concatenate([others[meets[j]][0] for j in wanted])
+            b = np.concatenate([others[meets[j]][1] for j in wanted])
+            most = limit**2 / 2.0 if cosine else limit
+            r, near_ids, dist = nearest(a[rows], b, ids, k, metric, p, most[rows])
+            out.append((q_ids.take(pa.array(asks[rows][r], pa.int64())), near_ids, dist))
+        s_type, q_type = right.schema.field("s_ids").type.value_type, left.schema.field("ids").type.value_type
         return pa.table(
             {
-                "q": q_ids.take(pa.array(asks[rows], pa.int64())),
-                "id": pa.array(near.tolist(), type=s_ids.type),
-                "distance": pa.array(dist, pa.float64()),
+                "q": pa.chunked_array([o[0] for o in out], q_type),
+                "id": pa.chunked_array([pa.array(o[1].tolist(), type=s_type) for o in out], s_type),
+                "distance": pa.chunked_array([pa.array(o[2], pa.float64()) for o in out], pa.float64()),
             }
         )
 
