@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.vectors import as_vector, distance_expr
 from ..session import cut_lineage
+from .blocks import group_count
 from .clusters import cluster_moments, small_side
 from .kernels import distances, fast_euclidean, to_matrix
 
@@ -27,6 +28,8 @@ from .kernels import distances, fast_euclidean, to_matrix
 ONE_LABEL = -1.0
 MAX_BROADCAST_ROWS = 20_000
 TILE_ROWS = 4096
+#: Rows of a side that are compared at a time inside a task.
+STEP = 512
 # Summaries of at most this many clusters (one centre each) are finished on the driver.
 SMALL_K = 2048
 
@@ -49,13 +52,13 @@ def silhouette(
     features: str | Sequence[str],
     cluster: str = "cluster",
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
-    tile_rows: int = TILE_ROWS,
+    tile_rows: int | None = None,
 ) -> DataFrame:
     """One row: the mean of (b - a) / max(a, b) over all rows; a lone member scores 0, and a
     table with one label -1.
 
     Equal rows of a cluster are folded into one weighted point first. The points are then
-    either broadcast (checked size) or met tile by tile; both ways each task sends back sums
+    either broadcast (checked size) or met group by group; both ways each task sends back sums
     per cluster, never pairs.
     """
     points = (
@@ -66,7 +69,94 @@ def silhouette(
     fetched = points.limit(max_broadcast_rows + 1).toArrow()
     if fetched.num_rows <= max_broadcast_rows:
         return _silhouette_broadcast(points, fetched)
-    return _silhouette_tiles(points, tile_rows)
+    grouped = _silhouette_groups(points.select("v", "w", F.array("c").alias("cs")), 1, tile_rows)
+    if grouped is None:
+        return _silhouette_tiles(points, tile_rows or TILE_ROWS)
+    return _one(points.sparkSession, "silhouette", grouped[0])
+
+
+def silhouettes(
+    df: DataFrame, features: str | Sequence[str], clusters: Sequence[str], tile_rows: int | None = None
+) -> list[float]:
+    """The silhouette of every label column; the rows meet once for all of them."""
+    labels = F.array(*[F.col(c).cast("long") for c in clusters]).alias("cs")
+    points = df.select(as_vector(features).alias("v"), labels).groupBy("v", "cs")
+    points = points.agg(F.count(F.lit(1)).cast("double").alias("w"))
+    grouped = _silhouette_groups(points, len(clusters), tile_rows)
+    return grouped or [silhouette(df, features, c).first()[0] for c in clusters]
+
+
+def _silhouette_groups(points: DataFrame, models: int, tile_rows: int | None) -> list[float] | None:
+    """The silhouette of each of the `models` labels in `cs`, or None with a missing or too many labels.
+
+    Both sides are dealt into groups, and a task takes a pair: per row it sums the distances to every cluster of every
+    model, as a product with the matrix of memberships. A row is copied once for each group of the other side.
+    """
+    points = cut_lineage(points.withColumn("id", F.monotonically_increasing_id()))
+    found = points.select(F.posexplode("cs").alias("m", "c"), "w").groupBy("m", "c").agg(F.sum("w").alias("size"))
+    found = found.orderBy("m", "c").limit(SMALL_K + 1).toArrow()  # one row per cluster
+    if found.num_rows > SMALL_K or found.column("c").null_count:
+        return None
+    model, label = found.column("m").to_numpy(), found.column("c").to_numpy()
+    size = found.column("size").to_numpy()
+    bounds = np.searchsorted(model, np.arange(models + 1))
+    names = [label[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    n, width = points.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    if tile_rows is None:
+        groups, others = group_count(n, max(width, len(label))), group_count(n, width)
+    else:
+        groups = others = max(1, math.ceil(n / tile_rows))
+    chunks = 16
+    spot = F.xxhash64("id")
+    left = points.select("id", "v", "w", "cs", F.pmod(spot, F.lit(groups * chunks)).cast("int").alias("chunk"))
+    left = left.withColumn("i", F.floor(F.col("chunk") / chunks).cast("int"))
+    left = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+    right = points.select(
+        F.col("v").alias("v2"), F.col("w").alias("w2"), F.col("cs").alias("cs2"),
+        F.pmod(spot, F.lit(others)).cast("int").alias("j2"),
+    ).withColumn("i2", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def places(cs: pa.ChunkedArray) -> np.ndarray:
+        """The column of each row's cluster, per model."""
+        own = to_matrix(cs.cast(pa.list_(pa.float64()))).astype(np.int64)
+        return np.stack([a + np.searchsorted(x, own[:, m]) for m, (a, x) in enumerate(zip(bounds, names))], axis=1)
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        total = np.zeros((a.num_rows, len(label)))
+        if a.num_rows and b.num_rows:
+            x, y, w = to_matrix(a.column("v")), to_matrix(b.column("v2")), b.column("w2").to_numpy()
+            at = places(b.column("cs2"))
+            for t in range(0, len(y), STEP):
+                member = np.zeros((len(y[t : t + STEP]), len(label)))
+                np.put_along_axis(member, at[t : t + STEP], w[t : t + STEP, None], axis=1)
+                for s in range(0, len(x), STEP):
+                    total[s : s + STEP] += fast_euclidean(x[s : s + STEP], y[t : t + STEP]) @ member
+        ends = pa.array(np.arange(a.num_rows + 1, dtype=np.int32) * len(label))
+        sums = pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
+        return a.select(["chunk", "id", "w", "cs"]).append_column("sums", sums)
+
+    def finish(t: pa.Table) -> pa.Table:
+        ids = t.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+        total = np.add.reduceat(to_matrix(t.column("sums"))[order], first, axis=0)
+        rows = t.take(pa.array(order[first]))
+        w, at = rows.column("w").to_numpy(), places(rows.column("cs"))
+        score = [
+            float(_scores(total[:, a:b], at[:, m] - a, size[a:b]) @ w) if b - a > 1 else 0.0
+            for m, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True))
+        ]
+        return pa.table({"m": pa.array(range(models), pa.int32()), "score": score, "weight": [float(w.sum())] * models})
+
+    met = (
+        left.groupBy("i", "j")
+        .cogroup(right.groupBy("i2", "j2"))
+        .applyInArrow(meet, "chunk int, id long, w double, cs array<bigint>, sums array<double>")
+    )
+    parts = met.groupBy("chunk").applyInArrow(finish, "m int, score double, weight double")
+    rows = parts.groupBy("m").agg(F.sum("score").alias("score"), F.sum("weight").alias("weight")).collect()
+    means = {r["m"]: r["score"] / r["weight"] for r in rows}
+    return [means[m] if len(names[m]) > 1 else ONE_LABEL for m in range(models)]
 
 
 def _mean_score(parts: DataFrame) -> DataFrame:
