@@ -12,7 +12,8 @@ The grid cell has side eps / sqrt(d), so rows of one cell are always neighbours:
 Components of touching core cells are the clusters, numbered by their first core row; border
 rows take the lowest cluster in reach; the rest is noise (-1).
 
-Above `GRID_DIMS` dimensions the neighbouring cells are too many to list, and `halo` does the work.
+In four dimensions the neighbouring cells are found dimension by dimension, among the occupied slabs. Above `GRID_DIMS`
+dimensions they are too many to list, and `halo` does the work.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from .halo import halo_core_points, halo_dbscan
 SALT_ROWS = 20_000
 # Unsure cell pairs are settled point by point once they hold at most this many pairs.
 DIRECT_PAIRS = 20_000_000
-GRID_DIMS = 3
+GRID_DIMS = 4
 
 
 def _names(prefix: str, d: int) -> list[str]:
@@ -93,7 +94,12 @@ class _Grid:
                 for c, x in zip(self.features, self.x, strict=True)
             ],
         )
-        points = self.rows.groupBy(*self.x).agg(
+        rows = self.rows
+        if d > 3:
+            # As in `halo`: a row with a missing feature has no neighbours.
+            for x in self.x:
+                rows = rows.where(F.col(x).isNotNull() & ~F.isnan(x))
+        points = rows.groupBy(*self.x).agg(
             F.count(F.lit(1)).alias("w"), F.min("id").alias("pid")
         )
         key = F.array(*[F.floor(F.col(x) / F.lit(self.side)).cast("long") for x in self.x])
@@ -129,6 +135,11 @@ class _Grid:
             F.col("box").alias("box_b"),
             F.col("weight").alias("weight_b"),
         )
+        if self.d > 3:
+            joined = self._by_slabs(own).join(other, "near_key").where("a <> b")
+            return joined.where(_box_gap("box_a", "box_b", self.d) <= self.eps2).select(
+                "a", "b", "weight_b", (_box_span("box_a", "box_b", self.d) <= self.eps2).alias("full")
+            )
         # Cells o steps apart in a dimension are at least (|o| - 1) sides apart.
         reach = range(-math.floor(1 + math.sqrt(self.d)), math.floor(1 + math.sqrt(self.d)) + 1)
         offsets = [
@@ -146,6 +157,35 @@ class _Grid:
             "a", "b", "weight_b", (_box_span("box_a", "box_b", self.d) <= self.eps2).alias("full")
         )
 
+    # The keys that may hold cells near each cell. The offsets of all dimensions are too many to list; dimension by
+    # dimension only the slabs that hold rows within eps are left, beginning where a slab has fewest of them.
+    def _by_slabs(self, own: DataFrame) -> DataFrame:
+        reach = math.floor(1 + math.sqrt(self.d))
+        slabs = []
+        for i in range(self.d):
+            one = cut_lineage(
+                self.cells.groupBy(F.col("key")[i].alias("k")).agg(
+                    F.min(F.col("box.lo")[i]).alias("lo"), F.max(F.col("box.hi")[i]).alias("hi")
+                )
+            )
+            steps = F.sequence(F.col("k") - reach, F.col("k") + reach)
+            other = one.select(F.col("k").alias("near"), F.col("lo").alias("near_lo"), F.col("hi").alias("near_hi"))
+            gap = F.greatest(F.lit(0.0), F.col("near_lo") - F.col("hi"), F.col("lo") - F.col("near_hi"))
+            near = (
+                one.withColumn("near", F.explode(steps)).join(other, "near")
+                .select(F.col("k").alias(f"k{i}"), F.col("near").alias(f"near{i}"), (gap * gap).alias(f"gap{i}"))
+                .where(F.col(f"gap{i}") <= self.eps2)
+            )
+            near = cut_lineage(near)
+            slabs.append((near.count() / max(1, one.count()), i, near))
+        found = own.withColumn("gap", F.lit(0.0))
+        for _, i, near in sorted(slabs, key=lambda x: x[:2]):
+            found = found.withColumn(f"k{i}", F.col("key")[i]).join(small_side(near), f"k{i}")
+            found = found.withColumn("gap", F.col("gap") + F.col(f"gap{i}")).drop(f"k{i}", f"gap{i}")
+            found = found.where(F.col("gap") <= self.eps2 * (1 + 1e-9))
+        keys = F.array(*[F.col(f"near{i}") for i in range(self.d)])
+        return found.withColumn("near_key", keys).select("a", "box_a", "near_key")
+
     # Points of cell b for given (a, b) pairs; a big cell b arrives in several salted shares.
     def _with_points_of_b(self, asked: DataFrame, members: DataFrame) -> DataFrame:
         sizes = self.cells.where(F.col("n") > self.salt_rows).select(
