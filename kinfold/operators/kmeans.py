@@ -18,17 +18,21 @@ from ..functions.vectors import as_vector
 from .kernels import to_matrix
 from .lloyd import LloydFit, fit_many
 from .quality import (
+    MAX_BROADCAST_ROWS,
     ONE_LABEL,
     calinski_harabasz,
     clustering_quality,
     davies_bouldin,
     silhouette_squared,
+    silhouettes,
 )
 
 N_INIT = 10
 MAX_ITER = 300
 # Above this many (centre, feature) terms the flat expression outgrows one JVM method.
 FLAT_TERMS = 256
+# A table of more rows than this is read by all cores, however few parts its files have.
+SPREAD_ROWS = 20_000
 
 
 @dataclass(frozen=True)
@@ -188,6 +192,12 @@ def find_optimal_k(
     return fit.k, table
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """The table in parts enough for all cores, for work that goes over it many times."""
+    parts = min(2 * df.sparkSession.sparkContext.defaultParallelism, rows // (SPREAD_ROWS // 8))
+    return df.repartition(parts) if rows > SPREAD_ROWS and df.rdd.getNumPartitions() < parts else df
+
+
 def tune_k(
     df: DataFrame,
     features: str | Sequence[str],
@@ -200,13 +210,21 @@ def tune_k(
     """The fit of the best k, and the scores; all fits of all k advance together, pass by pass."""
     if silhouette not in ("exact", "squared"):
         raise ValueError(f"Unknown silhouette: {silhouette}")
-    data = df.select(as_vector(features).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = df.count()
+    data = spread(df.select(as_vector(features).alias("v")), rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        ks = range(min_k, min(max_k, data.count()) + 1)
+        ks = range(min_k, min(max_k, rows) + 1)
         tried = fit_many(data, "v", [(k, seed + i) for k in ks for i in range(n_init)])
         fits = {k: min((f for f in tried if f.k == k), key=lambda f: f.cost) for k in ks}
         labelled = ((k, assign_nearest(data, "v", f.centers)) for k, f in fits.items())
-        best, table = score_labels(labelled, "v", "cluster", silhouette)
+        known = None
+        if silhouette == "exact" and rows > MAX_BROADCAST_ROWS:
+            # All labels are functions of the vector, so the rows meet once for all k.
+            points = data
+            for k, f in fits.items():
+                points = assign_nearest(points, "v", f.centers, f"k{k}")
+            known = dict(zip(ks, silhouettes(points, "v", [f"k{k}" for k in ks]), strict=True))
+        best, table = score_labels(labelled, "v", "cluster", silhouette, known)
     finally:
         data.unpersist()
     cost = F.create_map(*[F.lit(x) for k, f in fits.items() for x in (k, f.cost)])
@@ -220,18 +238,22 @@ def score_labels(
     features: str | Sequence[str],
     cluster: str = "cluster",
     silhouette: str = "exact",
+    known: dict[int, float] | None = None,
 ) -> tuple[int, DataFrame]:
-    """(best k, one row of scores per k) for labelled tables; those with one label are left out."""
+    """(best k, one row of scores per k) for labelled tables; those with one label are left out.
+
+    `known` holds silhouettes that are already computed.
+    """
     if silhouette not in ("exact", "squared"):
         raise ValueError(f"Unknown silhouette: {silhouette}")
     rows, spark = [], None
     for k, df in labelled:
         spark = df.sparkSession
-        if silhouette == "exact":
+        if silhouette == "exact" and known is None:
             q = clustering_quality(df, features, cluster).first()
             scores = (q["silhouette"], q["calinski_harabasz"], q["davies_bouldin"])
         else:
-            scores = (silhouette_squared(df, features, cluster),)
+            scores = (known[k] if known is not None else silhouette_squared(df, features, cluster),)
             if scores[0] != ONE_LABEL:
                 scores += (
                     calinski_harabasz(df, features, cluster).first()[0],
