@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_vector
 from .kernels import to_matrix
-from .lloyd import LloydFit, fit_many
+from .lloyd import LloydFit, advance, fit_many
 from .quality import (
     MAX_BROADCAST_ROWS,
     ONE_LABEL,
@@ -33,6 +33,9 @@ MAX_ITER = 300
 FLAT_TERMS = 256
 # A table of more rows than this is read by all cores, however few parts its files have.
 SPREAD_ROWS = 20_000
+# Draws of starts that run at once each hold the rows as objects; together about this many bytes on the whole cluster.
+HELD_BYTES = 4 << 30
+ROW_BYTES = 96
 
 
 @dataclass(frozen=True)
@@ -56,25 +59,40 @@ def fit_kmeans(
     seed: int = 42,
     parallel: int = 8,
 ) -> KMeansFit:
-    """Best of `n_init` seeded fits by training cost; the seeds share one persisted table."""
-    data = df.select(array_to_vector(as_vector(features)).alias("features"))
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    """Best of `n_init` seeded fits by training cost.
+
+    `pyspark.ml` draws the starts of each seed (no iterations); the rounds that follow advance all seeds together,
+    one reading of the persisted table a round (see `lloyd`). The draws read that table through a projection which
+    is not persisted itself, so that `pyspark.ml` unpacks the rows once a seed and not once a pass.
+    """
+    v = as_vector(features)
+    seen = df.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(v)).alias("width")).first()
+    at_once = max(1, min(parallel, n_init, HELD_BYTES // max(1, seen.n * (8 * (seen.width or 1) + ROW_BYTES))))
+    data = spread(df.select(v.alias("v")), seen.n).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        spark = df.sparkSession
+        spark, rows = df.sparkSession, data.select(array_to_vector("v").alias("features"))
 
         @inheritable_thread_target(spark)
-        def one(s: int) -> KMeansModel:
-            return KMeans(k=k, maxIter=max_iter, seed=s, featuresCol="features").fit(data)
+        def start(s: int) -> np.ndarray:
+            return np.array(KMeans(k=k, maxIter=0, seed=s, featuresCol="features").fit(rows).clusterCenters())
 
-        with ThreadPool(min(parallel, n_init)) as pool:
-            models = pool.map(one, [seed + i for i in range(n_init)])
+        with ThreadPool(at_once) as pool:
+            starts = pool.map(start, [seed + i for i in range(n_init)])
+        settled, _, costs = advance(data, starts, max_iter)
     finally:
         data.unpersist()
-    best = min(models, key=lambda m: m.summary.trainingCost)
+    best = int(np.argmin(costs))
     # Centres in a fixed order, so the label of a cluster does not depend on the seed.
-    centers = sorted([float(x) for x in c] for c in best.clusterCenters())
+    centers = sorted([float(x) for x in c] for c in settled[best])
     names = features if isinstance(features, str) else list(features)
-    return KMeansFit(names, centers, float(best.summary.trainingCost), best)
+    return KMeansFit(names, centers, costs[best], _as_model(spark, centers))
+
+
+def _as_model(spark: SparkSession, centers: list[list[float]]) -> KMeansModel:
+    """A `pyspark.ml` model with these centres: drawn, all of them, from a table that holds nothing else."""
+    table = spark.createDataFrame([(c,) for c in centers], "v array<double>")
+    every = KMeans(k=max(2, len(centers)), maxIter=0, initMode="random", featuresCol="features")
+    return every.fit(table.select(array_to_vector("v").alias("features")))
 
 
 def assign_nearest(

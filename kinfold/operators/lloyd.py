@@ -23,13 +23,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel, TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import as_vector
 from .kernels import CHUNK, to_matrix
 
 SINGLE_DRAWS = 16
+# Rows whose distances to all centres are worked out at a time, at most.
+CHUNK_ROWS = 2048
 TOL = 1e-4
 
 
@@ -57,9 +59,26 @@ def fit_many(
     data = data.where(~F.exists("v", lambda x: x.isNull() | F.isnan(x))).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         begin = _starts(data, sorted({s for _, s in models}), max(k for k, _ in models))
-        centers = [begin[s][:k].copy() for k, s in models]
-        rounds = [0] * len(models)
-        active = list(range(len(models)))
+        centers, rounds, costs = advance(data, [begin[s][:k].copy() for k, s in models], max_iter, tol)
+    finally:
+        data.unpersist()
+    return [
+        LloydFit(k, s, sorted(c.tolist()), cost, n)
+        for (k, s), c, cost, n in zip(models, centers, costs, rounds, strict=True)
+    ]
+
+
+def advance(
+    data: DataFrame, centers: Sequence[np.ndarray], max_iter: int = 300, tol: float = TOL
+) -> tuple[list[np.ndarray], list[int], list[float]]:
+    """Lloyd rounds of all models from the centres given: the settled centres, rounds and costs.
+
+    `data` has one column of vectors without missing values, and is read once a round.
+    """
+    centers, rounds = list(centers), [0] * len(centers)
+    active = list(range(len(centers))) if max_iter > 0 else []
+    data = data.select(_as_bytes(data.columns[0]).alias("v")).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
         while active:
             found = _sums(data, [centers[m] for m in active])
             moving = []
@@ -70,13 +89,30 @@ def fit_many(
                 if shift > tol and rounds[m] < max_iter:
                     moving.append(m)
             active = moving
-        costs = _costs(data, centers)
+        return centers, rounds, _costs(data, centers)
     finally:
         data.unpersist()
-    return [
-        LloydFit(k, s, sorted(c.tolist()), cost, n)
-        for (k, s), c, cost, n in zip(models, centers, costs, rounds, strict=True)
-    ]
+
+
+def _as_bytes(vector: str) -> Column:
+    """A vector as its 64-bit floats in a row, which Spark moves as one value and not number by number."""
+
+    @F.arrow_udf("binary")
+    def packed(v: pa.Array) -> pa.Array:
+        x = np.ascontiguousarray(to_matrix(v))
+        ends = np.arange(len(x) + 1, dtype=np.int32) * np.int32(8 * x.shape[1])
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+
+    return packed(vector)
+
+
+def _as_matrix(col: pa.Array) -> np.ndarray:
+    """(rows, d) of vectors, or of vectors as bytes."""
+    if not (pa.types.is_binary(col.type) or pa.types.is_large_binary(col.type)):
+        return to_matrix(col)
+    ends = np.frombuffer(col.buffers()[1], np.int64 if pa.types.is_large_binary(col.type) else np.int32)
+    a, b = int(ends[col.offset]), int(ends[col.offset + len(col)])
+    return np.frombuffer(col.buffers()[2], np.float64, (b - a) // 8, a).reshape(len(col), -1)
 
 
 def _starts(data: DataFrame, seeds: list[int], k: int) -> dict[int, np.ndarray]:
@@ -137,8 +173,10 @@ def _draw(data, held, seeds, step, wanted) -> dict[int, np.ndarray]:
 def _chunks(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[np.ndarray]:
     """Rows in blocks whose distances to `width` centres stay small."""
     for batch in batches:
-        x = to_matrix(batch.column(0))
-        size = max(1, CHUNK // max(width, 1))
+        if not batch.num_rows:
+            continue
+        x = _as_matrix(batch.column(0))
+        size = max(1, min(CHUNK_ROWS, CHUNK // max(width, 1)))
         for a in range(0, len(x), size):
             yield x[a : a + size]
 
@@ -159,14 +197,19 @@ def _sums(data: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray,
         c, ends = shared.value
         norms, bounds = (c * c).sum(axis=1), list(zip(np.r_[0, ends[:-1]], ends, strict=True))
         count, total = np.zeros(len(c)), np.zeros_like(c)
+        doubled = -2.0 * c
         for x in _chunks(batches, len(c)):
-            score = norms[None, :] - 2.0 * (x @ c.T)
-            own = np.zeros_like(score)
-            rows = np.arange(len(x))
+            score = doubled @ x.T + norms[:, None]
+            own = np.empty_like(score)
             for a, b in bounds:
-                own[rows, a + score[:, a:b].argmin(axis=1)] = 1.0
-            count += own.sum(axis=0)
-            total += own.T @ x
+                np.equal(score[a:b], score[a:b].min(axis=0), out=own[a:b], casting="unsafe")
+            tied = np.flatnonzero(own.sum(axis=0) != len(bounds))
+            for a, b in bounds if len(tied) else ():
+                first = a + own[a:b, tied].argmax(axis=0)
+                own[a:b, tied] = 0.0
+                own[first, tied] = 1.0
+            count += own.sum(axis=1)
+            total += own @ x
         used = np.flatnonzero(count)
         if len(used):
             yield pa.RecordBatch.from_arrays(
