@@ -2,8 +2,8 @@
 
 Both kinds of tokenizer file used here cut a text before some of its spaces whatever stands around them, so
 the parts between such spaces can be encoded one at a time, and a part met before need not be encoded again.
-Each Python worker keeps the ids of the parts it has met (at most `CACHE_WORDS`, then it starts anew); the
-ids are those of encoding the whole text, which the tests compare.
+Each Python worker keeps the ids of the parts it has met; beyond `CACHE_WORDS` those met only once go (most of
+them never come again). The ids are those of encoding the whole text, which the tests compare.
 """
 
 from __future__ import annotations
@@ -12,12 +12,12 @@ import functools
 import re
 import string
 import zlib
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
 
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 500_000
 #: A space before white space or at the end does not part words of a byte-level text.
 _JOINED = re.compile(r" (?=\s|\Z)")
 #: Marks that a byte-level pattern keeps together and apart from the letters before them (an apostrophe it may not).
@@ -26,6 +26,8 @@ _MARKS = string.punctuation.replace("'", "")
 _PLAIN = re.compile(r" ?\S+")
 #: Words encoded as the lines of one text.
 LINES = 256
+#: A word that the other kind of file always encodes alone, and as one id.
+_ALONE = "\x01"
 
 
 def tokenizer_path(name: str) -> str:
@@ -45,6 +47,7 @@ class _Ids(dict):
         self.new: list[str] = []
         self.starts, self.sizes = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.flat, self.used = np.zeros(1 << 18, np.uint32), 0
+        self.met = np.zeros(1 << 16, np.int32)
 
     def __missing__(self, text: str) -> int:
         self[text] = number = len(self)
@@ -69,11 +72,29 @@ class _Ids(dict):
 
     def gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the numbered strings one after the other, and where each one's begin (and the end)."""
+        if len(self.met) < len(self.sizes):
+            self.met = np.concatenate([self.met, np.zeros(len(self.sizes) - len(self.met), np.int32)])
+        self.met[: len(self)] += np.bincount(at, minlength=len(self)).astype(np.int32)
         length = self.sizes[at]
         total = np.concatenate([[0], np.cumsum(length)])
         return self.flat[np.repeat(self.starts[at] - total[:-1], length) + np.arange(total[-1])], total
 
 
+    def thin(self, most: int) -> "_Ids":
+        """The strings met oftenest, at most `most`, and those only that were met twice; they have to earn it anew."""
+        n = len(self)
+        met = self.met[:n]
+        least = 2 if np.count_nonzero(met >= 2) <= most else int(np.partition(met, n - most)[n - most]) + 1
+        kept = np.flatnonzero(met >= least)
+        out = _Ids()
+        if len(kept):
+            flat, ends = self.gather(kept)
+            out.new = list(compress(self, met >= least))
+            out.update(zip(out.new, range(len(kept)), strict=True))
+            out.add(flat, np.diff(ends))
+        return out
+
+
 class PartEncoder:
     """Ids of texts; `leading_space` says that a word keeps the space before it (byte-level files).
 
@@ -91,8 +112,10 @@ class PartEncoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.leading_space = leading_space
         self.parts, self.stems = _Ids(), _Ids()
-        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.line_feed = feed[0] if leading_space and len(feed) == 1 else None
+        #: What parts words that are encoded in one text, and its id (none: they are encoded one by one).
+        self.between = "\n" if leading_space else f" {_ALONE} "
+        mark = self.tokenizer.encode(self.between, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
 
     def _parts(self, text: str) -> list[str]:
         if not self.leading_space:
@@ -145,9 +168,12 @@ class PartEncoder:
         return np.fromiter(chain.from_iterable(lists), np.uint32, int(count.sum())), count
 
     def _encode_stems(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.line_feed is None:
+        if self.mark is None:
             return self._encode_new(stems)
-        plain = np.fromiter((_PLAIN.fullmatch(s) is not None for s in stems), bool, len(stems))
+        if self.leading_space:
+            plain = np.fromiter((_PLAIN.fullmatch(s) is not None for s in stems), bool, len(stems))
+        else:
+            plain = np.fromiter((_ALONE not in s for s in stems), bool, len(stems))
         lined, sizes = self._encode_lines([s for s, p in zip(stems, plain, strict=True) if p])
         alone, others = self._encode_new([s for s, p in zip(stems, plain, strict=True) if not p])
         count = np.empty(len(stems), np.int64)
@@ -158,14 +184,18 @@ class PartEncoder:
         return flat, count
 
     def _encode_lines(self, stems: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The same with many stems as the lines of one text: a line feed between two others is a token of its own."""
-        lines = ["\n".join(stems[i : i + LINES]) + "\n" for i in range(0, len(stems), LINES)]
+        """The same with many stems in one text: what stands between two of them is a token of its own."""
+        between = self.between
+        lines = [between.join(stems[i : i + LINES]) + between for i in range(0, len(stems), LINES)]
         flat, _ = self._encode_new(lines)
-        ends = flat == self.line_feed
+        ends = flat == self.mark
         at = np.flatnonzero(ends)
         return flat[~ends], np.diff(np.concatenate([[-1], at])) - 1
 
     def _learn(self) -> None:
+        if not self.leading_space and self.mark is not None:
+            self.parts.add(*self._encode_stems(self.parts.new))
+            return
         stems = [self._stems(p) for p in self.parts.new]
         sizes = np.fromiter(map(len, stems), np.int64, len(stems))
         at = self.stems.numbers(stems, int(sizes.sum()))
@@ -178,7 +208,7 @@ class PartEncoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text; null is empty."""
         if len(self.parts) > CACHE_WORDS:
-            self.parts, self.stems = _Ids(), _Ids()
+            self.parts, self.stems = self.parts.thin(CACHE_WORDS // 2), self.stems.thin(CACHE_WORDS // 2)
         parts = [self._parts(t) if t else [] for t in texts]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         at = self.parts.numbers(parts, int(sizes.sum()))
