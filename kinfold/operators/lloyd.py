@@ -30,6 +30,8 @@ from ..functions.vectors import as_vector
 from .kernels import CHUNK, to_matrix
 
 SINGLE_DRAWS = 16
+# Sums of centres, of all parts of the table, that the driver takes in one round.
+PART_BYTES = 16 << 20
 # Rows whose distances to all centres are worked out at a time, at most.
 CHUNK_ROWS = 2048
 TOL = 1e-4
@@ -221,14 +223,17 @@ def _sums(data: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray,
                 names=["centre", "n", "s"],
             )
 
-    sums = [F.sum(F.get("s", F.lit(i))) for i in range(width)]
     parts = data.mapInArrow(add, "centre int, n bigint, s array<double>")
-    # One row per centre.
-    got = parts.groupBy("centre").agg(F.sum("n").alias("n"), F.array(*sums).alias("s")).toArrow()
+    # One row per centre; where the sums of all parts are few, the driver adds them up without a shuffle.
+    if data.rdd.getNumPartitions() * int(ends[-1]) * width * 8 > PART_BYTES:
+        sums = [F.sum(F.get("s", F.lit(i))) for i in range(width)]
+        parts = parts.groupBy("centre").agg(F.sum("n").alias("n"), F.array(*sums).alias("s"))
+    got = parts.toArrow()
     at = got["centre"].to_numpy()
     count, total = np.zeros(int(ends[-1])), np.zeros((int(ends[-1]), width))
     if len(at):
-        count[at], total[at] = got["n"].to_numpy(), to_matrix(got["s"])
+        np.add.at(count, at, got["n"].to_numpy())
+        np.add.at(total, at, to_matrix(got["s"]))
     return list(zip(np.split(count, ends[:-1]), np.split(total, ends[:-1]), strict=True))
 
 

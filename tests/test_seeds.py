@@ -45,3 +45,13 @@ def test_equal_rows_give_one_centre(spark):
     df = spark.createDataFrame([([1.0, 2.0],)] * 5, "v array<double>")
     fit = kmeans.fit_kmeans(df, "v", 3, n_init=2)
     assert fit.centers == [[1.0, 2.0]] and fit.cost == 0.0
+
+
+def test_sums_are_alike_with_and_without_a_shuffle(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(90, 4))
+    df = spark.createDataFrame([(r,) for r in x.tolist()], "v array<double>").repartition(5).persist()
+    centers = [x[:3], x[3:8]]
+    few = lloyd._sums(df, centers)
+    monkeypatch.setattr(lloyd, "PART_BYTES", 0)
+    for (n, s), (m, t) in zip(few, lloyd._sums(df, centers), strict=True):
+        assert n.sum() == 90 and (n == m).all() and np.allclose(s, t, atol=1e-12)
