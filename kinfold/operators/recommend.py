@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import similarity
+from ..session import cut_lineage
 from .clusters import small_side
 from .knn import knn
 from .sample import hash_order, sample_n, sample_per_group
@@ -27,8 +28,9 @@ def _finish(near: DataFrame, n: int, query_col: str, id_col: str) -> DataFrame:
 
 def _bounded(near: DataFrame) -> DataFrame:
     """Few queries have few neighbours: broadcast those, so labels and rows of the big table are
-    looked up where they lie instead of being shuffled."""
-    return small_side(near)
+    looked up where they lie instead of being shuffled. The search behind them is run here, once: looking at the
+    size of many and joining them must not be a search each."""
+    return small_side(cut_lineage(near))
 
 
 def _first_rows(df: DataFrame | None, id_col: str, row_order: str | None) -> DataFrame | None:

@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from kinfold.operators import recommend
 from kinfold.operators.blocks import MIN_GROUPS, group_count
 from kinfold.operators.inverted import build_inverted, knn_inverted
 from kinfold.operators.knn import knn
@@ -41,3 +42,20 @@ def test_probes_meet_in_groups(spark):
     assert sorted(near.select("query_id", "rank", "id").collect()) == sorted(want.select("query_id", "rank", "id").collect())
     some = knn_inverted(index, df.where("id % 5 = 0"), id_col="id", features="v", k=4, probes=3)
     assert some.groupBy("query_id").count().where(F.col("count") <= 4).count() == 80
+
+
+def test_neighbours_are_searched_once(spark, monkeypatch):
+    """Whether neighbours are few is seen from the finished search, which the joins then read too."""
+    df = _vectors(spark).withColumn("cluster", F.col("id") % 3)
+    looked = []
+
+    def looked_at(side, *args):
+        looked.append(side._jdf.queryExecution().optimizedPlan().toString())
+        return side
+
+    many = {"max_broadcast_queries": 0, "block_rows": 64, "max_pivots": 4}
+    want = recommend.similar(df, id_col="id", features="v", rows=df.select("id", "v")).drop("v").collect()
+    monkeypatch.setattr(recommend, "small_side", looked_at)
+    got = recommend.similar(df, id_col="id", features="v", rows=df.select("id", "v"), **many).drop("v").collect()
+    assert len(looked) == 2 and not any("CoGroups" in p or "Join" in p for p in looked)
+    assert sorted(got) == sorted(want)
