@@ -12,10 +12,13 @@ A document's set is its distinct `n`-word shingles, hashed once. Its sketch is t
 * Signature: the parities of 512 counts, one for each remainder of the hashes. Two sets differ in at most as many
   bits as in shingles, of which the threshold allows (1 - t) / (1 + t) of both sizes; pairs beyond that never
   leave the list, so a list of m unlike classes gives few rows rather than m squared. Nothing is lost by it.
+  512 bits tell nothing of sets so large that the threshold allows them some 256 (half the bits differ in unlike
+  sets). Sets of more than 512 shingles have a wide signature as well, which the pairs found are held against.
 * Union sketch: the k smallest values of two sketches together are the sketch of the union. The share of them
   that both hold estimates the similarity; pairs below `least` go. A union of fewer than k is known whole, and
   pairs of it go below the threshold itself.
-* Exact: the full sets of the pairs left are intersected.
+* Exact: the full sets of the pairs left are intersected. Pairs travel with their texts, which take less room than
+  their sets; sketches and sets are made again from them.
 
 For sets above threshold * k the estimate is a draw of k values without replacement, of which at least 80 % are
 shared in truth. With k = 512 and least = 0.67 the chance that a linked pair falls below is at most
@@ -51,6 +54,11 @@ PIECE_BYTES = 512 << 10
 #: Values that at least COMMON_COUNT classes of one task's share retain come last in the order; the COMMON
 #: commonest of them (16 bytes each) are sent to the tasks. The order decides what is looked at, not what is found.
 COMMON, COMMON_COUNT, COUNT_AT_ONCE = 1 << 18, 3, 1_000_000
+#: The bitmap of the texts that pairs need has this many bits a text (so about 1 in 16 of the others is moved too),
+#: and at most 2**MAX_BITS (16 MB in the tasks).
+BITS_A_TEXT, MAX_BITS = 16, 26
+#: Sets of more shingles than this have a wide signature too.
+WIDE = 512
 SIGNATURE_LONGS = 8
 SIGNATURE = [f"s{i}" for i in range(SIGNATURE_LONGS)]
 
@@ -86,6 +94,38 @@ def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
+def _wide(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and longs of a signature of two to four bits a shingle, for the sets of more than `WIDE` shingles."""
+    size = np.diff(first)
+    big = size > WIDE
+    bits = np.where(big, 1 << np.ceil(np.log2(2 * np.maximum(size, 1))).astype(np.int64), 0)
+    offsets = np.concatenate([[0], np.cumsum(bits >> 6)])
+    out = np.zeros(offsets[-1], dtype=np.uint64)
+    doc = np.repeat(np.arange(len(size)), size)
+    doc, values = doc[big[doc]], values[big[doc]]
+    at = K.mix(values) & (bits[doc] - 1).astype(np.uint64)
+    np.bitwise_xor.at(out, offsets[doc] + (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+    return offsets, out
+
+
+def _wide_possible(percent: int):
+    @F.arrow_udf("boolean")
+    def possible(n: pa.Array, x: pa.Array, m: pa.Array, y: pa.Array) -> pa.Array:
+        """The bound by wide signatures. Folding one in half gives the signature of half the bits."""
+        (xs, xo), (ys, yo) = ((c.flatten().to_numpy(), c.offsets.to_numpy() - c.offsets[0].as_py()) for c in (x, y))
+        bits = np.zeros(len(x), dtype=np.int64)
+        for i in range(len(x)):
+            a, b = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
+            while len(a) > len(b):
+                a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+            while len(b) > len(a):
+                b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+            bits[i] = np.bitwise_count((a ^ b).view(np.uint64)).sum()
+        return pa.array((100 + percent) * bits <= (100 - percent) * (n.to_numpy() + m.to_numpy()))
+
+    return possible
+
+
 def _firsts(first: np.ndarray, take: np.ndarray) -> np.ndarray:
     """Places of the first `take` entries of each stretch."""
     ends = np.cumsum(take)
@@ -135,16 +175,17 @@ def _rows(docs: DataFrame, id_col: str, text: str, n: int, k: int, percent: int,
                         pa.array(K.mix(two).view(np.int64)),
                         pa.array(np.arange(row, row + b - a)),
                         _lists(np.concatenate([[0], np.cumsum(take)]), listed),
+                        _lists(*_wide(values, first)),
                         *[pa.array(np.ascontiguousarray(c)) for c in signature.T],
                     ],
-                    names=["__id", "__th", "n", "h1", "h2", "row", "listed", *SIGNATURE],
+                    names=["__id", "__th", "n", "h1", "h2", "row", "listed", "wide", *SIGNATURE],
                 )
                 row += b - a
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(*row_key(id_col, text), text).mapInArrow(
         run,
-        f"__id {kind}, __th bigint, n bigint, h1 bigint, h2 bigint, row bigint, listed array<bigint>, "
+        f"__id {kind}, __th bigint, n bigint, h1 bigint, h2 bigint, row bigint, listed array<bigint>, wide array<bigint>, "
         + ", ".join(f"{c} bigint" for c in SIGNATURE),
     )
 
@@ -221,80 +262,125 @@ def _estimate(k: int, percent: int, least: int):
     return near
 
 
-def _similar(percent: int):
+def _similar(k: int, percent: int, least: int, n: int):
+    near = _estimate(k, percent, least).func
+
     @F.arrow_udf("boolean")
     def reaches(x: pa.Array, y: pa.Array) -> pa.Array:
-        xs, ys = (c.flatten().to_numpy() for c in (x, y))
-        xo, yo = (c.offsets.to_numpy() - c.offsets[0].as_py() for c in (x, y))
+        """Whether the sets of two texts reach the threshold, of those pairs that the union sketch lets through."""
         out = np.zeros(len(x), dtype=bool)
-        for i in range(len(x)):
-            a, b = xs[xo[i] : xo[i + 1]], ys[yo[i] : yo[i + 1]]
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            out[i] = 100 * both >= percent * (len(a) + len(b) - both)
+        for a, b in K.pieces(x, PIECE_BYTES):
+            for c, d in K.pieces(y[a:b], PIECE_BYTES):
+                out[a + c : a + d] = _reach(x[a + c : a + d], y[a + c : a + d], n, k, percent, near)
         return pa.array(out)
 
     return reaches
 
 
+def _reach(x: pa.Array, y: pa.Array, n: int, k: int, percent: int, near) -> np.ndarray:
+    sides, heads = [], []
+    for texts in (x, y):
+        # A text that is in many pairs is cut once.
+        texts = texts.dictionary_encode()
+        values, first, places, cuts = _sketch(texts.dictionary, n, k)
+        at = texts.indices.to_numpy()
+        sides.append((values, first[at], first[at + 1]))
+        heads.append(_lists(cuts, values[places]).take(texts.indices))
+    out = near(*heads).to_numpy(zero_copy_only=False).copy()
+    (xs, x0, x1), (ys, y0, y1) = sides
+    for i in np.flatnonzero(out):
+        a, b = xs[x0[i] : x1[i]], ys[y0[i] : y1[i]]
+        both = len(np.intersect1d(a, b, assume_unique=True))
+        out[i] = 100 * both >= percent * (len(a) + len(b) - both)
+    return out
+
+
 class _Search:
     def __init__(self, docs: DataFrame, id_col: str, text: str, n: int, percent: int, k: int, least: int):
         if not 0 < least <= percent <= 100:
             raise ValueError("the least share of the estimate must be above 0 and at most the threshold")
         self.docs, self.id_col, self.text = docs, id_col, text
         self.n, self.percent, self.k, self.least = n, percent, k, least
-        self.rows = materialise(_rows(docs, id_col, text, n, k, percent, least), "sketch-rows")
+        spark = docs.sparkSession
+        rows = materialise(_rows(docs, id_col, text, n, k, percent, least), "sketch-wide-rows")
         # One row stands for each class; all of them are listed alike.
-        self.classes = materialise(
-            self.rows.where("n > 0")
+        classes = materialise(
+            rows.where("n > 0")
             .groupBy("h1", "h2")
             .agg(
                 F.min("__id").alias("least_id"),
                 F.min(F.struct(F.col("__id").isNull(), "__id", "row", "__th", "n")).alias("f"),
-                *[F.any_value(c).alias(c) for c in ("listed", *SIGNATURE)],
+                *[F.any_value(c).alias(c) for c in ("listed", "wide", *SIGNATURE)],
             )
-            .select("h1", "h2", "least_id", F.col("f.row").alias("cls"), "f.__id", "f.__th", "f.n", "listed", *SIGNATURE),
-            "sketch-classes",
+            .select("h1", "h2", "least_id", F.col("f.row").alias("cls"), "f.__id", "f.__th", "f.n", "listed", "wide", *SIGNATURE),
+            "sketch-wide-classes",
         )
-
-    def lists(self) -> DataFrame:
+        # The listed values are read once more, for the lists; what is kept to the end goes without them.
+        self.rows = materialise(rows.select("__id", "n", "h1", "h2"), "sketch-rows")
+        release(spark, rows)
+        self.inc = self._lists(classes)
+        self.classes = materialise(classes.drop("listed"), "sketch-classes")
+        release(spark, classes)
+
+    def _lists(self, classes: DataFrame) -> DataFrame:
         """The incidences of values that at least two classes are listed under."""
-        inc = self.classes.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("listed").alias("pos", "g"))
+        inc = classes.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("listed").alias("pos", "g"))
         many = materialise(inc.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "sketch-values")
+        release(self.docs.sparkSession)
         # Both sides are tables, so each gets an exchange of its own and a hot value's rows can be split.
         out = materialise(inc.join(many, "g"), "sketch-lists")
         release(self.docs.sparkSession, many)
         return out
 
+    def _texts(self, need: DataFrame) -> DataFrame:
+        """`cls` and the text `t` of each class of `need`.
+
+        A bitmap of the needed text hashes keeps most other texts from being moved.
+        """
+        bits = 1 << min(MAX_BITS, max(10, (BITS_A_TEXT * need.count()).bit_length()))
+        bit = F.pmod(F.col("__th"), F.lit(bits))
+        held = (
+            need.select(F.shiftright(bit, 6).alias("word"), (bit % 64).cast("int").alias("bit"))
+            .groupBy("word")
+            .agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
+        )
+        texts = self.docs.select(*row_key(self.id_col, self.text), F.col(self.text).alias("t"))
+        texts = texts.withColumn("word", F.shiftright(bit, 6)).join(F.broadcast(held), "word")
+        texts = texts.where(F.getbit("mask", (bit % 64).cast("int")) == 1)
+        # Rows that agree in id and text hash are copies, and any of them serves.
+        key = [F.col("__id").isNull().alias("k0"), F.coalesce(F.col("__id").cast("string"), F.lit("")).alias("k1")]
+        key.append(F.col("__th").alias("k2"))
+        once = texts.select(*key, "t").dropDuplicates(["k0", "k1", "k2"])
+        return once.join(need.select("cls", *key), ["k0", "k1", "k2"]).select("cls", "t")
+
+    def _like(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that wide signatures, where both classes have one, leave possible."""
+        wide = self.classes.where(F.size("wide") > 0).select("cls", "n", "wide")
+        for end in ("a", "b"):
+            pairs = pairs.join(wide.withColumnsRenamed({"cls": end, "n": f"{end}_n", "wide": f"{end}_wide"}), end, "left")
+        both = F.col("a_n").isNotNull() & F.col("b_n").isNotNull()
+        # The rest have no signature to compare: an empty one differs in no bit.
+        sides = [F.when(both, F.col(c)).otherwise(none) for c, none in (
+            ("a_n", F.lit(0)), ("a_wide", F.array().cast("array<bigint>")), ("b_n", F.lit(0)), ("b_wide", F.array().cast("array<bigint>"))
+        )]
+        out = materialise(pairs.where(_wide_possible(self.percent)(*sides)).select("a", "b"), "sketch-like")
+        release(self.docs.sparkSession)
+        return out
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """The pairs (`a`, `b`) that the union sketch and then the full sets confirm."""
+        pairs = self._like(pairs)
         ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+        spark = self.docs.sparkSession
         need = materialise(self.classes.join(ends, "cls", "left_semi").select("cls", "__id", "__th"), "sketch-ends")
-        n = self.n
-
-        @F.arrow_udf("array<bigint>")
-        def sets(t: pa.Array) -> pa.Array:
-            parts = [shingles(t[a:b], n) for a, b in K.pieces(t, PIECE_BYTES)] or [shingles(t, n)]
-            sizes = np.concatenate([np.diff(f) for _, f in parts])
-            return _lists(np.concatenate([[0], np.cumsum(sizes)]), np.concatenate([v for v, _ in parts]))
-
-        texts = self.docs.select(*row_key(self.id_col, self.text), F.col(self.text).alias("t"))
-        same = texts["__id"].eqNullSafe(need["__id"]) & (texts["__th"] == need["__th"])
-        # Rows that agree in id and text hash are copies, and any of them serves.
-        found = materialise(
-            texts.join(need, same).select("cls", sets("t").alias("grams")).dropDuplicates(["cls"]), "sketch-sets"
-        )
-
-        def both(some: DataFrame, held: DataFrame) -> DataFrame:
-            return some.join(held.withColumnsRenamed({"cls": "a", "grams": "ga"}), "a").join(
-                held.withColumnsRenamed({"cls": "b", "grams": "gb"}), "b"
-            )
-
-        # Sets are ascending, so a sketch is the head of its set.
-        sketch = found.select("cls", F.slice("grams", 1, self.k).alias("grams"))
-        near = both(pairs, sketch).where(_estimate(self.k, self.percent, self.least)("ga", "gb")).select("a", "b")
-        near = materialise(near, "sketch-near")
-        out = materialise(both(near, found).where(_similar(self.percent)("ga", "gb")).select("a", "b"), "sketch-links")
-        release(self.docs.sparkSession, near, need, found)
+        found = materialise(self._texts(need), "sketch-texts")
+        release(spark, need)
+        # Both are tables, so a class of many pairs can be split.
+        met = pairs.join(found.withColumnsRenamed({"cls": "a", "t": "ta"}), "a")
+        met = met.join(found.withColumnsRenamed({"cls": "b", "t": "tb"}), "b")
+        confirmed = _similar(self.k, self.percent, self.least, self.n)("ta", "tb")
+        out = materialise(met.where(confirmed).select("a", "b"), "sketch-links")
+        release(spark, found, pairs)
         return out
 
     def _sizes(self, n, m):
@@ -352,13 +438,14 @@ class _Search:
 
     def components(self) -> DataFrame:
         """`cls`, `component` (a class) of the classes with links."""
-        inc = self.lists()
+        inc = self.inc
         pairs = self._stars(inc)
         links = self.linked(pairs)
         labels = components(links).select(F.col("node").alias("cls"), "component")
         now = inc.join(labels, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-        rest = self._others(materialise(now, "sketch-now"))
+        now = materialise(now, "sketch-now")
         release(self.docs.sparkSession, inc)
+        rest = self._others(now)
         rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "sketch-pairs")
         if rest.isEmpty():
             return labels

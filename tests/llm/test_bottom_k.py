@@ -76,6 +76,37 @@ def test_union_estimate():
     assert got.to_pylist() == want
 
 
+def test_wide_signatures_tell_large_sets_apart():
+    rng = np.random.RandomState(2)
+    base = rng.randint(0, 2**62, 3000).astype(np.uint64)
+    fresh = rng.randint(0, 2**62, 3000).astype(np.uint64)
+    # Two linked sets, of signatures of unlike lengths; two unlike ones, which 512 bits leave possible; a small set.
+    sets = [base[:2200], base[:2000], fresh[:2200], fresh[2200:2700]]
+    values, first = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
+    narrow = B._signatures(values, first)
+    bits = int(np.bitwise_count(narrow[0] ^ narrow[2]).sum())
+    assert 180 * bits <= 20 * (2200 + 2200)
+    wide = B._lists(*B._wide(values, first))
+    assert [len(w) for w in wide] == [128, 64, 128, 0]
+    n = pa.array([len(s) for s in sets])
+    got = B._wide_possible(80).func(n.take(pa.array([0, 1, 0])), wide.take(pa.array([0, 1, 0])), n.take(pa.array([1, 0, 2])), wide.take(pa.array([1, 0, 2])))
+    assert got.to_pylist() == [True, True, False]
+
+
+def test_large_sets_equal_all_pairs(spark):
+    rng = random.Random(16)
+    rows = corpus(rng, 8, [700, 1400, 2300])
+    assert found(spark, rows) == sorted(brute(rows, n=2), key=str)
+
+
+def test_repeated_rows_give_one_text(spark):
+    rng = random.Random(17)
+    ws = [f"w{i}" for i in range(700)]
+    rows = [(1, " ".join(ws))] * 3 + [(None, " ".join(mutated(rng, ws, 2)))] * 2 + [(7, " ".join(mutated(rng, ws, 3)))]
+    out = B.near_copies(spark.createDataFrame(rows, KIND))
+    assert sorted((str(r.doc_id), r.component_id) for r in out.collect()) == [("1", 1)] * 3 + [("7", 1)] + [("None", 1)] * 2
+
+
 def test_awkward_tables(spark, awkward, none, clashing):
     rows = [(r.doc_id, r.text) for r in awkward.collect()]
     numbered = [(i, t) for i, (_, t) in enumerate(rows)]
