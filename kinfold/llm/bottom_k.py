@@ -9,11 +9,14 @@ A document's set is its distinct `n`-word shingles, hashed once. Its sketch is t
   its first values only. Sets of at most threshold * k shingles are known whole with any partner of theirs:
   they are listed under their first n - threshold * n + 1 values, and nothing can be lost.
 * Sizes: a pair goes where the smaller set is too small for the larger one.
-* Signature: the parities of 512 counts, one for each remainder of the hashes. Two sets differ in at most as many
-  bits as in shingles, of which the threshold allows (1 - t) / (1 + t) of both sizes; pairs beyond that never
-  leave the list, so a list of m unlike classes gives few rows rather than m squared. Nothing is lost by it.
-  512 bits tell nothing of sets so large that the threshold allows them some 256 (half the bits differ in unlike
-  sets). Sets of more than 512 shingles have a wide signature as well, which the pairs found are held against.
+* Places: the first value that two linked sets share, in the common order, stands before all others they share, so
+  enough must be left of both behind it. A class that no other of a list can meet in this way leaves the list.
+* Signature: the parities of counts, one for each remainder of the sketch's hashes: 512, or 1,024 for sets of more than
+  384 shingles. Two sketches differ in at least as many values as bits. The threshold allows sets known whole to differ
+  in (1 - t) / (1 + t) of both sizes, and other sketches in all but 2 * least * k values of the two; pairs beyond that
+  never leave the list, so a list of m unlike classes gives few rows rather than m squared. Nothing is lost by it that
+  the union sketch would not drop. Sets of more than 512 shingles have a wide signature of the whole set as well,
+  which the pairs found are held against.
 * Union sketch: the k smallest values of two sketches together are the sketch of the union. The share of them
   that both hold estimates the similarity; pairs below `least` go. A union of fewer than k is known whole, and
   pairs of it go below the threshold itself.
@@ -37,11 +40,13 @@ there is none); repeated rows are one class; an empty table gives an empty resul
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
@@ -57,10 +62,14 @@ COMMON, COMMON_COUNT, COUNT_AT_ONCE = 1 << 18, 3, 1_000_000
 #: The bitmap of the texts that pairs need has this many bits a text (so about 1 in 16 of the others is moved too),
 #: and at most 2**MAX_BITS (16 MB in the tasks).
 BITS_A_TEXT, MAX_BITS = 16, 26
+#: Classes and lists are made in so many passes, each of which shuffles a part of the keys: less disk is held at once.
+PASSES = 2
 #: Sets of more shingles than this have a wide signature too.
 WIDE = 512
 SIGNATURE_LONGS = 8
-SIGNATURE = [f"s{i}" for i in range(SIGNATURE_LONGS)]
+#: Sets of more shingles than this have a signature of twice the length.
+NARROW = 384
+SIGNATURE = [f"s{i}" for i in range(2 * SIGNATURE_LONGS)]
 
 
 def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,16 +93,25 @@ def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     return upto[first[1:]] - upto[first[:-1]]
 
 
-def _signatures(values: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """A row of `SIGNATURE_LONGS` longs per text: how often, modulo 2, its hashes fall on each bit."""
+def _signatures(values: np.ndarray, first: np.ndarray, longs: int = SIGNATURE_LONGS) -> np.ndarray:
+    """A row of `longs` longs per text: how often, modulo 2, its hashes fall on each bit."""
     size = np.diff(first)
-    out = np.zeros((len(size), SIGNATURE_LONGS), dtype=np.uint64)
-    at = K.mix(values) % np.uint64(64 * SIGNATURE_LONGS)
+    out = np.zeros((len(size), longs), dtype=np.uint64)
+    at = K.mix(values) % np.uint64(64 * longs)
     long = (at >> np.uint64(6)).astype(np.int64)
     np.bitwise_xor.at(out, (np.repeat(np.arange(len(size)), size), long), np.uint64(1) << (at & np.uint64(63)))
     return out
 
 
+def _sketch_signatures(kept: np.ndarray, cuts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Signatures of the sketches of sets of so many shingles; half of a narrow one's row is zero."""
+    out = _signatures(kept, cuts, 2 * SIGNATURE_LONGS)
+    narrow = size <= NARROW
+    out[narrow, :SIGNATURE_LONGS] ^= out[narrow, SIGNATURE_LONGS:]
+    out[narrow, SIGNATURE_LONGS:] = 0
+    return out
+
+
 def _wide(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Offsets and longs of a signature of two to four bits a shingle, for the sets of more than `WIDE` shingles."""
     size = np.diff(first)
@@ -157,8 +175,8 @@ def _rows(docs: DataFrame, id_col: str, text: str, n: int, k: int, percent: int,
                 size = np.diff(first)
                 one = _sums(K.mix(values), first) + size.astype(np.uint64)
                 two = _sums(K.mix(values ^ np.uint64(0xA5A5A5A5A5A5A5A5)), first)
-                signature = _signatures(values, first).view(np.int64)
                 kept = values[places]
+                signature = _sketch_signatures(kept, cuts, size).view(np.int64)
                 late = np.zeros(len(kept), dtype=np.int64)
                 if len(common):
                     at = np.minimum(np.searchsorted(common, kept), len(common) - 1)
@@ -295,6 +313,12 @@ def _reach(x: pa.Array, y: pa.Array, n: int, k: int, percent: int, near) -> np.n
     return out
 
 
+def _folded(prefix: str = "") -> list:
+    """The signature in `SIGNATURE_LONGS` columns, whatever the set's size."""
+    half = SIGNATURE_LONGS
+    return [F.col(prefix + a).bitwiseXOR(F.col(prefix + b)) for a, b in zip(SIGNATURE[:half], SIGNATURE[half:], strict=True)]
+
+
 class _Search:
     def __init__(self, docs: DataFrame, id_col: str, text: str, n: int, percent: int, k: int, least: int):
         if not 0 < least <= percent <= 100:
@@ -304,9 +328,10 @@ class _Search:
         spark = docs.sparkSession
         rows = materialise(_rows(docs, id_col, text, n, k, percent, least), "sketch-wide-rows")
         # One row stands for each class; all of them are listed alike.
-        classes = materialise(
-            rows.where("n > 0")
-            .groupBy("h1", "h2")
+        parts = self._passes(
+            rows.where("n > 0"),
+            "h1",
+            lambda part: part.groupBy("h1", "h2")
             .agg(
                 F.min("__id").alias("least_id"),
                 F.min(F.struct(F.col("__id").isNull(), "__id", "row", "__th", "n")).alias("f"),
@@ -318,20 +343,41 @@ class _Search:
         # The listed values are read once more, for the lists; what is kept to the end goes without them.
         self.rows = materialise(rows.select("__id", "n", "h1", "h2"), "sketch-rows")
         release(spark, rows)
-        self.inc = self._lists(classes)
+        classes = reduce(DataFrame.unionByName, parts)
+        self.lists = self._lists(classes)
         self.classes = materialise(classes.drop("listed"), "sketch-classes")
-        release(spark, classes)
-
-    def _lists(self, classes: DataFrame) -> DataFrame:
-        """The incidences of values that at least two classes are listed under."""
-        inc = classes.select("cls", F.col("n").cast("int").alias("n"), F.posexplode("listed").alias("pos", "g"))
-        many = materialise(inc.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("g"), "sketch-values")
-        release(self.docs.sparkSession)
-        # Both sides are tables, so each gets an exchange of its own and a hot value's rows can be split.
-        out = materialise(inc.join(many, "g"), "sketch-lists")
-        release(self.docs.sparkSession, many)
+        release(spark, *parts)
+
+    def _passes(self, table: DataFrame, key: str, made, label: str) -> list[DataFrame]:
+        """`made` of the rows of each part of the keys, written one after the other."""
+        out = []
+        for i in range(PASSES):
+            out.append(materialise(made(table.where(F.pmod(F.col(key), F.lit(PASSES)) == i)), label))
+            release(self.docs.sparkSession)
         return out
 
+    def _lists(self, classes: DataFrame) -> list[DataFrame]:
+        """The incidences at which a class can meet another one, with one class (`y`, its size `m` and place `q`) of
+        what is left of each list: the one with the fewest rarer values."""
+        p = self.percent
+        inc = classes.select("cls", "n", F.posexplode("listed").alias("pos", "g"))
+        # `p` times the size of the largest set that this one can meet there. The places bound sets known whole.
+        whole = 100 * F.col("n") <= p * self.k
+        reach = F.when(whole, (100 + p) * (F.col("n") - F.col("pos")) - p * F.col("n")).otherwise(100 * F.col("n"))
+        inc = inc.withColumn("reach", reach)
+
+        def met(inc: DataFrame) -> DataFrame:
+            # Of two classes that can meet, the smaller one reaches the larger one.
+            by_size = Window.partitionBy("g").orderBy("n")
+            larger = p * F.lead("n").over(by_size) <= F.col("reach")
+            smaller = F.max("reach").over(by_size.rowsBetween(Window.unboundedPreceding, -1)) >= p * F.col("n")
+            inc = inc.withColumn("larger", larger).withColumn("smaller", smaller).where("larger or smaller")
+            star = F.min(F.struct("pos", F.xxhash64("cls").alias("o"), "cls", "n")).over(Window.partitionBy("g"))
+            inc = inc.select("g", "cls", "n", "pos", star.alias("s"))
+            return inc.select("g", "cls", "n", "pos", F.col("s.cls").alias("y"), F.col("s.n").alias("m"), F.col("s.pos").alias("q"))
+
+        return self._passes(inc, "g", met, "sketch-lists")
+
     def _texts(self, need: DataFrame) -> DataFrame:
         """`cls` and the text `t` of each class of `need`.
 
@@ -386,30 +432,34 @@ class _Search:
     def _sizes(self, n, m):
         return 100 * F.least(n, m) >= self.percent * F.greatest(n, m)
 
+    def _meets(self, n, i, m, j):
+        """The bounds by sizes and, where both sets are known whole, by the places of the list's value in them."""
+        p = self.percent
+        left = (100 + p) * F.least(n - i, m - j) >= p * (n + m)
+        return self._sizes(n, m) & ((F.greatest(n, m) > self.k) | left)
+
     def _possible(self, n, m, s, t):
-        """The bounds by set sizes and signatures for two classes of one list."""
+        """The bounds by set sizes and by signatures `s`, `t` for two classes of one list."""
         p = self.percent
-        bits = F.bit_count(s[0].bitwiseXOR(t[0]))
-        for a, b in zip(s[1:], t[1:], strict=True):
-            bits = bits + F.bit_count(a.bitwiseXOR(b))
-        return self._sizes(n, m) & ((100 + p) * bits <= (100 - p) * (n + m))
+        differ = reduce(add, [F.bit_count(a.bitwiseXOR(b)) for a, b in zip(s, t, strict=True)])
+        # A union of more than k values must share `least` of its first k; both sketches hold those.
+        shared = -(-self.least * self.k // 100)
+        held = F.least(n, F.lit(self.k)) + F.least(m, F.lit(self.k)) - 2 * shared
+        near = F.when(F.greatest(n, m) > self.k, differ <= held).otherwise((100 + p) * differ <= (100 - p) * (n + m))
+        return self._sizes(n, m) & near
 
     def _stars(self, now: DataFrame) -> DataFrame:
         """Each class with one class of each list it is in."""
-        star = materialise(
-            now.groupBy("g")
-            .agg(F.min(F.struct("pos", F.xxhash64("cls").alias("o"), "cls", "n")).alias("s"))
-            .select("g", F.col("s.cls").alias("y"), F.col("s.n").alias("m")),
-            "sketch-stars",
-        )
-        met = now.join(star, "g").where("cls <> y").where(self._sizes(F.col("n"), F.col("m")))
+        met = now.where("cls <> y").where(self._meets(F.col("n"), F.col("pos"), F.col("m"), F.col("q")))
         pairs = self._distinct(met.select(F.col("cls").alias("x"), "y"))
-        release(self.docs.sparkSession, star)
         signed = self.classes.select("cls", "n", *SIGNATURE)
         for end in ("a", "b"):
             pairs = pairs.join(signed.withColumnsRenamed({c: f"{end}_{c}" for c in ("n", *SIGNATURE)}).withColumnRenamed("cls", end), end)
-        sides = [F.col(f"a_{c}") for c in SIGNATURE], [F.col(f"b_{c}") for c in SIGNATURE]
-        out = materialise(pairs.where(self._possible(F.col("a_n"), F.col("b_n"), *sides)).select("a", "b"), "sketch-pairs")
+        n, m = F.col("a_n"), F.col("b_n")
+        wide = self._possible(n, m, *([F.col(f"{end}_{c}") for c in SIGNATURE] for end in ("a", "b")))
+        narrow = self._possible(n, m, *(_folded(f"{end}_") for end in ("a", "b")))
+        pairs = pairs.where(F.when(F.least(n, m) > NARROW, wide).otherwise(narrow))
+        out = materialise(pairs.select("a", "b"), "sketch-pairs")
         release(self.docs.sparkSession)
         return out
 
@@ -423,28 +473,47 @@ class _Search:
             .select("g", F.col("top.comp").alias("big")),
             "sketch-open",
         )
-        left = now.drop("pos", "n").join(open_, "g").join(self.classes.select("cls", "n", *SIGNATURE), "cls")
-        left = materialise(left, "sketch-open-lists")
+        left = now.join(open_, "g").withColumn("top", F.col("comp") == F.col("big")).drop("big")
+        left = materialise(left.join(self.classes.select("cls", *SIGNATURE), "cls"), "sketch-open-lists")
         release(self.docs.sparkSession, now, open_)
-        # Both sides are the same rows, so they are shuffled once.
-        x, y = left.alias("x"), left.alias("y")
-        once = (F.col("x.comp") != F.col("x.big")) & ((F.col("y.comp") == F.col("y.big")) | (F.col("x.cls") < F.col("y.cls")))
-        met = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") != F.col("y.comp")) & once)
-        sides = [F.col(f"x.{c}") for c in SIGNATURE], [F.col(f"y.{c}") for c in SIGNATURE]
-        met = met.where(self._possible(F.col("x.n"), F.col("y.n"), *sides))
-        pairs = self._distinct(met.select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y")))
+        # Pairs with a narrow set, by signatures of one length, and pairs of others.
+        few = SIGNATURE[:SIGNATURE_LONGS]
+        columns = [F.col(c) for c in ("g", "cls", "n", "pos", "comp", "top")]
+        narrow = left.where(self.percent * F.col("n") <= 100 * NARROW)
+        narrow = narrow.select(*columns, *[s.alias(c) for s, c in zip(_folded(), few, strict=True)])
+        found = self._met(narrow, few, F.least(F.col("x.n"), F.col("y.n")) <= NARROW)
+        found = found.unionByName(self._met(left.where(F.col("n") > NARROW).select(*columns, *SIGNATURE), SIGNATURE))
+        pairs = self._distinct(found)
         release(self.docs.sparkSession, left)
         return pairs
 
+    def _met(self, left: DataFrame, signature: list[str], which=None) -> DataFrame:
+        """The pairs (`x`, `y`) of `left` that can be linked, once for each list."""
+        outside, top = left.where("not top").drop("top"), left.where("top").drop("top")
+        # Three of the four sides are the same rows under the same conditions, so each row is shuffled once.
+        apart = (F.col("x.g") == F.col("y.g")) & (F.col("x.comp") != F.col("y.comp"))
+        found = []
+        for others, once in ((top, F.col("x.cls") != F.col("y.cls")), (outside, F.col("x.cls") < F.col("y.cls"))):
+            met = outside.alias("x").join(others.alias("y"), apart & once)
+            if which is not None:
+                met = met.where(which)
+            met = met.where(self._meets(F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
+            sides = [F.col(f"x.{c}") for c in signature], [F.col(f"y.{c}") for c in signature]
+            met = met.where(self._possible(F.col("x.n"), F.col("y.n"), *sides))
+            found.append(met.select(F.col("x.cls").alias("x"), F.col("y.cls").alias("y")))
+        return found[0].unionByName(found[1])
+
     def components(self) -> DataFrame:
         """`cls`, `component` (a class) of the classes with links."""
-        inc = self.inc
+        inc = reduce(DataFrame.unionByName, self.lists)
         pairs = self._stars(inc)
         links = self.linked(pairs)
         labels = components(links).select(F.col("node").alias("cls"), "component")
-        now = inc.join(labels, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
+        # What meets the class that stands for a list has been seen.
+        now = inc.where("cls <> y").select("g", "cls", "n", "pos").join(labels, "cls", "left")
+        now = now.withColumn("comp", F.coalesce("component", "cls")).drop("component")
         now = materialise(now, "sketch-now")
-        release(self.docs.sparkSession, inc)
+        release(self.docs.sparkSession, *self.lists)
         rest = self._others(now)
         rest = materialise(rest.join(pairs, ["a", "b"], "left_anti"), "sketch-pairs")
         if rest.isEmpty():

@@ -5,6 +5,7 @@ import random
 import numpy as np
 import pyarrow as pa
 from kinfold.llm import bottom_k as B
+from pyspark.sql import functions as F
 
 from .test_quality_jaccard import brute
 
@@ -93,6 +94,34 @@ def test_wide_signatures_tell_large_sets_apart():
     assert got.to_pylist() == [True, True, False]
 
 
+def search(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), KIND)
+    found = B._Search(docs, "doc_id", "text", B.N, B.PERCENT, B.SKETCH, B.LEAST_PERCENT)
+    return found, found.lists[0].unionByName(found.lists[1])
+
+
+def test_large_sets_that_share_little_make_no_pair(spark):
+    # A tenth in common: 512 bits leave the pair possible, twice as many of the sketch do not.
+    shared = [f"s{i}" for i in range(130)]
+    one, lists = search(spark, [" ".join(shared + [f"{c}{i}" for i in range(1200)]) for c in "ab"])
+    assert lists.count() > 0
+    assert one._stars(lists).count() == 0
+
+
+def test_lists_hold_what_can_meet_there(spark):
+    # Sizes too far apart; then one size, of which one class must list the value among its first ninth.
+    _, lists = search(spark, [" ".join(f"w{i}" for i in range(n)) for n in (50, 100)])
+    assert lists.count() == 0
+    _, lists = search(spark, [" ".join([f"{c}{i}" for i in range(90)] + [f"w{i}" for i in range(60)]) for c in "abc"])
+    assert lists.groupBy("g").agg(F.min("pos").alias("first")).where("first > 17").count() == 0
+
+
+def test_sizes_around_those_of_signatures_equal_all_pairs(spark):
+    rng = random.Random(18)
+    rows = corpus(rng, 14, [330, 380, 400, 470, 520, 640], shared=4)
+    assert found(spark, rows) == sorted(brute(rows, n=2), key=str)
+
+
 def test_large_sets_equal_all_pairs(spark):
     rng = random.Random(16)
     rows = corpus(rng, 8, [700, 1400, 2300])
