@@ -51,6 +51,29 @@ def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _near(a: np.ndarray, b: np.ndarray, eps2: float) -> np.ndarray:
+    """`_squares(a, b) <= eps2`, by one matrix product but where its rounding leaves that open."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        aa, bb = np.einsum("ij,ij->i", a, a), np.einsum("ij,ij->i", b, b)
+        # All sums above and below, the product included, are off by less than this in all.
+        off = 16 * (a.shape[1] + 4) * np.finfo(float).eps * (aa.max(initial=0.0) + bb.max(initial=0.0))
+        off += np.finfo(float).tiny
+        d2 = a @ (-2.0 * b.T)
+        d2 += aa[:, None]
+        d2 += bb
+        near = d2 < eps2 - off
+        i, k = np.nonzero(~(near | (d2 > eps2 + off)))
+    if 4 * len(i) > d2.size:
+        return _squares(a, b) <= eps2
+    if len(i):
+        out = np.zeros(len(i))
+        for j in range(a.shape[1]):
+            t = a[i, j] - b[k, j]
+            out += t * t
+        near[i, k] = out <= eps2
+    return near
+
+
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges (root, node) that join each component of a two-sided graph; nodes are rows, then columns."""
     n, m = near.shape
@@ -194,7 +217,7 @@ class _Halo:
                     if one["high"].as_py() + one["b_high"].as_py() <= eps * (1 - SLACK):
                         near = None
                     else:
-                        near = _squares(to_matrix(one["v"].values), to_matrix(one["b_v"].values)) <= eps2
+                        near = _near(to_matrix(one["v"].values), to_matrix(one["b_v"].values), eps2)
                         if not near.any():
                             continue
                     values = (one[c].values.to_numpy() for c in ("value", "b_value"))

@@ -5,6 +5,7 @@ import pandas as pd
 import pyspark.sql.functions as F
 import pytest
 
+from kinfold.operators import halo
 from kinfold.operators.dbscan import core_points, dbscan
 from kinfold.operators.halo import _forest, halo_core_points, halo_dbscan
 
@@ -92,3 +93,21 @@ def test_forest_joins_what_is_linked(share):
 
     r, c = np.nonzero(near)
     assert groups(root, node) == groups(r, c + 60)
+
+
+def test_screened_distances_decide_as_plain_ones():
+    rng = np.random.RandomState(3)
+    # On a lattice many distances are eps itself; an offset, great and infinite values leave the product no digits.
+    lattice = rng.randint(0, 4, (300, 9)) * 0.1
+    for a in (lattice, lattice + 1e9, lattice * 1e200, lattice * 1e-161, np.where(lattice > 0.25, np.inf, lattice), rng.rand(300, 9)):
+        for eps2 in (0.04, 0.5, 0.30000000000000004, 4e-324):
+            with np.errstate(all="ignore"):
+                want = halo._squares(a, a[:70]) <= eps2
+                assert (halo._near(a, a[:70], eps2) == want).all()
+    assert halo._near(lattice[:0], lattice, 1.0).shape == (0, 300)
+
+
+def test_most_distances_are_not_computed_feature_by_feature(monkeypatch):
+    monkeypatch.setattr(halo, "_squares", None)
+    points = np.random.RandomState(4).rand(200, 9)
+    assert halo._near(points, points, 0.5).diagonal().all()
