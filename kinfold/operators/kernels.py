@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -300,3 +302,33 @@ def fast_euclidean(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         i, j = r[s : s + step], c[s : s + step]
         d2[i, j] = pair_distances(a[i], b[j], "euclidean", 2.0)
     return d2
+
+
+def euclidean_tiles(a: np.ndarray, b: np.ndarray, step: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(s, t, distances of a[s : s + step] to b[t : t + step]) of all tiles, those of one `s` in a row.
+
+    One matrix product with the squared lengths as two more features, in memory that the next tile takes again;
+    pairs too close for that are recomputed, as in `fast_euclidean`.
+    """
+    sa, sb = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    a_wide = np.concatenate([-2.0 * a, sa[:, None], np.ones((len(a), 1))], axis=1)
+    b_wide = np.concatenate([b, np.ones((len(b), 1)), sb[:, None]], axis=1).T.copy()
+    held = np.empty(min(step, len(a)) * min(step, len(b)))
+    for s in range(0, len(a), step):
+        left = a_wide[s : s + step]
+        for t in range(0, len(b), step):
+            right = b_wide[:, t : t + step]
+            d = held[: len(left) * right.shape[1]].reshape(len(left), -1)
+            np.matmul(left, right, out=d)
+            least = 1e-5 * (sa[s : s + step].max() + sb[t : t + step].max())
+            close = np.flatnonzero(d < least) if d.min() < least else np.empty(0, int)
+            i, j = np.divmod(close, d.shape[1])
+            near = d[i, j] < 1e-5 * (sa[s + i] + sb[t + j])
+            i, j = i[near], j[near]
+            d[i, j] = 0.0
+            np.sqrt(d, out=d)
+            some = max(1, CHUNK // max(1, a.shape[1]))
+            for r in range(0, len(i), some):
+                x, y = i[r : r + some], j[r : r + some]
+                d[x, y] = pair_distances(a[s + x], b[t + y], "euclidean", 2.0)
+            yield s, t, d

@@ -21,6 +21,7 @@ from .quality import (
     MAX_BROADCAST_ROWS,
     ONE_LABEL,
     calinski_harabasz,
+    centre_scores,
     clustering_quality,
     davies_bouldin,
     silhouette_squared,
@@ -229,21 +230,32 @@ def tune_k(
     if silhouette not in ("exact", "squared"):
         raise ValueError(f"Unknown silhouette: {silhouette}")
     rows = df.count()
-    data = spread(df.select(as_vector(features).alias("v")), rows).persist(StorageLevel.MEMORY_AND_DISK)
+    data = points = spread(df.select(as_vector(features).alias("v")), rows).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         ks = range(min_k, min(max_k, rows) + 1)
         tried = fit_many(data, "v", [(k, seed + i) for k in ks for i in range(n_init)])
         fits = {k: min((f for f in tried if f.k == k), key=lambda f: f.cost) for k in ks}
         labelled = ((k, assign_nearest(data, "v", f.centers)) for k, f in fits.items())
-        known = None
-        if silhouette == "exact" and rows > MAX_BROADCAST_ROWS:
-            # All labels are functions of the vector, so the rows meet once for all k.
-            points = data
-            for k, f in fits.items():
-                points = assign_nearest(points, "v", f.centers, f"k{k}")
-            known = dict(zip(ks, silhouettes(points, "v", [f"k{k}" for k in ks]), strict=True))
-        best, table = score_labels(labelled, "v", "cluster", silhouette, known)
+        # All labels are functions of the vector, so the rows are labelled and met once for all k. Equal fits count once.
+        names = {}
+        for f in fits.values():
+            if str(f.centers) not in names:
+                names[str(f.centers)] = name = f"k{f.k}"
+                points = assign_nearest(points, "v", f.centers, name)
+        of = {k: list(names).index(str(f.centers)) for k, f in fits.items()}
+        points = points.persist(StorageLevel.MEMORY_AND_DISK)
+        known = linear = None
+        if fits:
+            counts = {name: len(fits[int(name[1:])].centers) for name in names.values()}
+            linear = centre_scores(points, "v", counts)
+        if linear is not None:
+            linear = {k: linear[i] for k, i in of.items()}
+        if silhouette == "exact" and (linear is not None or rows > MAX_BROADCAST_ROWS):
+            met = silhouettes(points, "v", list(names.values()))
+            known = {k: met[i] for k, i in of.items()}
+        best, table = score_labels(labelled, "v", "cluster", silhouette, known, linear)
     finally:
+        points.unpersist()
         data.unpersist()
     cost = F.create_map(*[F.lit(x) for k, f in fits.items() for x in (k, f.cost)])
     return fits[best], table.withColumn("cost", F.element_at(cost, F.col("k"))).select(
@@ -257,10 +269,11 @@ def score_labels(
     cluster: str = "cluster",
     silhouette: str = "exact",
     known: dict[int, float] | None = None,
+    linear: dict[int, tuple[float, float]] | None = None,
 ) -> tuple[int, DataFrame]:
     """(best k, one row of scores per k) for labelled tables; those with one label are left out.
 
-    `known` holds silhouettes that are already computed.
+    `known` holds silhouettes, `linear` the other two scores, that are already computed.
     """
     if silhouette not in ("exact", "squared"):
         raise ValueError(f"Unknown silhouette: {silhouette}")
@@ -272,7 +285,9 @@ def score_labels(
             scores = (q["silhouette"], q["calinski_harabasz"], q["davies_bouldin"])
         else:
             scores = (known[k] if known is not None else silhouette_squared(df, features, cluster),)
-            if scores[0] != ONE_LABEL:
+            if scores[0] != ONE_LABEL and linear is not None:
+                scores += linear[k]
+            elif scores[0] != ONE_LABEL:
                 scores += (
                     calinski_harabasz(df, features, cluster).first()[0],
                     davies_bouldin(df, features, cluster).first()[0],

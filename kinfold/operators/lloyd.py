@@ -31,9 +31,12 @@ from .kernels import CHUNK, to_matrix
 
 SINGLE_DRAWS = 16
 # Sums of centres, of all parts of the table, that the driver takes in one round.
-PART_BYTES = 16 << 20
+PART_BYTES = 64 << 20
 # Rows whose distances to all centres are worked out at a time, at most.
 CHUNK_ROWS = 2048
+# Rows and (row, centre) scores of a round that a task has at hand at a time, so that they stay in a processor's cache.
+ROUND_ROWS = 256
+SCORES = 1 << 15
 TOL = 1e-4
 
 
@@ -200,18 +203,31 @@ def _sums(data: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray,
         norms, bounds = (c * c).sum(axis=1), list(zip(np.r_[0, ends[:-1]], ends, strict=True))
         count, total = np.zeros(len(c)), np.zeros_like(c)
         doubled = -2.0 * c
-        for x in _chunks(batches, len(c)):
-            score = doubled @ x.T + norms[:, None]
-            own = np.empty_like(score)
-            for a, b in bounds:
-                np.equal(score[a:b], score[a:b].min(axis=0), out=own[a:b], casting="unsafe")
-            tied = np.flatnonzero(own.sum(axis=0) != len(bounds))
-            for a, b in bounds if len(tied) else ():
-                first = a + own[a:b, tied].argmax(axis=0)
-                own[a:b, tied] = 0.0
-                own[first, tied] = 1.0
-            count += own.sum(axis=1)
-            total += own @ x
+        runs = _runs(bounds)
+        for block in _chunks(batches, 1):
+            for x in (block[i : i + ROUND_ROWS] for i in range(0, len(block), ROUND_ROWS)):
+                for run in runs:
+                    low, high = run[0][0], run[-1][1]
+                    score = doubled[low:high] @ x.T
+                    score += norms[low:high, None]
+                    own = np.empty_like(score)
+                    for a, b in run:
+                        part = score[a - low : b - low]
+                        np.equal(part, part.min(axis=0), out=own[a - low : b - low], casting="unsafe")
+                    tied = np.flatnonzero(own.sum(axis=0) != len(run))
+                    for a, b in run if len(tied) else ():
+                        first = a - low + own[a - low : b - low, tied].argmax(axis=0)
+                        own[a - low : b - low, tied] = 0.0
+                        own[first, tied] = 1.0
+                    count[low:high] += own.sum(axis=1)
+                    total[low:high] += own @ x
+        yield from give(count, total)
+
+    def whole(count: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if count.any():
+            yield pa.RecordBatch.from_pydict({"n": [count.tobytes()], "s": [total.tobytes()]})
+
+    def by_centre(count: np.ndarray, total: np.ndarray) -> Iterator[pa.RecordBatch]:
         used = np.flatnonzero(count)
         if len(used):
             yield pa.RecordBatch.from_arrays(
@@ -223,20 +239,34 @@ def _sums(data: DataFrame, centers: list[np.ndarray]) -> list[tuple[np.ndarray,
                 names=["centre", "n", "s"],
             )
 
-    parts = data.mapInArrow(add, "centre int, n bigint, s array<double>")
-    # One row per centre; where the sums of all parts are few, the driver adds them up without a shuffle.
-    if data.rdd.getNumPartitions() * int(ends[-1]) * width * 8 > PART_BYTES:
-        sums = [F.sum(F.get("s", F.lit(i))) for i in range(width)]
-        parts = parts.groupBy("centre").agg(F.sum("n").alias("n"), F.array(*sums).alias("s"))
-    got = parts.toArrow()
-    at = got["centre"].to_numpy()
     count, total = np.zeros(int(ends[-1])), np.zeros((int(ends[-1]), width))
-    if len(at):
-        np.add.at(count, at, got["n"].to_numpy())
-        np.add.at(total, at, to_matrix(got["s"]))
+    # Where the sums of all parts are few, the driver adds them up without a shuffle; else one row per centre comes back.
+    if data.rdd.getNumPartitions() * int(ends[-1]) * width * 8 <= PART_BYTES:
+        give = whole
+        for r in data.mapInArrow(add, "n binary, s binary").toArrow().to_pylist():
+            count += np.frombuffer(r["n"])
+            total += np.frombuffer(r["s"]).reshape(total.shape)
+    else:
+        give = by_centre
+        sums = [F.sum(F.get("s", F.lit(i))) for i in range(width)]
+        parts = data.mapInArrow(add, "centre int, n bigint, s array<double>")
+        got = parts.groupBy("centre").agg(F.sum("n").alias("n"), F.array(*sums).alias("s")).toArrow()
+        if got.num_rows:
+            count[got["centre"].to_numpy()] = got["n"].to_numpy()
+            total[got["centre"].to_numpy()] = to_matrix(got["s"])
     return list(zip(np.split(count, ends[:-1]), np.split(total, ends[:-1]), strict=True))
 
 
+def _runs(bounds: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Models one after the other, in runs of as many as `SCORES` has room for."""
+    runs: list = []
+    for a, b in bounds:
+        if not runs or (b - runs[-1][0][0]) * ROUND_ROWS > SCORES:
+            runs.append([])
+        runs[-1].append((a, b))
+    return runs
+
+
 def _costs(data: DataFrame, centers: list[np.ndarray]) -> list[float]:
     shared = data.sparkSession.sparkContext.broadcast(centers)
 

@@ -22,7 +22,7 @@ from ..functions.vectors import as_vector, distance_expr
 from ..session import cut_lineage
 from .blocks import group_count
 from .clusters import cluster_moments, small_side
-from .kernels import distances, fast_euclidean, to_matrix
+from .kernels import distances, euclidean_tiles, fast_euclidean, to_matrix
 
 # The score of a clustering that has nothing to compare.
 ONE_LABEL = -1.0
@@ -125,12 +125,7 @@ def _silhouette_groups(points: DataFrame, models: int, tile_rows: int | None) ->
         total = np.zeros((a.num_rows, len(label)))
         if a.num_rows and b.num_rows:
             x, y, w = to_matrix(a.column("v")), to_matrix(b.column("v2")), b.column("w2").to_numpy()
-            at = places(b.column("cs2"))
-            for t in range(0, len(y), STEP):
-                member = np.zeros((len(y[t : t + STEP]), len(label)))
-                np.put_along_axis(member, at[t : t + STEP], w[t : t + STEP, None], axis=1)
-                for s in range(0, len(x), STEP):
-                    total[s : s + STEP] += fast_euclidean(x[s : s + STEP], y[t : t + STEP]) @ member
+            total = _sums(x, y, w, places(b.column("cs2")), len(label))
         ends = pa.array(np.arange(a.num_rows + 1, dtype=np.int32) * len(label))
         sums = pa.ListArray.from_arrays(ends, pa.array(total.ravel()))
         return a.select(["chunk", "id", "w", "cs"]).append_column("sums", sums)
@@ -159,6 +154,23 @@ def _silhouette_groups(points: DataFrame, models: int, tile_rows: int | None) ->
     return [means[m] if len(names[m]) > 1 else ONE_LABEL for m in range(models)]
 
 
+def _sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, at: np.ndarray, columns: int) -> np.ndarray:
+    """(rows of x, columns): the sums of w[j] |x[i] - y[j]| over the rows j whose columns `at[j]` have the one asked for.
+
+    Rows of one cluster are brought together, so that a step of them lies in few of the clusters of the other models.
+    """
+    order = np.lexsort(at.T)
+    y, w, at = y[order], w[order], at[order]
+    total, member = np.zeros((columns, len(x))), None
+    for t, s, d in euclidean_tiles(y, x, STEP):
+        if not s:
+            used, place = np.unique(at[t : t + STEP], return_inverse=True)
+            member = np.zeros((len(used), len(d)))
+            np.put_along_axis(member, place.reshape(len(d), -1).T, w[None, t : t + STEP], axis=0)
+        total[used, s : s + STEP] += member @ d
+    return np.ascontiguousarray(total.T)
+
+
 def _mean_score(parts: DataFrame) -> DataFrame:
     return parts.agg(F.try_divide(F.sum("score"), F.sum("weight")).alias("silhouette"))
 
@@ -400,6 +412,78 @@ def _worst_ratio(spark, some: pa.Table):
     return worst
 
 
+def centre_scores(
+    df: DataFrame, features: str | Sequence[str], clusters: dict[str, int]
+) -> list[tuple[float, float]] | None:
+    """(Calinski-Harabasz, Davies-Bouldin) of every label column by two readings of the rows for all of them.
+
+    `clusters` has the label columns, each with labels from 0 to below the number given. None where a row has no label,
+    or with too many labels for the driver.
+    """
+    ends = np.cumsum([0, *clusters.values()])
+    if ends[-1] > SMALL_K:
+        return None
+    labels = F.array(*[F.col(c).cast("double") for c in clusters]).alias("cs")
+    rows = df.select(as_vector(features).alias("v"), labels)
+
+    def read(add) -> np.ndarray | None:
+        """The sums of `add(rows, columns of their clusters)`, one line per column, or None where a label is missing."""
+
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, lost = 0.0, 0
+            for b in batches:
+                lost += b.column("cs").flatten().null_count
+                for i in range(0, 0 if lost else b.num_rows, STEP):
+                    some = b.slice(i, STEP)
+                    own = to_matrix(some.column("cs")).astype(np.int64) + ends[:-1]
+                    total = total + add(to_matrix(some.column("v")), own)
+            lines = [[float(lost)]] if lost else np.reshape(total, (-1, np.shape(total)[-1])).tolist() if np.ndim(total) else []
+            at = [-1] if lost else range(len(lines))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(at, pa.int32()), pa.array(lines, pa.list_(pa.float64()))], names=["line", "s"]
+            )
+
+        parts = rows.mapInArrow(part, "line int, s array<double>").select("line", F.posexplode("s").alias("j", "s"))
+        got = parts.groupBy("line", "j").agg(F.sum("s").alias("s")).orderBy("line", "j").toArrow()
+        if not got.num_rows or got["line"][0].as_py() < 0:
+            return None
+        return got["s"].to_numpy().reshape(ends[-1], -1)
+
+    def moments(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        member = np.zeros((ends[-1], len(x)))
+        np.put_along_axis(member, own.T, 1.0, axis=0)
+        return member @ np.concatenate([x, np.ones((len(x), 1)), (x * x).sum(axis=1)[:, None]], axis=1)
+
+    found = read(moments)
+    if found is None:
+        return None
+    n, squares = found[:, -2], found[:, -1]
+    mean = found[:, :-2] / np.maximum(n, 1.0)[:, None]
+    shared = df.sparkSession.sparkContext.broadcast(mean)
+
+    def spreads(x: np.ndarray, own: np.ndarray) -> np.ndarray:
+        out = np.zeros((ends[-1], 2))
+        for at in own.T:
+            square = ((x - shared.value[at]) ** 2).sum(axis=1)
+            out[:, 0] += np.bincount(at, np.sqrt(square), ends[-1])
+            out[:, 1] += np.bincount(at, square, ends[-1])
+        return out
+
+    spread = read(spreads)
+    scores = []
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        c = a + np.flatnonzero(n[a:b])
+        k, total, m = len(c), n[c].sum(), mean[c]
+        centre = (n[c, None] * m).sum(axis=0) / total
+        between, within = (n[c, None] * (m - centre) ** 2).sum(), spread[c, 1].sum()
+        # Copies of one row lie in their mean but for its rounding.
+        flat = k < 2 or within <= 1e-30 * squares[c].sum()
+        ratio, gap = _ratios(c, spread[c, 0] / n[c], m, c, spread[c, 0] / n[c], m)
+        bouldin = 0.0 if gap.max() < 1e-12 or (spread[c, 0] / n[c]).max() < 1e-12 else float(ratio.mean())
+        scores.append((1.0 if flat else float(between * (total - k) / (within * (k - 1))), bouldin))
+    return scores
+
+
 # --- all three ------------------------------------------------------------
 
 
